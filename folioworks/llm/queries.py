@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dedup, substring_dedup, token_counts
+from . import bpe, decontaminate, html_extract, near_dedup, substring_dedup, token_counts, warc
 from ._common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,15 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op7_token_counts, op10_substring_dedup)}
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op6_warc, op7_token_counts, op8_html_extraction, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
