@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, near_dedup, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, html_extract, near_dedup, substring_dedup, token_counts, toxicity, warc
 from ._common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +43,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op6_warc, op7_token_counts, op8_html_extraction, op10_substring_dedup)}
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op4_toxicity, op6_warc, op7_token_counts, op8_html_extraction, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
