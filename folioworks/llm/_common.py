@@ -7,6 +7,7 @@ not the batch.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    # what was written needs its shuffles no more; Spark drops their files once the driver has collected its garbage
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -172,3 +176,23 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+#: Ids that are broadcast at most, to pick documents without a shuffle of their texts.
+BROADCAST_KEYS = 500_000
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs as (_key, _text), with a key of id and text hash: it tells rows of one id, or of none, apart."""
+    return docs.select(F.struct(F.col(doc_id).alias("_id"), F.hash(F.col(text).cast("string")).alias("_fp")).alias("_key"), F.col(text).cast("string").alias("_text"))
+
+
+def pick(docs: DataFrame, keys: DataFrame, how: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of docs with ("left_semi") or without ("left_anti") a key in keys (_id, _fp).
+
+    The keys are broadcast up to a checked number; beyond it the join is a shuffled one.
+    """
+    keys = keys.select(F.col("_id").alias("__id"), F.col("_fp").alias("__fp"))
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.hash(F.col(text).cast("string")) == F.col("__fp"))
+    return docs.join(F.broadcast(keys) if few else keys, same, how)

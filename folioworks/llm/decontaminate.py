@@ -179,3 +179,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return benchmark_spans(docs, benchmark, **how).select(
         name, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents without any occurrence, with all their columns."""
+    spans = benchmark_spans(c.keyed(docs, doc_id, text), benchmark, doc_id="_key", text="_text", **how)
+    hit = c.materialize(spans.filter(F.size("spans") > 0).select("_key.*").distinct())
+    return c.pick(docs, hit, "left_anti", doc_id, text)

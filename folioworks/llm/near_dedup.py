@@ -248,3 +248,16 @@ def _centres(live: DataFrame, width: int, threshold: float) -> DataFrame:
     x = F.col("x")
     each = picks.select("key", F.explode(F.array_distinct(F.array(*[f"c{j}" for j in range(width)]))).alias("x"))
     return each.select("key", x["node"].alias("centre"), x["root"].alias("c_root"), (x["n"] * threshold).alias("least_n"), (x["n"] / threshold).alias("most_n"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents that stand for their group, with all their columns. Rows without an id all stay; of rows that share an id one stays."""
+    groups = near_duplicates(docs, doc_id, text, **how)
+    gone = c.materialize(groups.filter(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("node")).distinct())
+    again = c.materialize(docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(doc_id).alias("node")))
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("node"), "left_anti")
+    if again.isEmpty():
+        return left
+    single = left.join(again, F.col(doc_id) == F.col("node"), "left_anti")
+    return single.unionByName(left.join(again, F.col(doc_id) == F.col("node"), "left_semi").dropDuplicates([doc_id]))
