@@ -39,11 +39,10 @@ PAGES = f"{RAW}, pg as (select book_id, path, doc_pos, html, {STRIP.format(TITLE
 TEXTS = "texts as (select source book_id, '/' || lang || '/' || doc_id || '.html' path, split_part(text, chr(10), 1) title, text, doc_id doc_pos from documents)"
 TERMS = "terms as (select p_brand book_id, p_name label, '/part/' || p_partkey || '.html' path, p_partkey doc_pos, p_type kind from part)"
 SHELF = "shelf as (select source id, 'Book ' || source title, sum(n_chars) size, count(*) page_count, case cast(regexp_extract(source, '(\\d+)', 1) as bigint) % 5 when 4 then 'error' when 3 then 'building' else 'ready' end index_state, case when cast(regexp_extract(source, '(\\d+)', 1) as bigint) % 5 = 3 then 3 else 0 end index_done, cast(regexp_extract(source, '(\\d+)', 1) as bigint) * 1000 added_at, case when cast(regexp_extract(source, '(\\d+)', 1) as bigint) % 3 = 0 then cast(regexp_extract(source, '(\\d+)', 1) as bigint) * 5000 else 0 end last_opened from documents group by source), placed as (select *, row_number() over (order by coalesce(nullif(last_opened, 0), nullif(added_at, 0), 0) desc, id) shelf_pos from shelf)"
-ACTS = "acts as (select user_id reader_id, event_id seq, epoch_ms(ts) ts, case event_type when 'view' then 'visit' when 'click' then 'toggle' when 'purchase' then 'back' when 'signup' then 'forward' end kind, '/k/' || json_extract_string(props, '$.k') || '.html' path from events)"
+ACTS = "acts as (select user_id reader_id, event_id seq, epoch_us(ts) // 1000 ts, case event_type when 'view' then 'visit' when 'click' then 'toggle' when 'purchase' then 'back' when 'signup' then 'forward' end kind, '/k/' || json_extract_string(props, '$.k') || '.html' path from events)"
 STATUS = "status as (select user_id book_id, event_id seq, case event_type when 'error' then 'error' when 'purchase' then 'done' else 'progress' end type, cast(floor(abs(value)) as bigint) done, 500 total from events)"
-TOC = "toc as (select r_regionkey * 10000000000 node_id, null::bigint parent_id, 0 depth, r_name name, null local, []::bigint[] ancestors from region union all select n_regionkey * 10000000000 + (n_nationkey + 1) * 100000000, n_regionkey * 10000000000, 1, n_name, null, [n_regionkey * 10000000000] from nation union all select n_regionkey * 10000000000 + (n_nationkey + 1) * 100000000 + c_custkey + 1, n_regionkey * 10000000000 + (n_nationkey + 1) * 100000000, 2, c_name, '/customer/' || c_custkey || '.html', [n_regionkey * 10000000000, n_regionkey * 10000000000 + (n_nationkey + 1) * 100000000] from customer join nation on c_nationkey = n_nationkey)"
+TOC = "toc as (select r_regionkey * 10000000000 node_id, null::bigint parent_id, 0 depth, r_name name, null local, []::bigint[] ancestors from region union all select n_regionkey * 10000000000 + (n_nationkey::bigint + 1) * 100000000, n_regionkey * 10000000000, 1, n_name, null, [n_regionkey * 10000000000] from nation union all select n_regionkey * 10000000000 + (n_nationkey::bigint + 1) * 100000000 + c_custkey + 1, n_regionkey * 10000000000 + (n_nationkey::bigint + 1) * 100000000, 2, c_name, '/customer/' || c_custkey || '.html', [n_regionkey * 10000000000, n_regionkey * 10000000000 + (n_nationkey::bigint + 1) * 100000000] from customer join nation on c_nationkey = n_nationkey)"
 COUNT = "cast((length({0}) - length(replace({0}, {1}, ''))) / length({1}) as integer)"
-FNV = "(with recursive nothing as (select 1) select 1)"
 
 
 # --- pages --------------------------------------------------------------------------
@@ -149,7 +148,10 @@ QUICK = "case when replace(lower(label), ' ', '') = '{0}' then 140 when starts_w
 def _terms(s: SparkSession, d: str) -> DataFrame:
     rows = b.part_terms(s, d).select("book_id", "label", "path", "doc_pos", F.lit("").alias("anchor"), F.lit("术语").alias("source"))
     pos = rows.select("path", F.col("doc_pos").alias("pos"))
-    return extract.term_records(rows).join(pos, "path")
+    terms = extract.term_records(rows).join(pos, "path")
+    path = f"{jobs.work_folder(s)}/terms"  # searches read a stored index, as a library does
+    terms.write.parquet(path)
+    return s.read.schema(terms.schema).parquet(path)
 
 
 @query(f"with {TERMS}, s as (select *, {QUICK.format('green')} score from terms), k as (select score, label, count(*) n from s where score > 0 group by all) select * from k")
@@ -310,7 +312,7 @@ def patch_books(s, d):
     return b.patch_books(books, patches)
 
 
-@query("with n as (select l_orderkey book_id, cast(l_linenumber as varchar) path, 'new' text, l_suppkey k from lineitem where l_orderkey % 3 = 0 and l_linenumber <= 2), e as (select l_orderkey book_id, cast(l_linenumber as varchar) path, 'old' text from lineitem where l_orderkey % 2 = 0) select text, count(*) n, count(distinct book_id) books from (select book_id, path, text from n union all select * from e where not exists (select 1 from n where n.book_id = e.book_id and n.path = e.path)) group by text")
+@query("with n as (select distinct l_orderkey book_id, cast(l_linenumber as varchar) path, 'new' text from lineitem where l_orderkey % 3 = 0 and l_linenumber <= 2), e as (select l_orderkey book_id, cast(l_linenumber as varchar) path, 'old' text from lineitem where l_orderkey % 2 = 0) select text, count(*) n, count(distinct book_id) books from (select book_id, path, text from n union all select * from e where not exists (select 1 from n where n.book_id = e.book_id and n.path = e.path)) group by text")
 def upsert(s, d):
     li = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("string").alias("path"), F.col("l_linenumber").alias("k"))
     old = li.filter("book_id % 2 = 0").select("book_id", "path", F.lit("old").alias("text"))
@@ -331,13 +333,13 @@ def save_to_shelf(s, d):
     return b.save_to_shelf(shelf, opened, 99_000).select("id", "last_opened", "title", "size")
 
 
-@query("select doc_id, 'b' || chr(45) || '' prefix, case when n_chars >= 102400 then printf('%.0f KiB', n_chars / 1024.0) when n_chars >= 10240 then printf('%.1f KiB', n_chars / 1024.0) when n_chars >= 1024 then printf('%.2f KiB', n_chars / 1024.0) else n_chars || ' B' end size, lower(regexp_replace(split_part(text, chr(10), 1), '[^a-z0-9A-Z]+', '', 'g')) short from documents where regexp_matches(split_part(text, chr(10), 1), '^[ -~]*$')")
+@query("select doc_id, 'b' || chr(45) || '' prefix, case when n_chars >= 102400 then printf('%.0f KiB', round(n_chars / 1024.0, 0)) when n_chars >= 10240 then printf('%.1f KiB', round(n_chars / 1024.0, 1)) when n_chars >= 1024 then printf('%.2f KiB', round(n_chars / 1024.0, 2)) else n_chars || ' B' end size, lower(regexp_replace(split_part(text, chr(10), 1), '[^a-z0-9A-Z]+', '', 'g')) short from documents where regexp_matches(split_part(text, chr(10), 1), '^[ -~]*$')")
 def text_scalars(s, d):
     rows = b.table(s, d, "documents").withColumn("line", F.element_at(F.split("text", "\n"), 1)).filter(F.col("line").rlike("^[ -~]*$"))
     return rows.select("doc_id", F.substring(t.book_id_for_file("source", "n_chars", "doc_id"), 1, 2).alias("prefix"), t.format_bytes("n_chars").alias("size"), t.compact_compare("line").alias("short"))
 
 
-@query("select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9))) clean_md5, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 88 html_length from documents")
+@query("select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9))) clean_md5, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 87 html_length from documents")
 def text_forms(s, d):
     return b.table(s, d, "documents").select("doc_id", F.md5(t.clean_text("text")).alias("clean_md5"), F.length(t.plain_text_html("text")).alias("html_length"))
 
