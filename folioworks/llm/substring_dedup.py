@@ -11,8 +11,9 @@ Rounds of Spark jobs:
 1. each window chooses the least symbol with its context inside (or itself, if there is
    none), and each text yields its chosen symbols: about one for ten words;
 2. symbols are counted over the corpus; windows whose symbol occurs once are no repeats;
-3. the other windows are named by 128-bit hashes of all their words, which verifies the
-   repeats, and the earliest place of each is found; later places are removed.
+3. the other windows are named by 96-bit hashes of all their words, which verifies the
+   repeats, and the earliest place of each is found and told to its document; a document
+   removes those of its windows that are not the first of their kind.
 Texts that equal a whole earlier text are settled by their top name before round 2.
 
 Scale: shuffles carry symbols (of a tenth of the words), names of windows that may repeat,
@@ -87,6 +88,15 @@ def symbols(h: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> tuple[np.n
     return name, lo, hi
 
 
+def named_contexts(h: np.ndarray, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The symbols under names that also tell all words of their contexts, so that common short symbols differ by context."""
+    n, base = len(h), 0xD6E8FEB86659FD93
+    powers, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[:n])])
+    lo, hi = np.clip(lo, 0, n), np.clip(hi, 0, n)
+    return c.mix((sums[hi] - sums[lo]) * back[lo] ^ name)
+
+
 def window_starts(rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """First words of all windows, and their rows."""
     n = np.maximum(0, np.diff(rows) - window + 1)
@@ -96,7 +106,7 @@ def window_starts(rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
 def choose(h: np.ndarray, rows: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, tuple]:
     """For each window its chosen key, whether that is the window itself, and (symbols, first, end) chosen from."""
     name, lo, hi = symbols(h, rows)
-    name = c.mix(name ^ _U(0x5EED))
+    name = named_contexts(h, name, lo, hi)
     first, end = np.searchsorted(lo, at), np.searchsorted(hi, at + window, side="right")
     own = first >= end
     levels = [name]
@@ -188,29 +198,45 @@ def _may_repeat(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, _same(docs, ids), "left_semi")
 
 
+def _candidates(batch: pa.RecordBatch, h: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (first word, row) whose chosen key is among their own row's keys."""
+    at, row = window_starts(rows, window)
+    if not len(at):
+        return at, row
+    key, _, _ = choose(h, rows, at, window)
+    lists = batch.column("keys")
+    own = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    names, code = np.unique(np.concatenate([own, key]), return_inverse=True)
+    whose = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    pick = np.isin(row * len(names) + code[len(own) :], whose * len(names) + code[: len(own)])
+    return at[pick], row[pick]
+
+
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """_id, _fp, pos, h1, h2 of the windows of _text whose key is in keys."""
+    """_id, place, h1, h2 of the windows of _text whose key is in keys. place: start and _fp in one number, ordered by start."""
     long = T.LongType()
-    schema = T.StructType([texts.schema["_id"], T.StructField("_fp", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("h1", long), T.StructField("h2", long)])
+    schema = T.StructType([texts.schema["_id"], T.StructField("place", long), T.StructField("h1", long), T.StructField("h2", T.IntegerType())])
 
     def run(batches):
         one, two = _hashers()
         for batch, data, offs in c.text_slices(batches):
             starts, _, rows = c.words(data, offs, c.BLANK_WORDS)
             a, b = one(data, starts), two(data, starts)
-            at, row = window_starts(rows, window)
-            if not len(at):
-                continue
-            key, _, _ = choose(a, rows, at, window)
-            pick = np.isin(key.view(np.int64), batch.column("keys").flatten().to_numpy(zero_copy_only=False))
-            at, row = at[pick], row[pick]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(row)), batch.column("_fp").take(pa.array(row)), pa.array((at - rows[row]).astype(np.int32)), _signed(c.windows(a, window)[at]), _signed(c.windows(b, window, 0x9FB21C651E98DF25)[at])], names=schema.names)
+            at, row = _candidates(batch, a, rows, window)
+            if len(at):
+                place = (at - rows[row] << 32) | (batch.column("_fp").to_numpy(zero_copy_only=False).astype(np.int64)[row] & 0xFFFFFFFF)
+                second = (c.windows(b, window, 0x9FB21C651E98DF25)[at] >> _U(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(row)), pa.array(place), _signed(c.windows(a, window)[at]), pa.array(second)], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.select("_id", "_fp", "_text", "keys").mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(signatures with `copy`: whether all words go as the whole text has come before; starts of removed windows by _id, _fp)."""
+    """Signatures with `copy` (the whole text has come before), and per document with shared symbols: keys, firsts.
+
+    firsts are the starts of the document's windows that are the first of their kind; its
+    other windows with a key in keys come earlier elsewhere.
+    """
     sig = c.materialize(signatures(docs, doc_id, text, window))
     long = sig.filter(F.col("n_words") >= window)
     firsts = long.groupBy("r1", "r2").agg(F.min(F.struct("_id")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -218,14 +244,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     found = state.filter(~F.col("copy")).select("_id", "_fp", F.explode("keys").alias("key"))
     shared = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     keys = c.materialize(found.join(shared, "key").groupBy("_id", "_fp").agg(F.collect_set("key").alias("keys")))
-    base = _documents(docs, doc_id, text)
-    texts = _may_repeat(base, keys.select("_id", "_fp"))
-    texts = texts.join(keys, _same(texts, keys)).select(texts["_id"], texts["_fp"], "_text", "keys")
-    win = c.materialize(_windows(texts, window))
-    first = win.groupBy("h1", "h2").agg(F.min(F.struct("_id", "pos")).alias("first"), F.max(F.struct("_id", "pos")).alias("last")).filter("first < last").drop("last")
-    later = win.join(first, ["h1", "h2"]).filter(F.struct("_id", "pos") > F.col("first"))
-    removed = later.groupBy("_id", "_fp").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
-    return state.drop("keys", "r1", "r2", "first"), removed
+    first = _windows(_with_keys(docs, keys, doc_id, text), window).groupBy("h1", "h2").agg(F.min(F.struct("_id", "place")).alias("x"))
+    fp = F.shiftright(F.shiftleft("x.place", 32), 32).cast("int")
+    first = first.select("x._id", fp.alias("_fp"), F.shiftright("x.place", 32).cast("int").alias("pos"))
+    own = c.materialize(first.groupBy("_id", "_fp").agg(F.collect_list("pos").alias("firsts")))
+    kept = keys.join(own, _same(keys, own), "left").select(keys["_id"], keys["_fp"], "keys", "firsts")
+    return state.drop("keys", "r1", "r2", "first"), kept
+
+
+def _with_keys(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
+    texts = _may_repeat(_documents(docs, doc_id, text), keys.select("_id", "_fp"))
+    return texts.join(keys, _same(texts, keys)).select(texts["_id"], texts["_fp"], "_text", *[x for x in keys.columns if x not in ("_id", "_fp")])
 
 
 def merge_starts(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -236,36 +265,42 @@ def merge_starts(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _strip(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """_id, _fp, n_removed, kept_sha (or kept, the words left joined by one space) of texts with removed starts."""
+def _touched(docs: DataFrame, kept: DataFrame, doc_id: str, text: str, window: int, with_text: bool) -> DataFrame:
+    """_id, _fp, n_removed, kept_sha (or kept, the words left joined by one space) of texts with windows that come earlier elsewhere."""
+    texts = _with_keys(docs, kept, doc_id, text)
     schema = T.StructType([texts.schema["_id"], T.StructField("_fp", T.IntegerType()), T.StructField("n_removed", T.LongType()), T.StructField("kept" if with_text else "kept_sha", T.StringType())])
 
     def run(batches):
+        one, _ = _hashers()
         for batch, data, offs in c.text_slices(batches):
             starts, ends, rows = c.words(data, offs, c.BLANK_WORDS)
-            raw, gone, out = memoryview(data.tobytes()), [], []
-            for i, own in enumerate(batch.column("starts")):
-                a, b = rows[i], rows[i + 1]
-                cut = merge_starts(own.values.to_numpy(zero_copy_only=False), b - a, window)
-                s, e = starts[a:b][~cut].tolist(), ends[a:b][~cut].tolist()
-                gone.append(int(cut.sum()))
-                out.append(b" ".join([raw[x:y] for x, y in zip(s, e, strict=True)]).decode("utf-8", "surrogatepass") if with_text else _kept_sha(raw, s, e))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_fp"), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=schema.names)
-
-    return texts.select("_id", "_fp", "_text", "starts").mapInArrow(run, schema)
-
-
-def _touched(docs: DataFrame, removed: DataFrame, doc_id: str, text: str, window: int, with_text: bool) -> DataFrame:
-    base = _documents(docs, doc_id, text)
-    texts = _may_repeat(base, removed.select("_id", "_fp"))
-    texts = texts.join(removed, _same(texts, removed)).select(texts["_id"], texts["_fp"], "_text", "starts")
-    return _strip(texts, window, with_text).dropDuplicates(["_id", "_fp"])
+            at, row = _candidates(batch, one(data, starts), rows, window)
+            raw, s, e = memoryview(data.tobytes()), starts.tolist(), ends.tolist()
+            bounds = np.searchsorted(row, np.arange(len(rows)))
+            gone, out, which = [], [], []
+            for i, first in enumerate(batch.column("firsts")):
+                a, b = int(rows[i]), int(rows[i + 1])
+                later = at[bounds[i] : bounds[i + 1]] - a
+                if first.is_valid:
+                    later = later[~np.isin(later, first.values.to_numpy(zero_copy_only=False))]
+                if not len(later):
+                    continue
+                left = (np.flatnonzero(~merge_starts(later, b - a, window)) + a).tolist()
+                which.append(i)
+                gone.append(b - a - len(left))
+                words = b" ".join([raw[s[k] : e[k]] for k in left])
+                out.append(words.decode("utf-8", "surrogatepass") if with_text else hashlib.sha256(words).hexdigest())
+            if which:
+                take = pa.array(which)
+                yield pa.RecordBatch.from_arrays([batch.column("_id").take(take), batch.column("_fp").take(take), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=schema.names)
+
+    return texts.mapInArrow(run, schema).dropDuplicates(["_id", "_fp"])
 
 
 def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    sig, removed = repeats(docs, doc_id, text, window)
-    touched = _touched(docs, c.materialize(removed), doc_id, text, window, False)
+    sig, kept = repeats(docs, doc_id, text, window)
+    touched = _touched(docs, kept, doc_id, text, window, False)
     empty = hashlib.sha256(b"").hexdigest()
     return sig.join(touched, _same(sig, touched), "left").select(
         sig["_id"].alias(doc_id), "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("copy"), F.lit(empty)).otherwise(F.coalesce("kept_sha", "all_sha")).alias("kept_sha256")
@@ -274,10 +309,12 @@ def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with all columns; texts that lost words have the kept ones joined by one space, others are unchanged."""
-    sig, removed = repeats(docs, doc_id, text, window)
-    touched = _touched(docs, c.materialize(removed), doc_id, text, window, True).select("_id", "_fp", "kept")
+    sig, kept = repeats(docs, doc_id, text, window)
+    touched = _touched(docs, kept, doc_id, text, window, True).select("_id", "_fp", "kept")
     copies = sig.filter("copy").select("_id", "_fp", F.lit("").alias("kept")).distinct()
     changes = c.materialize(touched.unionByName(copies))
-    base = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.col(doc_id).alias("_id"), F.hash(F.col(text).cast("string")).alias("_fp"))
-    out = base.join(changes, _same(base, changes), "left")
-    return out.select(*[(F.coalesce("kept", F.col("_row").getField(x)) if x == text else F.col("_row").getField(x)).alias(x) for x in docs.columns])
+    same = c.pick(docs, changes, "left_anti", doc_id, text)
+    rest = [x for x in docs.columns if x != text]
+    changed = c.pick(docs, changes, "left_semi", doc_id, text).select(F.struct(*[F.col(f"`{x}`") for x in rest]).alias("_row"), F.col(doc_id).alias("_id"), F.hash(F.col(text).cast("string")).alias("_fp"))
+    changed = changed.join(changes, _same(changed, changes))
+    return same.unionByName(changed.select(*[(F.col("kept") if x == text else F.col("_row").getField(x)).alias(x) for x in docs.columns]))
