@@ -344,6 +344,78 @@ def text_forms(s, d):
     return b.table(s, d, "documents").select("doc_id", F.md5(t.clean_text("text")).alias("clean_md5"), F.length(t.plain_text_html("text")).alias("html_length"))
 
 
+@query("select s_suppkey book_id, case when s_suppkey % 2 = 0 then 'book.chm' else s_name end as name, 'application/vnd.ms-htmlhelp' as type, 0 last_modified, case when s_suppkey % 3 = 0 then 0 else s_suppkey end size from supplier")
+def file_catalogue(s, d):
+    rows = b.table(s, d, "supplier")
+    n = F.col("s_suppkey")
+    return b.file_catalogue(rows.select(n.alias("book_id"), F.when(n % 2 == 0, "").otherwise(F.col("s_name")).alias("name"), F.lit("").alias("type"), F.lit(None).cast("long").alias("last_modified"), F.when(n % 3 != 0, n).alias("size")))
+
+
+@query(f"with {SHELF} select id, case when id = 'src1' then 'My own book' else title end title, id = 'src1' custom_title from shelf")
+def rename_book(s, d):
+    return b.rename_book(b.shelf(s, d), "src1", "  My\t own   book\n").select("id", "title", "custom_title")
+
+
+@query(f"with {SHELF} select * from (select id, title, size from shelf) where id = 'src2'")
+def get_book(s, d):
+    return b.get_book(b.shelf(s, d), "src2").select("id", "title", "size")
+
+
+@query(f"with {TEXTS}, {SHELF}, gone as (select id from shelf where page_count % 2 = 1 or added_at < 4000) select 'books' kind, count(*) n from shelf where id not in (select id from gone) union all select 'pages', count(*) from texts where book_id not in (select id from gone)")
+def delete_books(s, d):
+    shelf, pages = b.shelf(s, d), b.text_pages(s, d)
+    none = pages.select("book_id")
+    left = b.delete_books(shelf, none, pages, none, shelf.filter("page_count % 2 = 1 or added_at < 4000").select("id"))
+    return left[0].select(F.lit("books").alias("kind")).unionByName(left[2].select(F.lit("pages").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("select l_suppkey book_id, s_name book_title, count(*) hits from lineitem join supplier on s_suppkey = l_suppkey where s_acctbal > 0 group by 1, 2")
+def hits_with_books(s, d):
+    hits = b.table(s, d, "lineitem").select(F.col("l_suppkey").alias("book_id"))
+    shelf = b.table(s, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    return search.hits_with_books(hits, shelf).groupBy("book_id", "book_title").agg(F.count("*").alias("hits"))
+
+
+@query("select l_suppkey book_id, least(45, count(*)) shown from lineitem group by 1")
+def cap_per_book(s, d):
+    hits = b.table(s, d, "lineitem").select(F.col("l_suppkey").alias("book_id"), "l_orderkey", "l_linenumber")
+    return search.cap_per_book(hits, ["l_orderkey", "l_linenumber"]).groupBy("book_id").agg(F.max("n").alias("shown"))
+
+
+@query("select l_suppkey book_id, count(*) hits from lineitem group by 1")
+def group_by_book(s, d):
+    return search.group_by_book(b.table(s, d, "lineitem").withColumnRenamed("l_suppkey", "book_id"))
+
+
+@query(f"with {RAW}, k as (select book_id, path, doc_pos, list_reduce(list_prepend('', list_transform(regexp_extract_all(translate(lower(path), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '(\\d+|\\D+)'), lambda x: case when regexp_matches(x, '^\\d') then repeat('0', greatest(0, 20 - length(x))) || x else x end)), lambda a, c: a || c) sort_key from raw) select book_id, path, doc_pos, sort_key from k")
+def natural_order(s, d):
+    return b.raw_pages(s, d).select("book_id", "path", "doc_pos", t.natural_sort_key("path").alias("sort_key"))
+
+
+@query(f"with {TERMS} select path, replace(lower(label), ' ', '') first_key, 1 n_keys from terms")
+def search_keys(s, d):
+    rows = b.part_terms(s, d).select("path", t.make_search_keys("label").alias("keys"))
+    return rows.select("path", F.col("keys")[0].alias("first_key"), F.size("keys").alias("n_keys"))
+
+
+@query(f"with {RAW} select book_id, min_by(path, doc_pos) path from raw group by 1")
+def choose_sitemap(s, d):
+    entries = b.raw_pages(s, d).select("book_id", "path", F.col("doc_pos").alias("entry_pos"))
+    return tree.choose_sitemap(entries, entries.filter("false"), ".html")
+
+
+@query(f"with {RAW} select book_id, path, doc_pos, md5({SEARCH.format(BODY.format('html'))}) text_md5, case when regexp_matches(html, '<table') then 1 else 0 end tables_ from raw")
+def live_text(s, d):
+    raw = b.raw_pages(s, d)
+    return raw.select("book_id", "path", "doc_pos", F.md5(t.search_text(t.page_body("html"))).alias("text_md5"), F.col("html").contains("<table").cast("int").alias("tables_"))
+
+
+@query("select conv_id book_id, cast(turn as bigint) pos, role || ' ' || turn as name, lag(role || ' ' || turn) over (partition by conv_id order by turn) prev_name from conversations")
+def conversation_spine(s, d):
+    c = b.table(s, d, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").cast("long").alias("pos"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("name"))
+    return c.withColumn("prev_name", F.lag("name").over(tree.by_book("pos")))
+
+
 # --- activity -----------------------------------------------------------------------
 
 
