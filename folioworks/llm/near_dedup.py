@@ -9,14 +9,15 @@ keeps its earliest dart. Should one stay empty, the bound is doubled for that te
 Two texts agree in a coordinate with a probability of their (weighted) Jaccard similarity.
 
 Signatures are joined by bands of rows. Texts with the same set of shingles are one node.
-In each bucket a centre is compared with the others of other groups, exactly, by their
-shingles; where the similarity reaches the threshold, the groups unite. Then the bucket
-goes on with new centres (1, 2, 4, ... a round) until all its members are of one group or
-have been a centre. So no pair of a bucket that could still unite two groups is skipped,
-and no pair inside a group costs anything.
+All members of a bucket are compared with a centre, a node with many copies that they share
+buckets with, exactly, by their shingles. Two that both reach the threshold with the centre are of one
+group already. One that does not can only reach it with a node that shares over half of
+the elements by which this node differs from the centre; such pairs meet by equality on
+these few elements, and are compared exactly too. So a bucket loses no pair that could
+unite two groups, and its work follows its members, not their pairs.
 
 Scale: one row per (text, band) is shuffled; shingles travel only for nodes of buckets with
-several groups. Hot buckets are counted by partial aggregates and joined by equality.
+several nodes. Hot buckets are counted by partial aggregates and joined by equality.
 
 Defined results: null or blank texts have no shingles and each is its own class; a text of
 fewer words than k has one shingle, all its words; null ids form classes of their own;
@@ -159,7 +160,7 @@ def _shingles(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; set_a and set_b are sorted as unsigned numbers."""
+    """The pairs (a, b) whose sets reach the threshold."""
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def run(batches):
@@ -174,9 +175,36 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
 
 
+def _differences(pairs: DataFrame, threshold: float) -> DataFrame:
+    """centre, node, n, linked, diff (elements by which node differs from centre, its own first), prefix (how many a partner must meet)."""
+    rate = (1 - threshold) / (1 + threshold)
+    fields = [T.StructField("n", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("diff", _LONGS), T.StructField("prefix", T.IntegerType())]
+    schema = T.StructType([T.StructField("centre", pairs.schema["a"].dataType), T.StructField("node", pairs.schema["b"].dataType), *fields])
+
+    def run(batches):
+        for batch in batches:
+            n, linked, prefix, parts = [], [], [], []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = (z.values.to_numpy(zero_copy_only=False) for z in (x, y))
+                own, lost = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                both, d = len(y) - len(own), len(own) + len(lost)
+                n.append(len(y))
+                linked.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+                # a partner that is far from the centre shares over half of the difference
+                more = max(0, len(y) - len(x))
+                need = int(np.floor((d - more * rate) / 2 - (1e-9 if more else 0))) + 1
+                prefix.append(max(0, d - max(1, need) + 1))
+                parts.append(np.concatenate([own, lost]))
+            flat = pa.array(np.concatenate(parts)) if parts else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), c.list_array(flat, np.array([len(x) for x in parts], np.int64)), pa.array(prefix, pa.int32())], names=schema.names)
+
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it is linked with) of all nodes of edges (a, b). Large-star and small-star rounds."""
     e = c.materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    before = None
     while True:
         # every node hands the least of its neighbourhood to its larger neighbours, then to its smaller ones
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -184,11 +212,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = c.materialize(small.filter("u != v").distinct())
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, new)]
-        if sums[0] == sums[1]:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        e = new
+        e = c.materialize(small.filter("u != v").distinct())
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
 
 
 def _empty(spark: SparkSession, kind: T.DataType, *names: str) -> DataFrame:
@@ -201,39 +229,52 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = sig.schema["_id"].dataType
     usable = sig.filter((F.col("n") > 0) & F.col("_id").isNotNull())
     # texts of one shingle set: the smallest id stands for all
-    nodes = c.materialize(usable.groupBy("s1", "s2").agg(F.min(F.struct("_id", "n", "bands")).alias("x")).select("s1", "s2", "x.*"))
-    entry = nodes.select(F.explode("bands").alias("key"), F.col("_id").alias("node"), F.col("n"))
+    nodes = c.materialize(usable.groupBy("s1", "s2").agg(F.min(F.struct("_id", "n", "bands")).alias("x"), F.count("*").alias("copies")).select("s1", "s2", "x.*", "copies"))
+    entry = nodes.select(F.explode("bands").alias("key"), F.col("_id").alias("node"), "n", "copies")
     crowd = entry.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
     members = c.materialize(entry.join(crowd, "key"))
-    group = _empty(docs.sparkSession, kind, "node", "root")
-    links = _empty(docs.sparkSession, kind, "a", "b")
-    sets_, width = None, 1
-    while True:
-        # buckets whose members are of several groups
-        known = members.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = known.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-        live = c.materialize(known.join(mixed, "key"))
-        if live.isEmpty():
-            break
-        if sets_ is None:
-            sets_ = c.materialize(_shingles(_only(docs, live.select("node").distinct(), doc_id), doc_id, text, k).withColumn("_h", F.xxhash64("set")).dropDuplicates(["_id", "_h"]).drop("_h"))
-        centres = c.materialize(_centres(live, width, threshold))
-        pair = live.join(centres, "key").filter("root != c_root and n >= least_n and n <= most_n")
-        pair = pair.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        a, b = (sets_.select(F.col("_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        near = c.materialize(_similar(pair.join(a, "a").join(b, "b"), threshold))
-        if not near.isEmpty():
-            group = c.materialize(components(links.unionByName(near)))
-            links = group.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        # a centre has met all others of its bucket
-        used = centres.select("key", F.col("centre").alias("node"))
-        members = live.select("key", "node", "n").join(used, ["key", "node"], "left_anti")
-        width *= 2
+    if not members.isEmpty():
+        sets_ = c.materialize(_shingles(_only(docs, members.select("node").distinct(), doc_id), doc_id, text, k).withColumn("_h", F.xxhash64("set")).dropDuplicates(["_id", "_h"]).drop("_h"))
+        group = _united(members, sets_, threshold)
+    else:
+        group = _empty(docs.sparkSession, kind, "node", "root")
     of = nodes.select("s1", "s2", F.col("_id").alias("node")).join(group, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("class_id"))
     out = sig.join(of, ["s1", "s2"], "left")
     return out.select(F.col("_id").alias(doc_id), F.when(F.col("n") > 0, F.coalesce("class_id", "_id")).otherwise(F.col("_id")).alias("class_id"))
 
 
+def _united(members: DataFrame, sets_: DataFrame, threshold: float) -> DataFrame:
+    """node, root: the groups of nodes that share a bucket (key, node, n, copies) and reach the threshold.
+
+    A bucket of two is one pair. The members of others are compared with a centre, which
+    need not be of the bucket: of the nodes that its members share buckets with, the one
+    that stands for most documents, or the smallest of such. Copies with edits scatter
+    around what they were copied from, and all their buckets then have the same centre.
+    Two nodes near the centre are of one group. For a node far from it, a partner must
+    share over half of the partner's difference from the centre: so partners meet by
+    equality on one of the first elements of that difference.
+    """
+    rate = (1 - threshold) / (1 + threshold)
+    best = F.min(F.struct((-F.col("copies")).alias("c"), "node")).alias("hub")
+    many = members.groupBy("key").agg(best, F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y"))
+    many = c.materialize(many)
+    two = many.filter((F.col("many") == 2) & (F.col("x.n") >= F.col("y.n") * threshold - 1e-6) & (F.col("y.n") >= F.col("x.n") * threshold - 1e-6)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    large = members.select("key", "node").join(many.filter("many > 2").select("key", "hub"), "key")
+    hubs = large.groupBy("node").agg(F.min("hub").alias("own_hub"))
+    centres = large.join(hubs, "node").groupBy("key").agg(F.min("own_hub").alias("h")).select("key", F.col("h.node").alias("centre"))
+    pair = large.join(centres, "key").filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(two).distinct()
+    a, b = (sets_.select(F.col("_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    found = c.materialize(_differences(pair.join(a, "a").join(b, "b"), threshold))
+    crowds = found.groupBy("centre").agg(F.count("*").alias("many"), F.min("linked").alias("all_near")).filter("many > 1 and not all_near").select("centre")
+    rows = found.join(crowds, "centre").withColumn("d", F.size("diff"))
+    far = rows.filter("not linked").select("centre", F.col("node").alias("far"), F.col("n").alias("far_n"), F.col("d").alias("far_d"), F.explode("diff").alias("e"))
+    near = rows.select("centre", "node", "n", "d", F.explode(F.slice("diff", 1, F.greatest("prefix", F.lit(0)))).alias("e"))
+    fits = (F.col("node") != F.col("far")) & (F.abs(F.col("d") - F.col("far_d")) <= (F.col("n") + F.col("far_n")) * rate + 1e-6) & F.col("n").between(F.col("far_n") * threshold - 1e-6, F.col("far_n") / threshold + 1e-6)
+    more = far.join(near, ["centre", "e"]).filter(fits).select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b")).distinct()
+    more = _similar(more.join(a, "a").join(b, "b"), threshold)
+    return components(found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(more))
+
+
 def _only(docs: DataFrame, nodes: DataFrame, doc_id: str) -> DataFrame:
     """The documents with these ids; the ids are broadcast up to a checked number, joined by a shuffle beyond it."""
     nodes = nodes.withColumnRenamed("node", "__node")
@@ -241,15 +282,6 @@ def _only(docs: DataFrame, nodes: DataFrame, doc_id: str) -> DataFrame:
     return docs.join(F.broadcast(nodes) if few else nodes, F.col(doc_id) == F.col("__node"), "left_semi")
 
 
-def _centres(live: DataFrame, width: int, threshold: float) -> DataFrame:
-    """key, centre, c_root, least_n, most_n: up to width members of each bucket, the smallest and others by hashes."""
-    one = lambda j: F.struct(*([F.xxhash64("node", F.lit(j)).alias("h")] if j else []), F.struct("node", "n", "root").alias("x"))
-    picks = live.groupBy("key").agg(*[F.min(one(j))["x"].alias(f"c{j}") for j in range(width)])
-    x = F.col("x")
-    each = picks.select("key", F.explode(F.array_distinct(F.array(*[f"c{j}" for j in range(width)]))).alias("x"))
-    return each.select("key", x["node"].alias("centre"), x["root"].alias("c_root"), (x["n"] * threshold).alias("least_n"), (x["n"] / threshold).alias("most_n"))
-
-
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents that stand for their group, with all their columns. Rows without an id all stay; of rows that share an id one stays."""
     groups = near_duplicates(docs, doc_id, text, **how)
