@@ -153,34 +153,42 @@ def search_library(pages: DataFrame, books: DataFrame, q: str, limit: int = 120,
     """Stored pages that contain q, in shelf order, then by path; totals count the shown matches."""
     q = q.strip().lower()
     shelf = books.select(F.col("id").alias("book_id"), "shelf_pos")
-    rows = pages.filter(F.lower("text").contains(q) if len(q) >= 2 else F.lit(False)).join(F.broadcast(shelf), "book_id")
+    rows = pages.filter(F.lower("text").contains(q) if len(q) >= 2 else F.lit(False)).join(shelf, "book_id")
     hits = rows.select("book_id", "shelf_pos", "path", "title", snippets_library("text", q, most).alias("matches")).withColumn("occurrence_total", F.size("matches"))
     return hits.orderBy("shelf_pos", "path").limit(limit)
 
 
+def _grams(x: Column, n: int) -> Column:
+    """Distinct runs of n characters: n shifted arrays of characters joined place by place, in time of the length."""
+    chars = F.split(x, "")
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(out, lambda g: F.length(g) == n))
+
+
 def batch_search(pages: DataFrame, queries: DataFrame, few: int = 64) -> DataFrame:
     """query_id, book_id, path, occurrence_total for a whole table of queries.
 
     Up to `few` queries (counted) are broadcast and tested on every page. More queries go
-    by their rarest gram of three characters: pages and queries meet by equality on it, and
-    a test of the text follows. Queries of two characters always go the first way.
+    by their rarest gram of three characters (or two, if they have no more): pages and
+    queries meet by equality on it, and a test of the text follows.
     """
     queries = queries.select("query_id", F.lower(t.trim(F.col("q"))).alias("q")).filter(F.length("q") >= 2)
     low = pages.select("book_id", "path", F.lower("text").alias("low"))
     out = ["query_id", "book_id", "path", occurrence_count("low", F.col("q")).alias("occurrence_total")]
     if queries.limit(few + 1).count() <= few:
         return low.join(F.broadcast(queries), F.col("low").contains(F.col("q"))).select(*out)
-    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substr(x, i, F.lit(3))))
-    short, long = queries.filter(F.length("q") < 3), queries.filter(F.length("q") >= 3)
-    # only grams of queries are counted and joined: the other grams of a page never leave its task
-    wanted = long.select("query_id", "q", F.explode(grams(F.col("q"))).alias("gram"))
-    names = wanted.select("gram").distinct()
-    page_grams = low.filter(F.length("low") >= 3).select("book_id", "path", F.explode(grams(F.col("low"))).alias("gram")).join(names, "gram", "left_semi")
+    short, long = queries.filter(F.length("q") == 2), queries.filter(F.length("q") > 2)
+    # a query of two characters is a gram itself
+    pairs = low.filter(F.length("low") >= 2).select("book_id", "path", F.explode(_grams(F.col("low"), 2)).alias("q")).join(short, "q").select("book_id", "path", "query_id", "q")
+    # only grams of queries are counted and joined: the other grams of a page end at the semi join
+    wanted = long.select("query_id", "q", F.explode(_grams(F.col("q"), 3)).alias("gram"))
+    page_grams = low.filter(F.length("low") >= 3).select("book_id", "path", F.explode(_grams(F.col("low"), 3)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
     weight = page_grams.groupBy("gram").agg(F.count("*").alias("n"))
     rare = wanted.join(weight, "gram", "left").groupBy("query_id", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    pairs = page_grams.join(rare, "gram").select("book_id", "path", "query_id", "q")
-    tested = pairs.join(low, ["book_id", "path"]).filter(F.col("low").contains(F.col("q"))).select(*out)
-    return tested.unionByName(low.join(F.broadcast(short.limit(few)), F.col("low").contains(F.col("q"))).select(*out)) if short.limit(few + 1).count() <= few else tested.unionByName(low.join(short, F.col("low").contains(F.col("q"))).select(*out))
+    pairs = pairs.unionByName(page_grams.join(rare, "gram").select("book_id", "path", "query_id", "q")).distinct()
+    return pairs.join(low, ["book_id", "path"]).filter(F.col("low").contains(F.col("q"))).select(*out)
 
 
 # --- hits ---------------------------------------------------------------------------
@@ -237,7 +245,7 @@ def merged_results(local: DataFrame, full: DataFrame, instant: int = 60, most: i
 
 def library_grouped_results(quick: DataFrame, full: DataFrame, books: DataFrame, most: int = 45) -> DataFrame:
     """kind, shelf_pos, n, book_id, path, title: at most 45 rows of each book and kind, quick ones by score, texts by match."""
-    q = cap_per_book(quick.join(F.broadcast(books.select(F.col("id").alias("book_id"), "shelf_pos")), "book_id"), [F.col("score").desc(), "title", "term_id"], most)
+    q = cap_per_book(quick.join(books.select(F.col("id").alias("book_id"), "shelf_pos"), "book_id"), [F.col("score").desc(), "title", "term_id"], most)
     f = cap_per_book(explode_matches(full), ["path", "occurrence_index"], most)
     keep = ["shelf_pos", "n", "book_id", "path", "title"]
     return q.select(F.lit("quick").alias("kind"), *keep).unionByName(f.select(F.lit("full").alias("kind"), *keep))
