@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 from . import _common as c
 
 #: Bytes of text whose pieces are replayed together.
-CORPUS_BYTES = 8 << 20
-#: Distinct chunks that a worker remembers; then it starts anew, which changes no result.
-CORPUS_CHUNKS = 500_000
+CORPUS_BYTES = 4 << 20
+#: Distinct chunks that a task remembers; then it starts anew, which changes no result.
+CORPUS_CHUNKS = 300_000
 #: White space as the splitting pattern means it: the Unicode property, without the separators 1C-1F.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Between a non-space and a space there is always a piece boundary.
@@ -277,6 +277,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
             for a, b in c.slices(np.concatenate([[0], np.cumsum(counts * 4)])):
                 flat = np.concatenate(found[a:b]) if b > a else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, b - a), c.list_array(pa.array(flat.astype(np.int32)), counts[a:b])], names=schema.names)
+        v.forget()
 
     return c.id_and_text(docs, doc_id, text).mapInArrow(run, schema)
 
@@ -311,6 +312,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                 text_sha.append(hashlib.sha256(back).hexdigest())
                 ok.append(back == own)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(ok, pa.bool_())], names=schema.names)
+        v.forget()  # the worker may go on with other work
 
     return c.id_and_text(docs, doc_id, text).mapInArrow(run, schema)
 
