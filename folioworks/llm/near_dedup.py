@@ -268,8 +268,12 @@ def _united(members: DataFrame, sets_: DataFrame, threshold: float) -> DataFrame
     crowds = found.groupBy("centre").agg(F.count("*").alias("many"), F.min("linked").alias("all_near")).filter("many > 1 and not all_near").select("centre")
     rows = found.join(crowds, "centre").withColumn("d", F.size("diff"))
     far = rows.filter("not linked").select("centre", F.col("node").alias("far"), F.col("n").alias("far_n"), F.col("d").alias("far_d"), F.explode("diff").alias("e"))
-    near = rows.select("centre", "node", "n", "d", F.explode(F.slice("diff", 1, F.greatest("prefix", F.lit(0)))).alias("e"))
-    fits = (F.col("node") != F.col("far")) & (F.abs(F.col("d") - F.col("far_d")) <= (F.col("n") + F.col("far_n")) * rate + 1e-6) & F.col("n").between(F.col("far_n") * threshold - 1e-6, F.col("far_n") / threshold + 1e-6)
+    near = rows.select("centre", "node", "n", "d", "linked", F.posexplode(F.slice("diff", 1, F.greatest("prefix", F.lit(0)))).alias("pos", "e"))
+    # of two far nodes the one with the smaller difference is the partner; one of its elements before this place is shared
+    small = F.col("linked") | (F.struct("d", "node") < F.struct("far_d", "far"))
+    allowed = (F.col("n") + F.col("far_n")) * rate
+    place = F.col("pos") <= F.col("d") - F.ceil((F.col("far_d") + F.col("d") - allowed) / 2 - 1e-6)
+    fits = (F.col("node") != F.col("far")) & small & place & (F.abs(F.col("d") - F.col("far_d")) <= allowed + 1e-6) & F.col("n").between(F.col("far_n") * threshold - 1e-6, F.col("far_n") / threshold + 1e-6)
     more = far.join(near, ["centre", "e"]).filter(fits).select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b")).distinct()
     more = _similar(more.join(a, "a").join(b, "b"), threshold)
     return components(found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(more))
