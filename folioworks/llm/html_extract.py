@@ -1,29 +1,38 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A token is an element with its path of named ancestors. Over the pages of a host, each
+A token is an element with its path of named ancestors (digits in names read as one), or
+the k-th occurrence of a word in a page's elements of one path. Over the pages of a host, each
 token has an occurrence vector: how often each page has it. Tokens of equal vectors form
-an equivalence class. The class of the page root (once on every page) is the skeleton of
-the template; classes of deeper tokens nest in it by their paths. A class is valid if it
-has several tokens, or is the root's, and most pages of the host have it. Between the
-skeleton's tokens lie the slots. The main slot is the innermost one that holds nearly all
-text that is not in an element made for something else (menus, notices, adverts and so
-on, known by element and by the words of its class or id). A page that lacks the slot
-gives its own article or main element, else its whole body, in the same way.
+an equivalence class. A class is valid if it has several tokens, or is the page root's
+(once on every page), and most pages of the host have it. A block of text is template if
+valid classes cover all its words; headings and paragraphs inside an article or main
+element are the author's own and never template. Every other block is kept, in page
+order, wherever it lies, if it is not in an element made for something else: one such by
+its element (nav, footer, script and so on), or outside articles by a class, id or role
+of which every word says so. Such a name is a hint only: it does not count where it
+encloses the page's own article, main element or first heading.
+
+A host of fewer pages than `LEAST_PAGES` shows no template: there a page gives its own
+main element, else the innermost element that holds all its articles and first headings,
+else its body. A page of which nothing would be left is a copy of most others of its
+host, and is kept.
 
 Scale: vectors are kept as sums of hashed pages, so a token's statistics are one row per
 host and token however many pages there are, summed in tasks before the shuffle. The
-chosen slots (one row per host) are broadcast up to a checked number of hosts.
+template (one row per host) is broadcast up to a checked number of hosts and tokens.
 
 Defined results: null or empty html gives empty text; a null or odd address is a host of
-its own kind (""); repeated rows each give a row; nothing is cut off.
+its own kind (""); repeated rows each give a row; no length is cut off. Text outside
+articles' headings and paragraphs that most pages of a host share counts as template.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,36 +42,61 @@ from pyspark.sql import types as T
 from . import _common as c
 
 #: Elements that never hold main text, and words in classes or ids of elements made for something else.
-ASIDE_ELEMENTS = frozenset("head nav footer aside form script style noscript template iframe object select option textarea button svg math canvas audio video dialog menu".split())
+ASIDE_ELEMENTS = frozenset("head nav footer aside script style noscript template iframe object select option textarea button svg math canvas audio video dialog menu".split())
 ASIDE_WORDS = frozenset(
     """ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs
     masthead topbar footer sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login
     comment comments respond disqus reply replies reactions share sharing social related recommended recommendations widget toolbar pagination pager copyright legal
     disclaimer skip search form hidden""".split()
 )
+#: Words that may stand beside those in a name: site-footer, main-nav, share-buttons.
+NEUTRAL_WORDS = frozenset("site page main global top bottom left right primary secondary inner outer box bar wrap wrapper container block list links area section widget buttons posts articles".split())
+#: Elements whose names are no hint: the page, its text and its own parts.
+UNNAMED = frozenset("html body main article p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: Elements that no template is looked for in, inside an article.
+OWN_TEXT = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Pages of a host from which a template can be told.
+LEAST_PAGES = 3
 HEADER_NAMES = frozenset("header site-header page-header main-header top-header".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("body main article section div td".split())
+#: The value of aside in an element that never holds main text; else it is the path of the element whose name is a hint, or "".
+NEVER = "!"
 RAW = "script|style|textarea|title|noscript|iframe|template|svg"
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
+_IN_ARTICLE = re.compile(r">(?:article|main)(?:[.>]|$)")
 #: What an open element is ended by, if another of these starts.
 _P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+@functools.lru_cache(1 << 14)
+def in_article(path: str) -> bool:
+    return _IN_ARTICLE.search(path) is not None
+
+
+@functools.lru_cache(1 << 14)
+def aside_name(name: str) -> bool:
+    """A class, id or role that says as a whole that its element is made for something else."""
+    found = [w.lower() for w in _WORDS.findall(name)]
+    return name.lower() in HEADER_NAMES or not ASIDE_WORDS.isdisjoint(found) and all(w in ASIDE_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in found)
+
+
 def events(page: str):
     """(path, depth, aside, started, text) of each start of an element and each text, in page order.
 
     path: the open elements that are not inline, with their names; started: the element that
-    starts here; text: the raw text here, or None at a start. aside: inside an element made for something else.
+    starts here; text: the raw text here, or None at a start. aside: inside an element made for something else
+    (NEVER, or the path of the element that is one by its name), else "".
     """
-    stack: list[tuple[str, str, bool]] = []  # element, path, aside
+    stack: list[tuple[str, str, str]] = []  # element, path, aside
     at = 0
-    path, aside = "", False
+    path, aside = "", ""
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             yield path, aside, None, page[at : m.start()]
@@ -76,7 +110,7 @@ def events(page: str):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            path, aside = stack[-1][1:] if stack else ("", False)
+            path, aside = stack[-1][1:] if stack else ("", "")
             if tag not in INLINE:
                 yield path, aside, None, None
             continue
@@ -97,10 +131,16 @@ def events(page: str):
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table"):
                     break
-        path, aside = stack[-1][1:] if stack else ("", False)
+        path, aside = stack[-1][1:] if stack else ("", "")
         names = sorted({x for y in _NAMES.findall(m["attrs"]) for x in "".join(y[1:]).split()}) if m["attrs"] else []
-        inner = aside or tag in ASIDE_ELEMENTS or tag == "header" and "article" not in path and "main" not in path or not HEADER_NAMES.isdisjoint(names) or any(w.lower() in ASIDE_WORDS for x in names for w in _WORDS.findall(x))
-        own = path if tag in INLINE else f"{path}>{'.'.join([tag, *names])}"
+        own = path if tag in INLINE else f"{path}>{'.'.join([tag, *(_DIGITS.sub('0', x) for x in names)])}"
+        inner = aside
+        if aside != NEVER:
+            article = in_article(path)
+            if tag in ASIDE_ELEMENTS or tag == "header" and not article:
+                inner = NEVER
+            elif not aside and (tag == "form" or not article and tag not in UNNAMED and tag not in INLINE and any(map(aside_name, names))):
+                inner = own
         if tag not in VOID:
             stack.append((tag, own, inner))
             path, aside = own, inner
@@ -110,105 +150,146 @@ def events(page: str):
         yield path, aside, None, page[at:]
 
 
-def blocks(page: str):
-    """(path, aside, text) of each block with text: references decoded, white space one blank."""
+def blocks(page: str) -> list[tuple[str, str, str]]:
+    """(path, aside, text) of each block with text that is not in a NEVER element: references decoded, white space one blank.
+
+    A name that is a hint is forgotten where it encloses what the page is about.
+    """
+    out: list[tuple[str, str, str]] = []
+    heads: list[str] = []
     parts: list[str] = []
-    where = ("", False)
+    where = ("", "")
+
+    def done() -> None:
+        if parts and where[1] != NEVER and (text := " ".join(entities.unescape("".join(parts)).split())):
+            out.append((*where, text))
+
     for path, aside, tag, text in events(page):
+        if tag in ("article", "main", "h1") and aside != NEVER:
+            heads.append(aside)
         if text is None or (path, aside) != where:
-            if parts and (done := " ".join(entities.unescape("".join(parts)).split())):
-                yield *where, done
+            done()
             parts, where = [], (path, aside)
         if text is not None:
             parts.append(text)
-    if parts and (done := " ".join(entities.unescape("".join(parts)).split())):
-        yield *where, done
+    done()
+    if all(aside for _, aside, _ in out):
+        return [(path, "", text) for path, _, text in out]
+    if heads and all(heads):
+        return [(path, "" if aside == heads[0] else aside, text) for path, aside, text in out]
+    return out
+
+
+@functools.lru_cache(1 << 14)
+def own_text(path: str) -> bool:
+    """A heading or paragraph inside an article or main element."""
+    return path[path.rfind(">") + 1 :].split(".", 1)[0] in OWN_TEXT and in_article(path)
 
 
 def _hash(*what: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(what).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def tokens(page: str) -> dict[str, list[int]]:
-    """Of each container token: how often the page has it, and the letters of its text that is not aside."""
-    out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    out[""][0] = 1
-    for path, aside, tag, text in events(page):
-        if tag in CONTAINERS and not aside:
-            out[path][0] += 1
-        elif text is not None and not aside and (n := sum(map(len, text.split()))):
-            out[""][1] += n
-            for i, x in enumerate(path):
-                if x == ">" and i:
-                    if path[:i] in out:
-                        out[path[:i]][1] += n
-            if path in out:
-                out[path][1] += n
+@functools.lru_cache(1 << 14)
+def path_key(path: str) -> str:
+    return f"{_hash(path) & (1 << 64) - 1:x}"
+
+
+def tokens(page: str) -> Counter[str]:
+    """How often the page has each token: the root (""), elements, and words outside own texts."""
+    out: Counter[str] = Counter({"": 1})
+    seen: Counter[str] = Counter()
+    for path, aside, text in blocks(page):
+        out[path_key(path)] += 1
+        if not aside and not own_text(path):
+            out.update(word_tokens(path, text, seen))
+    return out
+
+
+def word_tokens(path: str, text: str, seen: Counter[str]) -> list[str]:
+    """Tokens of a block's words; seen counts the page's words so far."""
+    out = []
+    for w in text.split():
+        word = f"{path_key(path)} {w}"
+        seen[word] += 1
+        out.append(f"{word} {seen[word]}")
     return out
 
 
 def token_statistics(pages: DataFrame) -> DataFrame:
-    """host, token, vector (sum of hashed pages times occurrences), pages, letters. Rows are (_host, _text)."""
+    """host, token, vector (sum of hashed pages times occurrences), pages. Rows are (_host, _text)."""
 
     def run(batches):
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
+            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
             for host, text in zip(batch.column("_host").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 page = _hash(text)
-                for token, (often, letters) in tokens(text).items():
+                for token, often in tokens(text).items():
                     s = sums[host, token]
                     s[0] = s[0] + page * often & (1 << 64) - 1
                     s[1] += 1
-                    s[2] += letters
-            rows = [(h, t, v - (1 << 64) if v >> 63 else v, n, x) for (h, t), (v, n, x) in sums.items()]
+            rows = [(h, t, v - (1 << 64) if v >> 63 else v, n) for (h, t), (v, n) in sums.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["host", "token", "vector", "pages", "letters"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["host", "token", "vector", "pages"])
 
     # sums of hashes are taken modulo 2**64: halves are summed apart, so that no sum overflows
-    part = pages.select("_host", "_text").mapInArrow(run, "host string, token string, vector long, pages long, letters long")
+    part = pages.select("_host", "_text").mapInArrow(run, "host string, token string, vector long, pages long")
     low, high = F.col("vector").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("vector", 32)
-    sums = part.groupBy("host", "token").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.sum("pages").alias("pages"), F.sum("letters").alias("letters"))
+    sums = part.groupBy("host", "token").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.sum("pages").alias("pages"))
     vector = F.concat_ws(":", F.col("low").bitwiseAND(0xFFFFFFFF), (F.col("high") + F.shiftright("low", 32)).bitwiseAND(0xFFFFFFFF))
-    return sums.select("host", "token", vector.alias("vector"), "pages", "letters")
+    return sums.select("host", "token", vector.alias("vector"), "pages")
 
 
-def main_slots(statistics: DataFrame, most: float = 0.5, share: float = 0.9) -> DataFrame:
-    """host, slot: the token that encloses the main text on the host's pages."""
-    root = statistics.filter("token = ''").select("host", F.col("vector").alias("root_vector"), F.col("pages").alias("all_pages"), F.col("letters").alias("all_letters"))
-    size = statistics.groupBy("host", "vector").agg(F.count("*").alias("tokens"))
-    valid = statistics.filter("token != ''").join(size, ["host", "vector"]).join(root, "host").filter((F.col("pages") >= most * F.col("all_pages")) & ((F.col("vector") == F.col("root_vector")) | (F.col("tokens") > 1)))
-    named = F.regexp_extract("token", r">([a-z]+)[^>]*$", 1).isin("article", "main")
-    depth = F.size(F.split("token", ">"))
-    slots = valid.filter(F.col("letters") >= share * F.col("all_letters"))
-    return slots.groupBy("host").agg(F.max(F.struct(named.alias("named"), depth.alias("depth"), "token")).alias("x")).select("host", F.col("x.token").alias("slot"))
+def templates(statistics: DataFrame, most: float = 0.5) -> DataFrame:
+    """host, tokens, template: words with paths in valid classes, one a line; for hosts with enough pages."""
+    root = statistics.filter("token = ''").select("host", F.col("vector").alias("root_vector"), F.col("pages").alias("all_pages")).filter(F.col("all_pages") >= LEAST_PAGES)
+    often = statistics.join(root, "host").filter(F.col("pages") > most * F.col("all_pages"))
+    size = often.groupBy("host", "vector").agg(F.count("*").alias("size"))
+    valid = often.join(size, ["host", "vector"]).filter((F.col("vector") == F.col("root_vector")) | (F.col("size") > 1))
+    words = F.collect_list(F.when(F.col("token").contains(" "), F.col("token")))
+    return valid.groupBy("host").agg(words.alias("words")).select("host", F.size("words").alias("tokens"), F.array_join("words", "\n").alias("template"))
 
 
-def main_text(page: str, slot: str | None) -> str:
-    """The page's text in the slot; without a slot on the page, in its own article or main element, else in its body."""
+@functools.lru_cache(1 << 10)
+def _template(lines: str) -> frozenset[str]:
+    return frozenset(lines.split("\n"))
+
+
+def _around(paths: list[str]) -> str:
+    """The innermost element that encloses these elements."""
+    steps = [x.split(">") for x in paths]
+    same = 0
+    while all(len(x) > same for x in steps) and len({x[same] for x in steps}) == 1:
+        same += 1
+    return ">".join(steps[0][:same])
+
+
+def main_text(page: str, template: str | None) -> str:
+    """The page's text that is neither aside nor template; on a host without template (None), that of its own main part."""
     found = [(path, text) for path, aside, text in blocks(page) if not aside]
-    if slot:
-        own = [text for path, text in found if path == slot or path.startswith(slot + ">")]
-        if own:
-            return " ".join(own)
-    for tag in ("article", "main"):
-        own = [text for path, text in found if re.search(rf">{tag}(?:[.>]|$)", path)]
-        if own:
-            return " ".join(own)
-    return " ".join(text for _, text in found)
-
-
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
+    if template is not None:
+        known, seen = _template(template), Counter()
+        own = [text for path, text in found if own_text(path) or not known.issuperset(word_tokens(path, text, seen))]
+    else:
+        marks = [(tag, path) for path, aside, tag, _ in events(page) if not aside and tag in ("main", "article", "h1")]
+        inside = _around([path for tag, path in marks if tag == "main"] or [path for _, path in marks]) if marks else ""
+        own = [text for path, text in found if path == inside or path.startswith(inside + ">")] if inside else []
+    return " ".join(own or [text for _, text in found])
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_hosts: int = 100_000, broadcast_tokens: int = 1_000_000) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points)."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     p = pages.select(F.col(page_id).alias("_id"), F.col(url).cast("string").alias("_url"), host.alias("_host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_text"))
-    slots = c.materialize(main_slots(token_statistics(p))).withColumnRenamed("host", "_host")
-    few = slots.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    joined = p.join(F.broadcast(slots) if few else slots, "_host", "left").select("_id", "_url", "_text", "slot")
+    known = c.materialize(templates(c.materialize(token_statistics(p)))).withColumnRenamed("host", "_host")
+    size = known.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    few = size["hosts"] <= broadcast_hosts and size["tokens"] <= broadcast_tokens
+    joined = p.join(F.broadcast(known) if few else known, "_host", "left").select("_id", "_url", "_text", "template")
     schema = T.StructType([T.StructField(page_id, p.schema["_id"].dataType), T.StructField(url, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            out = [main_text(t, s) for t, s in zip(batch.column("_text").to_pylist(), batch.column("slot").to_pylist(), strict=True)]
+            out = [main_text(t, s) for t, s in zip(batch.column("_text").to_pylist(), batch.column("template").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)

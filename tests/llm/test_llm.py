@@ -253,6 +253,21 @@ def test_html(spark):
     assert got[5] == got[6] == ("", 0) and got[7][0] == "Long text of the page" and got[8][0] == "plain <b>"
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://{host}/{i}", x) for i, (host, x) in enumerate(pages)]
+    return [r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_template_and_names(spark):
+    page = lambda k: f"<body class='has-sidebar'><div><ul><li>Home</li><li>News of news of</li></ul></div><p>We like cookies, cookies, ok {k % 2 and 'yes' or ''}</p><main class='with-sidebar'><h2 id='related-work'>Work {k}</h2><section id='social-history'>Past {k}</section><p id='search-results'>Found {k} <span class='hidden-gem'>gem</span></p><div>Tell your friends</div></main><div class='site-footer'>Year {k}</div></body>"
+    got = texts_of(spark, [("t.example", page(k)) for k in range(12)] + [("one.example", page(3))])
+    for k in range(12):
+        assert got[k].endswith(f"Work {k} Past {k} Found {k} gem") and "Home" not in got[k] and "News" not in got[k], got[k]
+        assert k % 2 or "cookies" not in got[k], got[k]
+    assert got[12] == "Work 3 Past 3 Found 3 gem Tell your friends"
+    assert texts_of(spark, [("o.example", f"<body><div class=hidden><h1>T {k}</h1><p>x {k}</p></div></body>") for k in range(4)]) == [f"T {k} x {k}" for k in range(4)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 12)).astype(np.float32).astype(float)
