@@ -268,6 +268,15 @@ def test_html_template_and_names(spark):
     assert texts_of(spark, [("o.example", f"<body><div class=hidden><h1>T {k}</h1><p>x {k}</p></div></body>") for k in range(4)]) == [f"T {k} x {k}" for k in range(4)]
 
 
+def test_html_keeps_all_slots(spark):
+    long = "words of a long story " * 40
+    a = lambda k: f"<body><nav>no</nav><main><h1>Title {k}</h1><article id=post-{k}><p>{long}{k}</p></article></main><footer>no</footer></body>"
+    b = lambda k: f"<body><div>menu here</div><div id=content><h1>Title {k}</h1><div class=lead>Lead {k}</div><div class=story>{(long if k else 'short ') + str(k)}</div></div></body>"
+    got = texts_of(spark, [("a.example", a(k)) for k in range(4)] + [("b.example", b(k)) for k in range(4)] + [("one.example", a(9))])
+    assert got[:4] == [f"Title {k} {long}{k}" for k in range(4)] and got[8] == f"Title 9 {long}9"
+    assert got[4:8] == [f"Title {k} Lead {k} {(long if k else 'short ') + str(k)}" for k in range(4)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 12)).astype(np.float32).astype(float)
