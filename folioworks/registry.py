@@ -193,6 +193,16 @@ def quick_search_in_scope(s, d):
     return search.quick_search_book(none, index, _terms(s, d), "a", scope, 1000).select("path", "title", "score")
 
 
+@query(f"with {TOC}, own as (select lower(name) k from toc where \"local\" is not null and list_contains(ancestors, 0) and contains(lower(name), 'e')) select case when k = 'e' then 120 when starts_with(k, 'e') then 95 else 70 end score, '目录' source, count(*) hits from own group by all")
+def quick_search_in_node(s, d):
+    """All hits of contents, index and terms on the pages of one node of the contents."""
+    nodes = b.toc_nodes(s, d)
+    spine = nodes.filter("local is not null")
+    scope = tree.scope_paths(nodes, spine.select("book_id", F.col("local").alias("path"))).filter("node_id = 0").select("path")
+    index = b.part_terms(s, d).select("book_id", F.col("kind").alias("name"), F.array("path").alias("targets"), F.col("doc_pos").alias("pos"))
+    return search.best_per_key(search.in_scope(search.union_sources(spine, index, _terms(s, d), "e"), scope)).groupBy("score", "source").agg(F.count("*").alias("hits"))
+
+
 @query(f"with {TEXTS}, {SHELF}, h as (select book_id, path, shelf_pos, texts.title, {COUNT.format('lower(text)', chr(39) + 'tion' + chr(39))} n from texts join placed on id = book_id where (index_state = 'ready' or index_done > 0) and contains(lower(text), 'tion') order by shelf_pos, path limit 150) select book_id, path, shelf_pos, title, least(n, 6) occurrence_total from h")
 def search_library(s, d):
     order = library.shelf_order(b.shelf(s, d))
@@ -277,6 +287,14 @@ def search_scopes(s, d):
     return tree.search_scopes(nodes, docs, docs.filter("node_id % 10 = 0").select("book_id", "path")).select("path", "depth", "kind")
 
 
+@query(ORACLE_SQL["search_scopes"].replace(" and node_id % 10 = 0", ""))
+def search_scopes_all(s, d):
+    """The scopes of every page."""
+    nodes = b.toc_nodes(s, d)
+    docs = nodes.filter("local is not null").select("book_id", F.col("local").alias("path"))
+    return tree.search_scopes(nodes, docs, docs).select("path", "depth", "kind")
+
+
 @query(f"with {TOC}, x as (select t.name, t.\"local\" target, a.name n1, b.name n2 from toc t join toc a on a.node_id = t.ancestors[1] join toc b on b.node_id = t.ancestors[2] where t.\"local\" is not null) select n1 || ', ' || n2 || ', ' || name as name, target from x")
 def flatten_index(s, d):
     return tree.flatten_index(b.toc_nodes(s, d)).select("name", F.col("targets")[0].alias("target"))
@@ -320,6 +338,14 @@ def upsert(s, d):
     return b.upsert(old, new, b.PAGE_KEYS, ["k"]).groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("book_id").alias("books"))
 
 
+@query("with n as (select o_orderkey book_id, '1' path, o_orderstatus text from orders), e as (select l_orderkey book_id, cast(l_linenumber as varchar) path, 'old' text from lineitem) select text, count(*) n, count(distinct book_id) books from (select * from n union all select distinct * from e where not exists (select 1 from n where n.book_id = e.book_id and n.path = e.path)) group by text")
+def upsert_all(s, d):
+    """Every line of every order as stored, and a new first line of every order."""
+    old = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("string").alias("path"), F.lit("old").alias("text"))
+    new = b.table(s, d, "orders").select(F.col("o_orderkey").alias("book_id"), F.lit("1").alias("path"), F.col("o_orderstatus").alias("text"), F.lit(1).alias("k"))
+    return b.upsert(old.distinct(), new, b.PAGE_KEYS, ["k"]).groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("book_id").alias("books"))
+
+
 @query(f"with {TEXTS}, gone as (select source from documents group by 1 having cast(regexp_extract(source, '(\\d+)', 1) as bigint) % 2 = 0) select book_id, count(*) pages from texts where book_id not in (select source from gone) group by 1")
 def clear_books(s, d):
     ids = b.shelf(s, d).filter(F.regexp_extract("id", r"(\d+)", 1).cast("long") % 2 == 0).select("id")
@@ -339,6 +365,13 @@ def text_scalars(s, d):
     return rows.select("doc_id", F.substring(t.book_id_for_file("source", "n_chars", "doc_id"), 1, 2).alias("prefix"), t.format_bytes("n_chars").alias("size"), t.compact_compare("line").alias("short"))
 
 
+@query()
+def text_scalars_all(s, d):
+    """Ids, sizes and names to compare of all documents, whatever their script."""
+    rows = b.table(s, d, "documents").withColumn("line", F.element_at(F.split("text", "\n"), 1))
+    return rows.select("doc_id", t.book_id_for_file("source", "n_chars", "doc_id").alias("book_id"), t.format_bytes("n_chars").alias("size"), t.compact_compare("line").alias("short"))
+
+
 @query("select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9))) clean_md5, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 87 html_length from documents")
 def text_forms(s, d):
     return b.table(s, d, "documents").select("doc_id", F.md5(t.clean_text("text")).alias("clean_md5"), F.length(t.plain_text_html("text")).alias("html_length"))
