@@ -65,7 +65,7 @@ def extract_pages(s, d):
 
 @query(f"with {PAGES}, c as (select book_id, path, doc_pos, 0 pattern_no, trim(regexp_replace(title, '\\s+', ' ', 'g')) label, '页面标题' source from pg union all select book_id, path, doc_pos, 1, trim(regexp_replace({STRIP.format('h')}, '\\s+', ' ', 'g')), '正文术语' from (select book_id, path, doc_pos, unnest(regexp_extract_all({BODY.format('html')}, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)) h from raw)), k as (select *, row_number() over (partition by book_id, lower(label) order by doc_pos, pattern_no, path) n from c where length(label) between 2 and 70 and len(regexp_extract_all(label, '[。！？!?；;]')) <= 1) select book_id, path, label, source from k where n = 1")
 def extract_terms(s, d):
-    return extract.extract_terms(_pages(s, d)).select("book_id", "path", "label", "source")
+    return extract.extract_terms(_pages(s, d), exact=True).select("book_id", "path", "label", "source")
 
 
 @query(f"with {PAGES}, c as (select book_id, path, doc_pos, 0 pattern_no, trim(regexp_replace(title, '\\s+', ' ', 'g')) label from pg union all select book_id, path, doc_pos, 1, trim(regexp_replace({STRIP.format('h')}, '\\s+', ' ', 'g')) from (select book_id, path, doc_pos, unnest(regexp_extract_all({BODY.format('html')}, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)) h from raw)) select book_id, count(distinct lower(label)) terms from c where length(label) between 2 and 70 and len(regexp_extract_all(label, '[。！？!?；;]')) <= 1 group by book_id")
@@ -135,6 +135,22 @@ def indexable(s, d):
     return extract.indexable(raw, 10).select("book_id", "path", "doc_pos")
 
 
+@query(ORACLE_SQL["indexable"].replace("n <= 10", "n <= 20000"))
+def indexable_all(s, d):
+    """With the reference's limit."""
+    raw = b.raw_pages(s, d).withColumn("length", F.octet_length("html").cast("long"))
+    return extract.indexable(raw).select("book_id", "path", "doc_pos")
+
+
+@query()
+def build_index(s, d):
+    """The whole job: what each page gives to the index."""
+    pages, terms = library.build_index(b.raw_pages(s, d), exact=True)
+    n = terms.groupBy("book_id", "path").agg(F.count("*").alias("terms"))
+    chars = pages.groupBy("book_id", "path").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("n_chars"))
+    return chars.join(n, ["book_id", "path"], "left").select("book_id", "path", "pages", "n_chars", F.coalesce("terms", F.lit(0)).alias("terms"))
+
+
 @query(f"with {PAGES} select book_id, path, coalesce(nullif(title, ''), path) title, coalesce(nullif(trim(substr(regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), 1, 1600), ''), ''), '-') preview from pg")
 def page_preview(s, d):
     return extract.page_preview(_pages(s, d))
@@ -255,6 +271,31 @@ def merged_results(s, d):
     return search.merged_results(quick, full).groupBy("section").agg(F.count("*").alias("n"))
 
 
+@query(ORACLE_SQL["running_cap"].replace("limit 40)", "limit 100)"))
+def running_cap_all(s, d):
+    """Over as many hits as callers give."""
+    low = b.text_pages(s, d).filter(F.lower("text").contains("ing")).withColumn("found", search.match_positions(F.lower("text"), "ing"))
+    hits = low.select("doc_pos", "path", "title", search.snippets_live("text", "found", "ing").alias("matches")).orderBy("doc_pos").limit(100)
+    return search.running_cap(hits, ["doc_pos", "path"]).select("path", "occurrence_index")
+
+
+@query()
+def search_library_all(s, d):
+    """The whole job: quick hits on the first lines of texts and text hits, grouped by book."""
+    pages = b.text_pages(s, d)
+    terms = extract.term_records(pages.select("book_id", F.col("title").alias("label"), "path", F.lit("").alias("anchor"), F.lit("页面标题").alias("source")))
+    return library.search_library(pages, terms, b.shelf(s, d), "tion").select("kind", "shelf_pos", "book_id", "path", "n")
+
+
+@query()
+def search_book_all(s, d):
+    """The whole job: hits of contents, index, terms and texts, merged."""
+    raw = b.raw_pages(s, d)
+    spine = tree.flatten_toc(b.toc_nodes(s, d))
+    index = b.part_terms(s, d).select("book_id", F.col("kind").alias("name"), F.array("path").alias("targets"), F.col("doc_pos").alias("pos"))
+    return library.search_book(raw, spine, index, _terms(s, d), "an").select("section", "path", "occurrence_index")
+
+
 # --- contents -----------------------------------------------------------------------
 
 
@@ -306,6 +347,13 @@ def keyword_listing(s, d):
     return tree.keyword_listing(entries, 50).select("book_id", "n", "name")
 
 
+@query(ORACLE_SQL["keyword_listing"].replace("n <= 50", "n <= 20000"))
+def keyword_listing_all(s, d):
+    """With the reference's limit."""
+    entries = b.part_terms(s, d).select("book_id", F.col("kind").alias("name"), F.array("path").alias("targets"), F.col("doc_pos").alias("pos"))
+    return tree.keyword_listing(entries).select("book_id", "n", "name")
+
+
 @query(f"with {TERMS}, k as (select *, row_number() over (partition by book_id, lower(path), lower(label) order by doc_pos) n from terms) select book_id, label, path from k where n = 1")
 def seed_terms(s, d):
     spine = b.part_terms(s, d).select("book_id", F.col("doc_pos").alias("pos"), F.col("label").alias("name"), F.col("path").alias("local"))

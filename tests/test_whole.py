@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from folioworks import registry
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +40,34 @@ def test_upsert_of_whole_tables(tables):
 def test_scalars_of_all_documents(tables):
     got = {r.doc_id: r for r in tables("text_scalars_all")}
     assert got[1].short == "lanvital" and got[2].size == "2.00 KiB" and len(got[1].book_id) > 4
+
+
+def test_limits_of_the_reference(tables):
+    assert len(tables("indexable_all")) == 130
+    assert len(tables("keyword_listing_all")) == 60
+
+
+def test_whole_searches(tables):
+    full = [r for r in tables("search_book_all") if r.section == "full"]
+    assert len(full) == 180 and len({r.path for r in full}) == 90
+    assert len(tables("running_cap_all")) == 0
+    got = {(r.kind, r.book_id): r.n for r in sorted(tables("search_library_all"), key=lambda r: r.n)}
+    assert got == {("quick", "src1"): 1, ("full", "src1"): 3}
+
+
+def test_whole_index(tables):
+    got = tables("build_index")
+    assert len(got) == 130 and all((r.pages, r.terms) == (1, 1) for r in got)
+
+
+def test_registered_terms_are_exact(monkeypatch):
+    asked = {}
+
+    class Any:
+        def select(self, *_):
+            return self
+
+    monkeypatch.setattr(registry, "_pages", lambda s, d: Any())
+    monkeypatch.setattr(registry.extract, "extract_terms", lambda pages, **how: asked.update(how) or Any())
+    registry.QUERIES["extract_terms"](None, "")
+    assert asked["exact"]
