@@ -4,10 +4,12 @@ Terms are whole words and word beginnings, hashed. The machine adds to a linear
 each term a learned interaction of each pair of terms (the inner product of their
 factors), so that an insult beside a mention of people weighs more than either alone.
 Terms that do not tell the classes apart in the training rows get no weight: noise of
-long texts does not add up.
+long texts does not add up. Frequent ones keep their factors, as they may matter beside others.
 
 Training takes a bounded sample of the labelled rows: at most `sample` of each class, the
-ones with the least hashes, whose hashed terms (not texts) come to the driver. Scoring is
+ones with the least hashes, whose hashed terms (not texts) come to the driver. Classes are
+sampled at rates of their own, so the bias is set back by the rates, from counts over all
+training labels: scores are those of the whole mix of classes, whatever the size. Scoring is
 a map over all rows; the model is one broadcast of fixed size (2**18 slots at most).
 
 Defined results: null and empty texts have no terms and get the score of the bias; labels
@@ -36,6 +38,8 @@ FACTORS = 4
 SAMPLE = 4000
 #: Terms with a weight, at most.
 TERMS = 4096
+#: Share of the training rows from which a term counts as frequent, and the rows that it has at least.
+FREQUENT, LEAST_ROWS = 0.02, 20
 
 _U = np.uint64
 
@@ -94,7 +98,11 @@ def fit(slots: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs:
     z = (p1 - p0) / np.sqrt(pool * (1 - pool) * (1 / n1 + 1 / (n - n1)))
     z[df < 3] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:TERMS]
-    chosen = np.sort(chosen[np.abs(z[chosen]) > 4])
+    chosen = chosen[np.abs(z[chosen]) > 4]
+    weighted = np.zeros(size, bool)
+    weighted[chosen] = True
+    chosen = np.flatnonzero(weighted | (df >= max(LEAST_ROWS, FREQUENT * n)))
+    weighted = weighted[chosen]
     at = np.full(size, -1)
     at[chosen] = np.arange(len(chosen))
     keep = at[flat] >= 0
@@ -119,7 +127,7 @@ def fit(slots: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs:
             gw += dw**2
             gv += dv**2
             gb += g.sum() ** 2
-            w -= 0.5 * dw / np.sqrt(gw)
+            w -= 0.5 * dw / np.sqrt(gw) * weighted
             v -= 0.03 * dv / np.sqrt(gv)
             b -= 0.3 * g.sum() / np.sqrt(gb)
     full_w, full_v = np.zeros(size), np.zeros((size, factors))
@@ -136,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Learns from labelled rows that are not held out."""
     y = labels.select(F.col(doc_id).alias("_l"), F.col(label).cast("int").alias("_y")).filter("_l is not null and _y in (0, 1)").groupBy("_l").agg(F.max("_y").alias("_y"))
     y = y.withColumn("_h", F.xxhash64("_l")).filter(~held_out("_l"))
+    y = c.materialize(y)
+    total = {x["_y"]: x["n"] for x in y.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for k in (0, 1):  # the least hashes of each class: the same rows whatever the partitions
         own = y.filter(F.col("_y") == k).orderBy("_h", "_l").limit(sample)
@@ -153,7 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     got = rows.mapInArrow(run, schema).dropDuplicates(["_id", "_fp"]).limit(4 * sample).toPandas()
     got = got.sort_values(["_id", "_fp"], kind="stable") if len(got) else pd.DataFrame({"slots": [], "_y": []})
-    return fit([np.asarray(x, np.int64) for x in got["slots"]], got["_y"].to_numpy(np.float64))
+    machine = fit([np.asarray(x, np.int64) for x in got["slots"]], got["_y"].to_numpy(np.float64))
+    if machine.live.any() or got["_y"].nunique() == 2:
+        machine.bias += prior_shift(total[1], total[0], sample)
+    return machine
+
+
+def prior_shift(toxic: int, clean: int, sample: int) -> float:
+    """What the bias of a machine lacks that saw at most `sample` rows of each class."""
+    return float(np.log(min(sample, clean) / clean) - np.log(min(sample, toxic) / toxic))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:

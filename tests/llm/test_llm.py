@@ -198,6 +198,33 @@ def test_machine_learns_an_interaction():
     assert score(1, 2) > 0.9 > 0.3 > max(score(1), score(2))
 
 
+def test_machine_keeps_factors_of_frequent_terms():
+    """Term 2 is as common in both classes, and matters only beside term 1."""
+    rng = np.random.default_rng(7)
+    slots, y = [], []
+    for i in range(3000):
+        kind = i % 6  # toxic: 1 with 2, or 3; clean: 1 alone, 2 alone
+        slots.append(np.array([[1, 2], [3], [1], [2], [2], [1, 2]][kind] + [10 + int(rng.integers(5))]))
+        y.append(float(kind in (0, 1, 5)))
+    m = toxicity.fit(slots, np.array(y), epochs=40)
+    score = lambda *k: m.score(1, np.zeros(len(k), np.int64), np.array(k, np.int64))[0]
+    assert m.v[2].any() and score(1, 2) > 0.8 and score(1) < 0.5 and score(2) < 0.5
+
+
+def test_toxicity_does_not_hang_on_the_sample(spark):
+    rng = random.Random(9)
+    texts, toxic = [], []
+    for i in range(2000):
+        bad = i % 10 == 0
+        unclear = rng.random() < 0.5
+        texts.append(f"only{i} " + "grey" * (bad or unclear))
+        toxic.append((i, int(bad)))
+    labels = spark.createDataFrame(toxic, "doc_id long, toxic int")
+    few, all_ = ({r.doc_id: r.score for r in toxicity.toxicity(docs(spark, texts), labels, sample=k).collect()} for k in (150, 4000))
+    mean = lambda x: sum(x.values()) / len(x)
+    assert abs(mean(few) - 0.1) < 0.04 and abs(mean(all_) - 0.1) < 0.04
+
+
 @pytest.mark.parametrize("limit", [4_000_000, 0])
 def test_quality(spark, limit):
     rng = random.Random(7)
