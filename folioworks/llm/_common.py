@@ -7,7 +7,6 @@ not the batch.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,23 +24,32 @@ SLICE_BYTES = 1 << 20
 HASH_BLOCK = 1 << 18
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's checkpoint folder; a local one only where none is set."""
+    """A new folder in the cluster's checkpoint folder. Only a local master may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/folioworks-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    # what was written needs its shuffles no more; Spark drops their files once the driver has collected its garbage
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. Its shuffle files go with the write."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +61,14 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def out_schema(df: DataFrame, id_col: str, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(n, t) for n, t in fields])
 
@@ -75,10 +91,10 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = min(end, n)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets from 0) for each slice of the column _text."""
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column: str | int = "_text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets from 0) for each slice of a column of texts."""
     for batch in batches:
-        data, offs = utf8(batch.column("_text"))
+        data, offs = utf8(batch.column(column))
         for a, b in slices(offs, limit):
             yield batch.slice(a, b - a), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
@@ -178,8 +194,18 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-#: Ids that are broadcast at most, to pick documents without a shuffle of their texts.
-BROADCAST_KEYS = 500_000
+#: Rows and bytes of keys that are broadcast at most, to pick documents without a shuffle of their texts.
+BROADCAST_KEYS, BROADCAST_BYTES = 500_000, 64 << 20
+
+
+def is_small(rows: DataFrame, most: int = BROADCAST_KEYS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether rows may be broadcast: at most so many, and so many bytes as strings (ids may be strings of any length)."""
+    few = rows.limit(most + 1)
+    size = F.lit(0).cast("long")
+    for name, kind in rows.dtypes:
+        size = size + (F.lit(16) if kind in ("int", "bigint", "smallint", "tinyint", "double", "boolean") else F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0)) + 16)
+    got = few.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return got["n"] <= most and got["bytes"] <= most_bytes
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -192,7 +218,8 @@ def pick(docs: DataFrame, keys: DataFrame, how: str, doc_id: str = "doc_id", tex
 
     The keys are broadcast up to a checked number; beyond it the join is a shuffled one.
     """
-    keys = keys.select(F.col("_id").alias("__id"), F.col("_fp").alias("__fp"))
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.hash(F.col(text).cast("string")) == F.col("__fp"))
+    other_id, other_fp = free(docs, "_other_id"), free(docs, "_other_fp")
+    keys = keys.select(F.col("_id").alias(other_id), F.col("_fp").alias(other_fp))
+    few = is_small(keys)
+    same = F.col(doc_id).eqNullSafe(F.col(other_id)) & (F.hash(F.col(text).cast("string")) == F.col(other_fp))
     return docs.join(F.broadcast(keys) if few else keys, same, how)

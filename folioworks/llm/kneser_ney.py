@@ -10,7 +10,9 @@ exceed a quantile of the held-out trusted texts of their language.
 
 Scale: tasks sum n-grams before the shuffle. The table of log-probabilities (one row for
 each distinct n-gram of the corpus) is broadcast up to `broadcast_ngrams` rows; beyond it,
-each document's distinct n-grams are joined with it by a shuffle. Both give the same sums.
+each document's distinct n-grams are joined with it by a shuffle. Log-probabilities are whole
+numbers of 2**-24, so both give the same sums to the bit, whatever the partitions; so do
+thresholds, which are taken from counts of steps of log-perplexity (`STEP`).
 
 Defined results: null and empty texts have no perplexity (null) and are not kept; a null
 language is a language of its own; a language without held-out texts takes the quantile of
@@ -23,7 +25,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,8 @@ from .toxicity import held_out
 ORDER = 5
 #: Share of held-out trusted texts that a threshold lets pass.
 QUANTILE = 0.99
+#: What a log-probability is a whole number of; and a threshold's logarithm.
+UNIT, STEP = 2.0**-24, 2.0**-10
 #: n-grams whose log-probabilities are broadcast at most (12 bytes each).
 BROADCAST_NGRAMS = 4_000_000
 #: Ids of trusted texts that are broadcast at most.
@@ -113,19 +117,25 @@ def model(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
         n = F.col("n")
         cut = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
         seen = of[k].withColumn("context", F.shiftright("ngram", 8)).withColumn("suffix", F.col("ngram").bitwiseAND((1 << 8 * (k - 1)) - 1))
-        total = seen.groupBy("context").agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("gamma"))
+        # numbers of rows with each cut, so that sums are of whole numbers and the same in any order
+        ones, twos = F.sum((n == 1).cast("long")), F.sum((n == 2).cast("long"))
+        gamma = (ones * d1 + twos * d2 + (F.count("*") - ones - twos) * d3) / F.sum("n")
+        total = c.materialize(seen.groupBy("context").agg(F.sum("n").alias("total"), gamma.alias("gamma")))
         rows = seen.join(total, "context")
         if k == 1:
             rows = rows.withColumn("lower", F.lit(1 / 256))
         else:
             rows = rows.join(out[-1][0].select(F.col("ngram").alias("suffix"), F.col("p").alias("lower")), "suffix")
         p = c.materialize(rows.select("ngram", (F.greatest(n - cut, F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")))
-        out.append((p, c.materialize(total.select("context", "gamma"))))
+        out.append((p, total.select("context", "gamma")))
     return out
 
 
 def log_probabilities(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """ngram, lp for all n-grams in grams: the longest order that has it, times the weights passed on the way."""
+    """ngram, lp for all n-grams in grams: the longest order that has it, times the weights passed on the way.
+
+    Each order is a step of its own, stored, so that a plan holds two joins at most.
+    """
     rows = grams.select("ngram", F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("p"))
     for k in range(len(levels), 0, -1):
         p, gamma = levels[k - 1]
@@ -134,7 +144,7 @@ def log_probabilities(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]
         rows = rows.join(p.select(F.col("ngram").alias("suffix"), F.col("p").alias("own")), "suffix", "left").join(gamma, "context", "left")
         found = F.when(open_, F.col("own"))
         weight = F.when(open_ & F.col("own").isNull(), F.col("weight") * F.coalesce("gamma", F.lit(1.0))).otherwise(F.col("weight"))
-        rows = rows.select("ngram", weight.alias("weight"), F.coalesce("p", found).alias("p"))
+        rows = c.materialize(rows.select("ngram", weight.alias("weight"), F.coalesce("p", found).alias("p")))
     return rows.select("ngram", F.log(F.col("weight") * F.coalesce("p", F.lit(1 / 256))).alias("lp"))
 
 
@@ -143,7 +153,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
-        self.mask, self.keys, self.values = np.uint64((1 << bits) - 1), np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        self.mask, self.keys, self.values = np.uint64((1 << bits) - 1), np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
         place = self.place(keys)
         while len(keys):
             free = self.keys[place] < 0
@@ -167,14 +177,15 @@ class Table:
 
 
 def _by_broadcast(rows: DataFrame, lp: DataFrame, order: int, schema: T.StructType) -> DataFrame:
-    got = lp.toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast((got["ngram"].to_numpy(np.int64), got["lp"].to_numpy(np.float64)))
+    got = lp.toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((got["ngram"].to_numpy(), got["lp"].to_numpy()))
+    del got
 
     def run(batches):
         t = None
         for batch, data, offs in c.text_slices(batches):
             t = t or Table(*shared.value)
-            sums = np.concatenate([[0.0], np.cumsum(t(ngrams(data, offs, order)))])
+            sums = np.concatenate([[0], np.cumsum(t(ngrams(data, offs, order)))])
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(np.diff(offs)), pa.array(sums[offs[1:]] - sums[offs[:-1]])], names=schema.names)
 
     return rows.select("_row", "_text").mapInArrow(run, schema)
@@ -196,7 +207,7 @@ def _by_shuffle(rows: DataFrame, lp: DataFrame, order: int, schema: T.StructType
     grams = keyed.select("_row", "_fp", "_text").dropDuplicates(["_row", "_fp"]).mapInArrow(run, T.StructType(fields))
     sums = grams.join(lp, "ngram").groupBy("_row", "_fp").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("lp")).alias("log_prob"))
     both = keyed.select("_row", "_fp").join(sums.withColumnRenamed("_row", "_r").withColumnRenamed("_fp", "_f"), F.col("_row").eqNullSafe(F.col("_r")) & (F.col("_fp") == F.col("_f")), "left")
-    return both.select("_row", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("log_prob", F.lit(0.0)).alias("log_prob"))
+    return both.select("_row", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("log_prob", F.lit(0)).alias("log_prob"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", order: int = ORDER, quantile: float = QUANTILE, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
@@ -208,14 +219,23 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     trusted, test = F.col("_l").isNotNull(), held_out("_id")
     rows = base.select(F.struct("_id", "_lang", (trusted & test).alias("_test")).alias("_row"), (trusted & ~test).alias("_train"), "_text")
     counts = c.materialize(corpus_ngrams(rows.select("_text", "_train"), order))
-    lp = c.materialize(log_probabilities(counts, model(counts, order)))
-    schema = T.StructType([rows.schema["_row"], T.StructField("n_bytes", T.LongType()), T.StructField("log_prob", T.DoubleType())])
+    lp = c.materialize(log_probabilities(counts, model(counts, order)).select("ngram", F.round(F.col("lp") / UNIT).cast("long").alias("lp")))
+    schema = T.StructType([rows.schema["_row"], T.StructField("n_bytes", T.LongType()), T.StructField("log_prob", T.LongType())])
     small = lp.limit(broadcast_ngrams + 1).count() <= broadcast_ngrams
     scored = (_by_broadcast if small else _by_shuffle)(rows, lp, order, schema)
-    scored = c.materialize(scored.select("_row.*", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_prob") / F.col("n_bytes"))).alias("perplexity")))
-    test = scored.filter("_test and perplexity is not null")
-    limit = F.percentile_approx("perplexity", quantile, 10_000)
-    limits = test.groupBy(F.col("_lang").alias("_of")).agg(limit.alias("own"))
-    overall = test.agg(limit.alias("x")).first()["x"]
-    out = scored.join(limits, F.col("_lang").eqNullSafe(F.col("_of")), "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double"), F.lit(float("inf"))))
+    scored = c.materialize(scored.select("_row.*", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_prob") * UNIT / F.col("n_bytes"))).alias("perplexity")))
+    limits = c.materialize(thresholds(scored.filter("_test and perplexity is not null"), quantile))
+    overall = limits.filter("is_all").select("own").first()
+    own = limits.filter("not is_all").select(F.col("_lang").alias("_of"), "own")
+    out = scored.join(F.broadcast(own) if c.is_small(own) else own, F.col("_lang").eqNullSafe(F.col("_of")), "left")
+    out = out.withColumn("threshold", F.coalesce("own", F.lit(overall and overall["own"]).cast("double"), F.lit(float("inf"))))
     return out.select(F.col("_id").alias(doc_id), F.col("_lang").alias(lang), "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))
+
+
+def thresholds(test: DataFrame, quantile: float) -> DataFrame:
+    """_lang, is_all, own: the least step of perplexity that a share of `quantile` of each language's rows (of all rows: is_all) does not exceed."""
+    steps = test.groupBy("_lang", F.ceil(F.log("perplexity") / STEP).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    both = steps.select("_lang", F.lit(False).alias("is_all"), "step", "n").unionByName(steps.groupBy("step").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("_lang"), F.lit(True).alias("is_all"), "step", "n"))
+    kind = Window.partitionBy("_lang", "is_all")  # a few thousand steps of a language at most
+    share = F.sum("n").over(kind.orderBy("step")) / F.sum("n").over(kind)
+    return both.withColumn("share", share).filter(F.col("share") >= quantile).groupBy("_lang", "is_all").agg(F.exp(F.min("step") * STEP).alias("own"))
