@@ -279,21 +279,25 @@ def _united(members: DataFrame, sets_: DataFrame, threshold: float) -> DataFrame
     return components(found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
-def _only(docs: DataFrame, nodes: DataFrame, doc_id: str) -> DataFrame:
-    """The documents with these ids; the ids are broadcast up to a checked number, joined by a shuffle beyond it."""
-    nodes = nodes.withColumnRenamed("node", "__node")
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(nodes) if few else nodes, F.col(doc_id) == F.col("__node"), "left_semi")
+def _only(docs: DataFrame, nodes: DataFrame, doc_id: str, how: str = "left_semi") -> DataFrame:
+    """The documents with (or "left_anti": without) these ids; the ids are broadcast up to a checked number, joined by a shuffle beyond it."""
+    name = c.free(docs, "node")
+    nodes = nodes.select(F.col("node").alias(name))
+    return docs.join(F.broadcast(nodes) if c.is_small(nodes, BROADCAST_IDS) else nodes, F.col(doc_id) == F.col(name), how)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents that stand for their group, with all their columns. Rows without an id all stay; of rows that share an id one stays."""
+    """The documents that stand for their group, with all their columns.
+
+    Rows without an id all stay. Of rows that share an id one stays: that with the smallest
+    text, then with the smallest hash of all columns.
+    """
     groups = near_duplicates(docs, doc_id, text, **how)
     gone = c.materialize(groups.filter(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("node")).distinct())
-    again = c.materialize(docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(doc_id).alias("node")))
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("node"), "left_anti")
+    again = c.materialize(docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("node")).agg(F.count("*").alias("n")).filter("n > 1").select("node"))
+    left = _only(docs, gone, doc_id, "left_anti")
     if again.isEmpty():
         return left
-    single = left.join(again, F.col(doc_id) == F.col("node"), "left_anti")
-    return single.unionByName(left.join(again, F.col(doc_id) == F.col("node"), "left_semi").dropDuplicates([doc_id]))
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+    first = _only(left, again, doc_id).groupBy(F.col(doc_id).alias("_node")).agg(F.min_by(F.struct(*columns), F.struct(F.col(text), F.xxhash64(*columns))).alias("_row"))
+    return _only(left, again, doc_id, "left_anti").unionByName(first.select(*[F.col("_row").getField(x).alias(x) for x in docs.columns]))

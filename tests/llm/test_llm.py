@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -186,29 +188,67 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity(docs(spark, ODD), labels.filter("false")).collect()} == {1 / (1 + np.exp(40))}
 
 
+def fitted(rows, y, **how):
+    """A score function of slots, and one that says the same by a loop over all pairs."""
+    m = toxicity.fit([np.array(x) for x in rows], np.array(y, float), **how)
+
+    def plain(*k):
+        at = [i for s in k for i in np.flatnonzero(m.slots == s)]
+        raw = m.bias + sum(float(m.w[i]) for i in at) + sum(float(m.v[a].astype(float) @ m.v[b]) for x, a in enumerate(at) for b in at[x + 1 :])
+        return 1 / (1 + np.exp(-raw))
+
+    score = lambda *k: m.score(1, np.zeros(len(k), np.int64), np.array(k, np.int64))[0]
+    return score, plain
+
+
 def test_machine_learns_an_interaction():
     rng = np.random.default_rng(6)
-    slots, y = [], []
+    rows, y = [], []
     for _ in range(3000):
         a, b = rng.random(2) < 0.5
-        slots.append(np.array([k for k, on in ((1, a), (2, b)) if on]))
-        y.append(float(a and b))
-    m = toxicity.fit(slots, np.array(y), epochs=40)
-    score = lambda *k: m.score(1, np.zeros(len(k), np.int64), np.array(k, np.int64))[0]
+        rows.append([k for k, on in ((1, a), (2, b)) if on])
+        y.append(a and b)
+    score, plain = fitted(rows, y, epochs=40)
     assert score(1, 2) > 0.9 > 0.3 > max(score(1), score(2))
+    assert all(abs(score(*k) - plain(*k)) < 1e-6 for k in ((), (1,), (1, 2), (1, 2, 99)))
+
+
+def test_machine_learns_pairs_without_marginals():
+    """Toxic if both of two terms occur or neither: no term alone says anything."""
+    rng = np.random.default_rng(7)
+    rows, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        rows.append([k for k, on in ((1, a), (2, b)) if on] + sorted({10 + int(rng.integers(30)) for _ in range(4)}))
+        y.append(a == b)
+    score, plain = fitted(rows, y, epochs=60)
+    assert min(score(1, 2), score()) > 0.7 and max(score(1), score(2)) < 0.3
+    assert abs(score(1, 2, 12, 15) - plain(1, 2, 12, 15)) < 1e-5
 
 
 def test_machine_keeps_factors_of_frequent_terms():
     """Term 2 is as common in both classes, and matters only beside term 1."""
     rng = np.random.default_rng(7)
-    slots, y = [], []
+    rows, y = [], []
     for i in range(3000):
         kind = i % 6  # toxic: 1 with 2, or 3; clean: 1 alone, 2 alone
-        slots.append(np.array([[1, 2], [3], [1], [2], [2], [1, 2]][kind] + [10 + int(rng.integers(5))]))
-        y.append(float(kind in (0, 1, 5)))
-    m = toxicity.fit(slots, np.array(y), epochs=40)
-    score = lambda *k: m.score(1, np.zeros(len(k), np.int64), np.array(k, np.int64))[0]
-    assert m.v[2].any() and score(1, 2) > 0.8 and score(1) < 0.5 and score(2) < 0.5
+        rows.append([[1, 2], [3], [1], [2], [2], [1, 2]][kind] + [10 + int(rng.integers(5))])
+        y.append(kind in (0, 1, 5))
+    score, _ = fitted(rows, y, epochs=40)
+    assert score(1, 2) > 0.8 and score(1) < 0.5 and score(2) < 0.5
+
+
+def test_toxicity_takes_the_same_rows_of_repeated_ids(spark):
+    """Labels without a document use up no sample; an id with several texts gives each of them."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-300, 60)], "doc_id long, toxic int")
+    df = docs(spark, [f"t {i}" for i in range(60)])
+    both = df.unionByName(df.withColumn("text", F.lit("another")))
+    picked, total = toxicity.sampled_rows(both.unionByName(df), labels, "doc_id", "text", "toxic", 10)
+    again, _ = toxicity.sampled_rows(both.repartition(7), labels, "doc_id", "text", "toxic", 10)
+    assert picked.count() == 20 and {tuple(r) for r in picked.collect()} == {tuple(r) for r in again.collect()}
+    assert sum(total.values()) == 2 * df.filter(~toxicity.held_out("doc_id")).count()
+    scored = toxicity.score(df.withColumn("score", F.lit("x")), toxicity.fit([], np.zeros(0)))
+    assert dict(scored.dtypes)["score"] == "double" and scored.count() == 60
 
 
 def test_toxicity_does_not_hang_on_the_sample(spark):
@@ -225,15 +265,55 @@ def test_toxicity_does_not_hang_on_the_sample(spark):
     assert abs(mean(few) - 0.1) < 0.04 and abs(mean(all_) - 0.1) < 0.04
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 0])
-def test_quality(spark, limit):
+def plain_kneser_ney(train, order):
+    """p(byte after context) by the definition: dictionaries, one order after the other, recursion."""
+    grams = [bytes(order - 1 - min(k, order - 1)) + t[max(0, k - order + 1) : k + 1] for t in train for k in range(len(t))]
+    counts = {order: Counter(grams)}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts = {}
+    for k, table in counts.items():
+        n = Counter(table.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        cuts[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) if n[i] and n[i + 1] else i / 2 for i in (1, 2, 3)]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        own = [(g, n) for g, n in counts[k].items() if g[:-1] == gram[:-1]]
+        if not own:
+            return p(gram[1:])
+        total, cut = sum(n for _, n in own), lambda n: cuts[k][min(n, 3) - 1]
+        n = counts[k][gram]
+        return (max(n - cut(n), 0) if n else 0) / total + sum(cut(x) for _, x in own) / total * p(gram[1:])
+
+    return p
+
+
+def test_quality(spark):
     rng = random.Random(7)
     good = [" ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat"], k=40)) for _ in range(120)]
     bad = ["".join(rng.choices("#$%&*xqz", k=150)) for _ in range(10)]
-    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in kneser_ney.quality(docs(spark, good + bad + ["", None]), labels, broadcast_ngrams=limit).collect()}
-    assert len(got) == 132 and got[130].perplexity is None and not got[130].keep
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    df = docs(spark, good + bad + ["", None, good[3]])
+    df = df.withColumn("lang", F.when(F.col("doc_id") < 60, "en")).unionByName(df.filter("doc_id = 5"))
+    both = [{(r.doc_id, r.lang): r for r in kneser_ney.quality(df, labels, broadcast_ngrams=limit).collect()} for limit in (4_000_000, 0)]
+    assert both[0] == both[1]  # to the bit
+    got = {k[0]: r for k, r in both[0].items()}
+    assert len(got) == 133 and got[130].perplexity is None and not got[130].keep and not got[131].keep
     assert sum(got[i].keep for i in range(100, 120)) >= 18 and not any(got[i].keep for i in range(120, 130))
+    train = [good[i].encode() for i in [*range(100), 5] if zlib.crc32(str(i).encode()) % 5]  # 5 is there twice
+    p = plain_kneser_ney(train, kneser_ney.ORDER)
+    for i in (0, 101, 121, 132):
+        t = (good + bad + ["", None, good[3]])[i].encode()
+        lp = [np.log(p((bytes(kneser_ney.ORDER) + t)[k + 1 : k + 1 + kneser_ney.ORDER])) for k in range(len(t))]
+        assert abs(got[i].perplexity / np.exp(-np.mean(lp)) - 1) < 1e-6
+    test = [got[i].perplexity for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert got[0].lang == "en" and got[0].threshold >= max(test) > got[0].threshold * np.exp(-2 * kneser_ney.STEP)
+    assert kneser_ney.quality(df.filter("false"), labels).count() == 0
+    free = kneser_ney.quality(df, labels.filter("false")).collect()
+    assert all(r.keep == (r.perplexity is not None) for r in free)
 
 
 def test_probabilities_sum_to_one(spark):
