@@ -20,7 +20,7 @@ from folioworks.llm._common import materialize, table
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half (operator 4)."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine).filter("score < 0.5").select(*docs.columns)
+    return toxicity.below(docs, machine)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
