@@ -137,7 +137,8 @@ def sampled_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
     """_id, _fp, _y of the documents to train on (the least hashes of each class), and how many each class has."""
     y = labels.select(F.col(doc_id).alias("_l"), F.col(label).cast("int").alias("_y")).filter("_l is not null and _y in (0, 1)").groupBy("_l").agg(F.max("_y").alias("_y"))
     y = y.filter(~held_out("_l"))
-    rows = c.id_and_text(docs, doc_id, text).join(y, F.col("_id") == F.col("_l")).select("_id", F.xxhash64("_text").alias("_fp"), "_y").distinct()
+    keys = c.id_and_text(docs, doc_id, text).select("_id", F.xxhash64("_text").alias("_fp"))  # no text is shuffled
+    rows = keys.join(y, F.col("_id") == F.col("_l")).select("_id", "_fp", "_y").distinct()
     rows = c.materialize(rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64("_id", "_fp", F.lit(41)), 2)))
     total = {x["_y"]: x["n"] for x in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     picked = None
