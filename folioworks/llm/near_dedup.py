@@ -1,9 +1,11 @@
 """Near-duplicate groups by DartMinHash signatures and banded joining.
 
 Shingles are k consecutive words. Each element throws darts into its region of weight
-times time: unit by unit of weight, at the times of a Poisson process whose gaps come
-from hashes of (element, unit, number). Equal elements throw equal darts in all tasks.
-Only darts before a time bound are thrown, about k ln k + 2k in all for a signature of k,
+times time: the weights up to 1, from 1 to 2, from 2 to 4 and so on are bands, each with
+the darts of a Poisson process whose gaps and heights come from hashes of (element, band,
+number); of the last band, darts above the element's weight fall away. So the work
+follows the number of elements and darts, not the weights. Equal elements throw equal
+darts in all tasks. Only darts before a time bound are thrown, about k ln k + 2k in all for a signature of k,
 whatever the number of elements; each dart falls on a hashed coordinate, and a coordinate
 keeps its earliest dart. Should one stay empty, the bound is doubled for that text.
 Two texts agree in a coordinate with a probability of their (weighted) Jaccard similarity.
@@ -73,7 +75,7 @@ def sets(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """A row of k dart names for each row of elements (zeros where there are none). weights: whole numbers."""
+    """A row of k dart names for each row of elements (zeros where there are none). weights: any numbers above 0."""
     n = len(counts)
     out = np.zeros((n, k), np.uint64)
     row = np.repeat(np.arange(n), counts)
@@ -84,21 +86,24 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, counts: np.ndarra
         chosen = np.zeros(n, bool)
         chosen[left] = True
         pick = np.flatnonzero(chosen[row])
-        units = weights[pick].astype(np.int64)
-        who = np.repeat(row[pick], units)
-        unit = c.ranges(np.zeros(len(units), np.int64), units).astype(np.uint64)
-        seed = c.mix(np.repeat(elements[pick], units) ^ c.mix(unit + _U(1)))
+        bands = 1 + np.ceil(np.log2(np.maximum(weights[pick], 1))).astype(np.int64)
+        who, height = np.repeat(row[pick], bands), np.repeat(weights[pick].astype(np.float64), bands)
+        band = c.ranges(np.zeros(len(bands), np.int64), bands)
+        low = np.where(band > 0, 2.0 ** (band - 1), 0.0)
+        width = np.maximum(low, 1.0)
+        seed = c.mix(np.repeat(elements[pick], bands) ^ c.mix(band.astype(np.uint64) + _U(1)))
         time, step = np.zeros(len(seed)), 0
         at, when, name = [], [], []
         while len(seed):
             step += 1
             d = c.mix(seed + _U(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            time = time - np.log((d >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+            time = time - np.log((d >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / width
             go = time <= bound[who]
-            seed, time, who, d = seed[go], time[go], who[go], d[go]
-            at.append(who * k + (c.mix(d ^ _U(0xC0FFEE)) % _U(k)).astype(np.int64))
-            when.append(time)
-            name.append(d)
+            seed, time, who, d, low, width, height = (x[go] for x in (seed, time, who, d, low, width, height))
+            hit = low + width * ((c.mix(d ^ _U(0xDA27)) >> _U(11)).astype(np.float64) * 2.0**-53) < height
+            at.append(who[hit] * k + (c.mix(d[hit] ^ _U(0xC0FFEE)) % _U(k)).astype(np.int64))
+            when.append(time[hit])
+            name.append(d[hit])
         at, when, name = (np.concatenate(x) for x in (at, when, name))
         order = np.lexsort((when, at))
         at, name = at[order], name[order]
