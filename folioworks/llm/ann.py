@@ -17,9 +17,10 @@ Scale: one shuffle of the distinct vectors, one of the queries times shards; a s
 at most about `shard_rows` vectors, whatever the number of rows.
 
 Defined results: vectors that are null, zero, or have null or non-finite components take
-no part, as queries or as candidates, nor do rows without an id; with fewer candidates
-than asked for, all are returned; ties go to the smaller id; vectors of different lengths
-meet only their own kind.
+no part, as queries or as candidates, nor do rows without an id; rows that share an id
+count once, with the smallest of their vectors; with fewer candidates than asked for, all
+are returned; ties go to the smaller id; vectors of different lengths meet only their own
+kind; an empty table has no result.
 """
 
 from __future__ import annotations
@@ -167,20 +168,32 @@ def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return v.filter(F.col("_id").isNotNull() & F.col("_v").isNotNull() & ~odd & F.exists("_v", lambda x: x != 0))
 
 
+def one_per_id(base: DataFrame) -> DataFrame:
+    """Rows of usable() with one row for each id, that of the smallest vector. Only vectors of repeated ids are shuffled."""
+    again = c.materialize(base.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_id").alias("_again")))
+    if again.isEmpty():
+        return base
+    keys = F.broadcast(again) if c.is_small(again) else again
+    single = base.join(keys, F.col("_id") == F.col("_again"), "left_anti")
+    rest = base.join(keys, F.col("_id") == F.col("_again"), "left_semi")
+    return c.materialize(single.unionByName(rest.groupBy("_id").agg(F.min("_v").alias("_v"))))
+
+
 def search(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by `every`, against all others."""
-    base = usable(rows, vec_id, vector)
+    base = one_per_id(usable(rows, vec_id, vector))
     # equal vectors: the least ids, k + 1 of them, as a query itself may be among them
     hashed = base.withColumn("_h", F.xxhash64("_v", F.lit(1)))
     nodes = c.materialize(least_ids(hashed, k + 1))
     queries = base.filter(F.col("_id") % every == 0)
     sizes = nodes.agg(F.count("*").alias("n")).first()
     shards = max(1, -(-sizes["n"] // shard_rows))
-    left = nodes.select(F.pmod("_h", F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), F.lit(0).alias("part"), "_ids", "_v", "_h")
-    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.array("_id").alias("_ids"), "_v")
-    built = c.materialize(left.groupBy("shard").applyInPandas(_build, GRAPH))
-    blocks = spread.withColumn("block", F.pmod(F.xxhash64("_ids"), F.lit(max(1, int(queries.count()) // block + 1))).cast("int"))
-    asked = blocks.groupBy("shard", "block").agg(F.collect_list(F.struct(F.col("_ids")[0].alias("id"), F.col("_v").alias("v"))).alias("asked"))
+    left = nodes.select(F.pmod("_h", F.lit(shards)).cast("int").alias("shard"), "_ids", "_v", "_h")
+    # a task for each shard: all have about the same work
+    built = c.materialize(left.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(_build, GRAPH))
+    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "_id", "_v")
+    blocks = spread.withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(max(1, int(queries.count()) // block + 1))).cast("int"))
+    asked = blocks.groupBy("shard", "block").agg(F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_v").alias("v"))).alias("asked"))
     out = asked.join(built, "shard").select("asked", "graph").mapInPandas(_search(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
