@@ -65,7 +65,7 @@ class PrefixCounter:
         self.forget()
 
     def forget(self) -> None:
-        self.codes, self.chunk_n = defaultdict(count().__next__), np.zeros(0, np.int64)
+        self.codes, self.chunk_n, self.chunk_bytes, self.chunks = defaultdict(count().__next__), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         self.pieces: dict[str, int] = {}
         if len(self.beside) > REMEMBERED:
             self.beside.clear()
@@ -136,26 +136,44 @@ class PrefixCounter:
             at = b
         return [x for x in [*out, (text[at:], False)] if x[0]]
 
-    def totals(self, texts: list[str]) -> list[int]:
-        """Tokens of each text."""
+    def totals(self, texts: list[str], limit: int) -> tuple[list[int], list[int]]:
+        """Tokens of each text, and the bytes of its longest prefix that ends with a piece and has at most `limit` tokens."""
         if len(self.codes) > REMEMBERED or len(self.beside) > REMEMBERED:
             self.forget()
-        plain, extra = [], []
+        whole, special = [], {}
         old = len(self.codes)
-        for t in texts:
-            special = 0
-            own = []
-            for part, is_special in self.parts(t):
-                special += is_special
-                if not is_special:
-                    found = CHUNKS.findall(part)
-                    own.append(np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found)))
-            plain.append(own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0, np.int64))
-            extra.append(special)
-        new = [self.pattern.findall(x) for x in islice(self.codes, old, None)]
-        self.learn(list({p for x in new for p in x} - self.pieces.keys()))
-        self.chunk_n = np.concatenate([self.chunk_n, np.fromiter((sum(map(self.pieces.__getitem__, x)) for x in new), np.int64, len(new))])
-        return [int(self.chunk_n[own].sum()) + n for own, n in zip(plain, extra, strict=True)]
+        for i, t in enumerate(texts):
+            parts = self.parts(t)
+            if len(parts) > 1 or parts[0][1]:
+                special[i] = t
+                parts = []
+            found = [x for part, _ in parts for x in CHUNKS.findall(part)]
+            whole.append(np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found)))
+        new = list(islice(self.codes, old, None))
+        cut = [self.pattern.findall(x) for x in new]
+        self.learn(list({p for x in cut for p in x} - self.pieces.keys()))
+        self.chunks += new
+        self.chunk_n = np.concatenate([self.chunk_n, np.fromiter((sum(map(self.pieces.__getitem__, x)) for x in cut), np.int64, len(cut))])
+        self.chunk_bytes = np.concatenate([self.chunk_bytes, np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in new), np.int64, len(new))])
+        total, fit = [], []
+        for i, own in enumerate(whole):
+            if i in special:  # texts with special tokens: from their index
+                counts, ends = self.index(special[i])
+                total.append(counts[-1] if counts else 0)
+                fit.append(max([0, *(e for e in ends if counts[e - 1] <= limit)]))
+                continue
+            upto = np.cumsum(self.chunk_n[own])
+            k = int(np.searchsorted(upto, limit, side="right"))
+            total.append(int(upto[-1]) if len(own) else 0)
+            at, left = int(self.chunk_bytes[own[:k]].sum()), limit - (int(upto[k - 1]) if k else 0)
+            if k < len(own):
+                for piece in self.pattern.findall(self.chunks[own[k]]):
+                    left -= self.pieces[piece]
+                    if left < 0:
+                        break
+                    at += len(piece.encode("utf-8", "surrogatepass"))
+            fit.append(at)
+        return total, fit
 
     def index(self, text: str) -> tuple[list[int], list[int]]:
         """Token count at the end of every byte prefix, and the byte ends of the text's pieces.
@@ -206,13 +224,14 @@ def fit_budget(index: DataFrame, budget: int, doc_id: str = "doc_id") -> DataFra
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit: the last of the prefix counts of every whole text."""
-    schema = c.out_schema(docs, doc_id, ("n_bytes", T.LongType()), ("n_tokens", T.LongType()))
+    """doc_id, n_bytes, n_tokens (the last of the prefix counts of the whole text), over_limit, fit_bytes (the longest prefix within the limit that ends with a piece)."""
+    schema = T.StructType([T.StructField("_id", docs.schema[doc_id].dataType), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_tokens", "fit_bytes"))])
 
     def run(batches):
         v = counter(path, pattern)
         for batch, data, offs in c.text_slices(batches, CORPUS_BYTES):
-            n = v.totals([data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(offs[:-1], offs[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.diff(offs)), pa.array(n, pa.int64())], names=schema.names)
+            n, fit = v.totals([data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(offs[:-1], offs[1:], strict=True)], limit)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.diff(offs)), pa.array(n, pa.int64()), pa.array(fit, pa.int64())], names=schema.names)
 
-    return c.id_and_text(docs, doc_id, text).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    out = c.id_and_text(docs, doc_id, text).mapInArrow(run, schema)
+    return out.select(F.col("_id").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_bytes")
