@@ -24,17 +24,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PLAIN, public_tokenizers.PATTERN)
 
 
-
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
-
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,21 +40,46 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op4_toxicity, op5_quality, op6_warc, op7_token_counts, op8_html_extraction, op9_nearest_neighbours, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BENCH_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+with d as (select doc_id, {_BENCH_WORDS} as w from documents),
+b as (select item_id, {_BENCH_WORDS} as w from benchmark),
+bw as (select item_id, w, least(10, len(w)) as m from b where len(w) > 0),
+items as (select distinct item_id, m, array_to_string(w[i : i + m - 1], ' ') as k from (select item_id, w, m, unnest(range(1, len(w) - m + 2)) as i from bw)),
+places as (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from items) where len(w) >= m),
+found as (select doc_id, i, p.m, item_id from (select doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') as k from places) p join items using (m, k)),
+hit as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + m)) as j from found) group by doc_id),
+ids as (select doc_id, list_sort(list(distinct item_id::varchar)) as l from found group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_hit, coalesce(len(l), 0)::bigint as n_items, sha256(coalesce(array_to_string(l, ','), '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join ids using (doc_id)""",
+    "op6_warc": """
+with p as (select page_id, url, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as first from p where strlen(h) >= 100 group by h)
+select page_id, strlen(h)::bigint as payload_bytes, sha256(h) as payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to, url as target_uri
+from p left join f using (h)""",
+    "op10_substring_dedup": """
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+k as (select doc_id, i, array_to_string(w[i : i + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as n from k) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from late),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as j from d),
+kept as (select doc_id, string_agg(x, ' ' order by j) as t, count(*) as n from word anti join gone using (doc_id, j) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
+}

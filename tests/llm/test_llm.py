@@ -57,10 +57,17 @@ def test_bpe_one_merge_at_a_time_agrees():
 
 def test_token_counts_match_library(spark):
     lib = Tokenizer.from_file(PLAIN)
-    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs(spark, ODD), PLAIN, P.PATTERN, limit=100).collect()}
-    for i, t in enumerate(ODD):
-        n = len(lib.encode(t or "", add_special_tokens=False).ids)
-        assert got[i] == (len((t or "").encode()), n, n > 100)
+    texts = [*ODD, "a long text, " * 50_000]
+    for limit in (100, 7):
+        rows = token_counts.token_counts(docs(spark, texts), PLAIN, P.PATTERN, limit=limit).collect()
+        fits = {r.doc_id: r.fit_bytes for r in token_counts.fit_budget(token_counts.prefix_index(docs(spark, texts), PLAIN, P.PATTERN), limit).collect()}
+        assert len(rows) == len(texts)
+        for r in rows:
+            t = texts[r.doc_id] or ""
+            n = len(lib.encode(t, add_special_tokens=False).ids)
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > limit) and r.fit_bytes == fits[r.doc_id]
+            assert len(lib.encode(t.encode()[: r.fit_bytes].decode(), add_special_tokens=False).ids) <= limit or not t.strip()
+    assert token_counts.token_counts(docs(spark, ODD).filter("false"), PLAIN, P.PATTERN).count() == 0
 
 
 def test_prefix_counts(spark):
@@ -68,6 +75,14 @@ def test_prefix_counts(spark):
     word = "internationalizations"
     counts = token_counts.counter(PLAIN, P.PATTERN).prefix_counts(word.encode())
     assert counts == [len(lib.encode(word[:k], add_special_tokens=False).ids) for k in range(1, len(word) + 1)]
+    text = "Prefix counts, don't re-encode: 1234 x"
+    index = token_counts.prefix_index(docs(spark, [text]), PLAIN, P.PATTERN).first()
+    pieces, at = re.findall(r"'t| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+", text), 0
+    for piece in pieces:  # the count at every prefix: that of the pieces before and of the piece's own beginning
+        before = index.counts[at - 1] if at else 0
+        assert index.counts[at : at + len(piece)] == [before + len(lib.encode(piece[: k + 1], add_special_tokens=False).ids) for k in range(len(piece))]
+        at += len(piece)
+    assert index.piece_ends == list(np.cumsum([len(x) for x in pieces]))
     index = token_counts.prefix_index(docs(spark, ["one two three four", ""]), PLAIN, P.PATTERN)
     assert {r.doc_id: r.fit_bytes for r in token_counts.fit_budget(index, 2).collect()} == {0: 7, 1: 0}
 
@@ -138,6 +153,9 @@ def test_dart_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 150 / 250) < 0.05
     heavy = near_dedup.dart_signatures(np.concatenate([pool[:50], pool[:50]]), np.concatenate([np.full(50, 4), np.full(50, 2)]), np.array([50, 50]), 2000)
     assert abs((heavy[0] == heavy[1]).mean() - 0.5) < 0.05
+    w = rng.uniform(0.2, 5000, (2, 200))
+    real = near_dedup.dart_signatures(np.concatenate([pool[:200], pool[:200]]), np.concatenate(w), np.array([200, 200]), 2000)
+    assert abs((real[0] == real[1]).mean() - np.minimum(*w).sum() / np.maximum(*w).sum()) < 0.05
     assert (near_dedup.dart_signatures(pool[:1], np.ones(1, np.int64), np.array([0, 1]), 64)[1] != 0).all()
 
 
@@ -403,6 +421,16 @@ def test_neighbours(spark):
         if q in (0, 100):
             assert [i for _, i, _ in found] == want
     assert hit >= 0.9 * 60
+    odd = [*rows, *rows[:300], (5, [9.0] * 12), (100, [float(v) for v in x[100]]), (100, [1e6] * 12)]
+    again = ann.search(spark.createDataFrame([(*r, 0, 0, 0) for r in odd], "vec_id long, embedding array<double>, shard int, _id int, rank int"), shard_rows=150)
+    smaller = [9.0] * 12 if [9.0] * 12 < rows[5][1] else rows[5][1]
+    y = x.copy()
+    y[5], y[100] = smaller, min([1e6] * 12, rows[100][1])
+    for q in range(0, 600, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        own = [(r.rank, r.vec_id) for r in sorted(again.filter(f"query_id = {q}").collect(), key=lambda r: r.rank)]
+        assert [a for a, _ in own] == list(range(1, 11)) and len({b for _, b in own}) == 10
+        assert len({b for _, b in own} & set([i for i in np.lexsort((np.arange(600), d)).tolist() if i != q][:10])) >= 9
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert ann.search(few).count() == 2 and ann.search(few.filter("false")).count() == 0
 
