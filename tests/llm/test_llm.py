@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -402,6 +403,41 @@ def test_html_keeps_all_slots(spark):
     assert got[4:8] == [f"Title {k} Lead {k} {(long if k else 'short ') + str(k)}" for k in range(4)]
 
 
+def test_html_chrome_without_telling_names(spark):
+    """Menu, notice and foot are plain divs and words; the stories share common words in other orders."""
+    rng = random.Random(11)
+    story = lambda: " ".join(rng.sample(["the", "of", "and", "in", "we", "for"], 6) + words(12, rng))
+    stories = [[story() for _ in range(3)] for _ in range(9)]
+    page = lambda k: f"<body><div><span>Start</span> <i>Shop</i> Help</div><div>Sale ends soon</div>{''.join(f'<div class=z>{x}</div>' for x in stories[k])}<div>the of</div>{'<div>Log out now</div>' if k < 6 else ''}<div>All rights kept</div></body>"
+    got = texts_of(spark, [("plain.example", page(k)) for k in range(9)])
+    assert got == [" ".join(stories[k]) for k in range(9)]
+
+
+@pytest.mark.parametrize("name", ["post-content legal-guide", "story social-studies", "article-form", "entry search-result", "hidden-gems"])
+def test_html_names_of_articles_are_kept(name):
+    for template in (None, ""):
+        assert html_extract.main_text(f"<body><div class='{name}'><h1>T</h1><p>Text of it</p></div></body>", template) == "T Text of it"
+
+
+def test_html_reads_hostile_pages_in_proportion():
+    n = 60_000
+    pages = ["<script " * n, "<script " * n + ">", "<div>x" * n, "<div>" * n + "</span>" * n, "<a" * n, '<a "' * n + ">", "<!--" * n, "<ul><li>" * n, "<p>" + "<span class=a>" * n + "<hr>" * n, "<table><tr><td>" * n, "&" * n, "<" * n]
+    began = time.time()
+    for x in pages:
+        html_extract.main_text(x, None)
+    assert time.time() - began < 60
+    assert html_extract.main_text("<div>x" * 1000, None) == " ".join("x" * 1000)
+
+
+def test_html_repeats_and_empty_table(spark):
+    page = "<body><p>Same words</p><div class=menu>no</div></body>"
+    rows = [(1, "http://h.example/1", page, "x")] * 4 + [(None, None, page, None), (2, "http://h.example/2", None, "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _text string").selectExpr("*", "'t' as template", "0 as n_chars", "'h' as _host", "'h' as host")
+    got = sorted((r.page_id or 0, r.text) for r in html_extract.extract(df).collect())
+    assert got == [(0, "Same words"), *[(1, "Same words")] * 4, (2, "")]
+    assert html_extract.extract(df.filter("false")).count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 12)).astype(np.float32).astype(float)
