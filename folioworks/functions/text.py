@@ -35,6 +35,11 @@ def collapse(x) -> Column:
     return trim(replace(x, f"{WS}+", " "))
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once however often f uses it. f takes no Python functions."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _lookup(table: dict) -> Column:
     return F.create_map(*[F.lit(y) for pair in table.items() for y in pair])
 
@@ -117,10 +122,13 @@ def _char(code: Column) -> Column:
 
 
 def _numeric(x: Column, pattern: str, base: int) -> Column:
-    texts = F.split(x, pattern, -1)
-    codes = F.transform(F.regexp_extract_all(x, F.lit(pattern), 1), lambda d: F.when(F.length(d) > 15, F.lit(-1)).otherwise(F.conv(d, base, 10).cast("bigint")))
-    chars = F.concat(F.transform(codes, _char), F.array(F.lit("")))
-    return F.when(x.contains("&#"), F.array_join(F.zip_with(texts, chars, lambda t, ch: F.concat(t, ch)), "")).otherwise(x)
+    def decoded(y: Column) -> Column:
+        texts = F.split(y, pattern, -1)
+        codes = F.transform(F.regexp_extract_all(y, F.lit(pattern), 1), lambda d: F.when(F.length(d) > 15, F.lit(-1)).otherwise(F.conv(d, base, 10).cast("bigint")))
+        chars = F.concat(F.transform(codes, _char), F.array(F.lit("")))
+        return F.when(y.contains("&#"), F.array_join(F.zip_with(texts, chars, lambda t, ch: F.concat(t, ch)), "")).otherwise(y)
+
+    return let(x, decoded)
 
 
 def decode_entities(x) -> Column:
@@ -268,34 +276,49 @@ def fragment_of(url) -> Column:
 
 def normalize_path(base, given) -> Column:
     """The path that a reference means, seen from base; null where it means none."""
-    v = F.replace(trim(_c(given)), F.lit("\\"), F.lit("/"))
-    bad = (v == "") | v.rlike(r"[\x00-\x1f\x7f]")
-    inner = r"(?i)^(?:ms-its:|mk:@msitstore:|its:)?[^:]*?\.chm::(.*)$"
-    v = F.when(v.rlike(inner), F.regexp_extract(v, inner, 1)).otherwise(v)
-    v = replace(replace(v, "(?s)#.*$", ""), r"(?s)\?.*$", "")
-    plain = F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B")))
-    v = F.when(plain.isNull() | (plain.contains("�") & ~v.contains("�")), v).otherwise(plain)
-    bad = bad | (v == "") | v.rlike("(?i)^(?:https?:|mailto:|tel:|ftp:|javascript:|data:|about:|file:|blob:)")
     folder = replace(_first(_c(base), F.lit("/")), "[^/]*$", "")
-    v = F.when(v.startswith("/"), v).otherwise(F.concat(folder, v))
+    inner = r"(?i)^(?:ms-its:|mk:@msitstore:|its:)?[^:]*?\.chm::(.*)$"
     none = F.array().cast("array<string>")
-    step = lambda done, p: F.when(p.isin("", "."), done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
-    return F.when(~bad, F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(v, "/"), none, step), "/")))
+
+    def step(done: Column, p: Column) -> Column:
+        return F.when(p.isin("", "."), done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+
+    def whole(v: Column) -> Column:
+        bad = (v == "") | v.rlike("(?i)^(?:https?:|mailto:|tel:|ftp:|javascript:|data:|about:|file:|blob:)")
+        return F.when(~bad, F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(F.when(v.startswith("/"), v).otherwise(F.concat(folder, v)), "/"), none, step), "/")))
+
+    def decoded(v: Column) -> Column:
+        plain = F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B")))
+        return let(plain, lambda y: F.when(y.isNull() | (y.contains("\ufffd") & ~v.contains("\ufffd")), v).otherwise(y))
+
+    def shortened(v: Column) -> Column:
+        v = F.when(v.rlike(inner), F.regexp_extract(v, inner, 1)).otherwise(v)
+        return replace(replace(v, "(?s)#.*$", ""), r"(?s)\?.*$", "")
+
+    def checked(v: Column) -> Column:
+        return F.when(~((v == "") | v.rlike(r"[\x00-\x1f\x7f]")), let(let(shortened(v), decoded), whole))
+
+    return let(F.replace(trim(_c(given)), F.lit("\\"), F.lit("/")), checked)
 
 
 def ref_info(base, raw) -> Column:
     """STRUCT<kind, path, fragment, url> of a reference."""
-    v = trim(F.coalesce(_c(raw), F.lit("")))
-    path = normalize_path(base, v)
-    kind = (
-        F.when(v == "", "blocked")
-        .when(v.startswith("#"), "fragment")
-        .when(v.rlike("(?i)^data:image/(?:avif|bmp|gif|jpeg|jpg|png|webp);"), "data")
-        .when(v.rlike("(?i)^(?:https?:|mailto:|tel:|ftp:)"), "external")
-        .when(is_external(v) | v.rlike("(?i)^(?:vbscript:|resource:|shell:)") | path.isNull(), "blocked")
-        .otherwise("internal")
-    )
-    return F.struct(kind.alias("kind"), F.when(kind == "internal", path).alias("path"), F.when(kind.isin("fragment", "internal"), fragment_of(v)).alias("fragment"), F.when(kind.isin("data", "external"), v).alias("url"))
+
+    def told(v: Column, path: Column) -> Column:
+        return (
+            F.when(v == "", "blocked")
+            .when(v.startswith("#"), "fragment")
+            .when(v.rlike("(?i)^data:image/(?:avif|bmp|gif|jpeg|jpg|png|webp);"), "data")
+            .when(v.rlike("(?i)^(?:https?:|mailto:|tel:|ftp:)"), "external")
+            .when(is_external(v) | v.rlike("(?i)^(?:vbscript:|resource:|shell:)") | path.isNull(), "blocked")
+            .otherwise("internal")
+        )
+
+    def packed(v: Column) -> Column:
+        both = let(normalize_path(base, v), lambda path: F.struct(told(v, path).alias("kind"), path.alias("path")))
+        return let(both, lambda b: F.struct(b["kind"].alias("kind"), F.when(b["kind"] == "internal", b["path"]).alias("path"), F.when(b["kind"].isin("fragment", "internal"), fragment_of(v)).alias("fragment"), F.when(b["kind"].isin("data", "external"), v).alias("url")))
+
+    return let(trim(F.coalesce(_c(raw), F.lit(""))), packed)
 
 
 # --- labels and display -------------------------------------------------------------
