@@ -22,7 +22,7 @@ Scale: one row per (text, band) is shuffled; shingles travel only for nodes of b
 several nodes. Hot buckets are counted by partial aggregates and joined by equality.
 
 Defined results: null or blank texts have no shingles and each is its own class; a text of
-fewer words than k has one shingle, all its words; null ids form classes of their own;
+fewer words than k has one shingle, all its words; rows without an id have no class (null);
 rows with the same id share the class of the smallest.
 """
 
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         group = _empty(docs.sparkSession, kind, "node", "root")
     of = nodes.select("s1", "s2", F.col("_id").alias("node")).join(group, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("class_id"))
     out = sig.join(of, ["s1", "s2"], "left")
-    return out.select(F.col("_id").alias(doc_id), F.when(F.col("n") > 0, F.coalesce("class_id", "_id")).otherwise(F.col("_id")).alias("class_id"))
+    return out.select(F.col("_id").alias(doc_id), F.when((F.col("n") > 0) & F.col("_id").isNotNull(), F.coalesce("class_id", "_id")).otherwise(F.col("_id")).alias("class_id"))
 
 
 def _united(members: DataFrame, sets_: DataFrame, threshold: float) -> DataFrame:
