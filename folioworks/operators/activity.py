@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from . import folds
 
 LISTS = "array<struct<path:string,title:string,ts:bigint>>"
 
@@ -19,22 +19,39 @@ def recent_pages(visits: DataFrame, most: int = 40) -> DataFrame:
     return latest.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("reader_id", "n", "path", F.coalesce("title", t.last_segment("path")).alias("title"), "ts")
 
 
-def bookmarks(toggles: DataFrame, most: int = 120) -> DataFrame:
-    """reader_id, n, path, ts: a toggle adds a page in front or removes it; what a full list drops can be added again."""
-    schema = T.StructType([toggles.schema["reader_id"], T.StructField("n", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("ts", T.LongType())])
+class _Marks(folds.Fold):
+    def __init__(self, most: int):
+        self.most, self.marks, self.reader = most, {}, None  # newest last
+
+    def step(self, row):
+        self.reader, key = row["reader_id"], row["_p"]
+        if self.marks.pop(key, None) is None:
+            self.marks[key] = (row["path"], row["ts"])
+            if len(self.marks) > self.most:
+                del self.marks[next(iter(self.marks))]
+        return ()
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "seq"], kind="stable")
-        marks: dict[str, tuple[str, int]] = {}  # newest last
-        for path, ts in zip(frame["path"], frame["ts"], strict=True):
-            if marks.pop(path.lower(), None) is None:
-                marks[path.lower()] = (path, ts)
-                if len(marks) > most:
-                    del marks[next(iter(marks))]
-        rows = list(reversed(marks.values()))
-        return pd.DataFrame({"reader_id": [frame["reader_id"].iloc[0]] * len(rows), "n": range(1, len(rows) + 1), "path": [p for p, _ in rows], "ts": [x for _, x in rows]})
+    def end(self):
+        for n, (path, ts) in enumerate(reversed(self.marks.values()), 1):
+            yield {"reader_id": self.reader, "n": n, "path": path, "ts": ts}
 
-    return toggles.filter("path is not null").select("reader_id", "seq", "ts", "path").groupBy("reader_id").applyInPandas(fold, schema)
+
+def bookmarks(toggles: DataFrame, most: int = 120) -> DataFrame:
+    """reader_id, n, path, ts: a toggle adds a page in front or removes it; what a full list drops can be added again.
+
+    Readers who toggled at most `most` different pages never fill the list, so theirs comes
+    from aggregates that combine before the shuffle, however long the history. The others'
+    toggles are folded in order; a fold's state is the list.
+    """
+    rows = toggles.filter("path is not null").select("reader_id", "seq", "ts", "path", F.lower("path").alias("_p"))
+    pages = rows.groupBy("reader_id", "_p").agg(F.count("*").alias("_n"), F.max(F.struct("ts", "seq", "path")).alias("x"))
+    many = pages.groupBy("reader_id").agg(F.count("*").alias("_all")).filter(F.col("_all") > most).select(F.col("reader_id").alias("_r"))
+    over = F.col("reader_id").eqNullSafe(F.col("_r"))
+    newest = F.row_number().over(Window.partitionBy("reader_id").orderBy(F.col("x.ts").desc(), F.col("x.seq").desc()))
+    few = pages.filter("_n % 2 = 1").join(many, over, "left_anti").select("reader_id", newest.alias("n"), "x.path", "x.ts")
+    long = rows.join(many, over, "left_semi")
+    schema = T.StructType([toggles.schema["reader_id"], T.StructField("n", T.IntegerType()), toggles.schema["path"], toggles.schema["ts"]])
+    return few.unionByName(folds.fold_by_key(long, "reader_id", ["ts", "seq"], lambda: _Marks(most), schema))
 
 
 def bookmarks_below_cap(toggles: DataFrame) -> DataFrame:
@@ -53,24 +70,36 @@ def history_pushes(visits: DataFrame, same: tuple[str, ...] = ("path",)) -> Data
     return visits.withColumn("_push", first | ~equal).filter("_push").drop("_push")
 
 
+class _Stack(folds.Fold):
+    def __init__(self):
+        self.stack, self.at, self.reader = [], -1, None  # entries: path, and its lower case
+
+    def step(self, row):
+        self.reader, path = row["reader_id"], row["path"]
+        if row["kind"] == "visit":
+            if path is not None and (self.at < 0 or self.stack[self.at][1] != row["_p"]):
+                self.at += 1
+                del self.stack[self.at :]
+                self.stack.append((path, row["_p"]))
+        else:
+            to = self.at + (1 if row["kind"] == "forward" else -1)
+            if 0 <= to < len(self.stack):
+                self.at = to
+        return ()
+
+    def end(self):
+        for i, (path, _) in enumerate(self.stack):
+            yield {"reader_id": self.reader, "n": i + 1, "path": path, "current": i == self.at}
+
+
 def history_stack(moves: DataFrame) -> DataFrame:
-    """reader_id, n, path, current: entries after all visits and moves; a visit cuts what lies ahead."""
-    schema = T.StructType([moves.schema["reader_id"], T.StructField("n", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("current", T.BooleanType())])
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "seq"], kind="stable")
-        stack: list[str] = []
-        at = -1
-        for kind, path in zip(frame["kind"], frame["path"], strict=True):
-            if kind == "visit":
-                if at < 0 or stack[at].lower() != path.lower():
-                    stack = [*stack[: at + 1], path]
-                    at += 1
-            elif 0 <= at + (1 if kind == "forward" else -1) < len(stack):
-                at += 1 if kind == "forward" else -1
-        return pd.DataFrame({"reader_id": [frame["reader_id"].iloc[0]] * len(stack), "n": range(1, len(stack) + 1), "path": stack, "current": [i == at for i in range(len(stack))]})
-
-    return moves.filter("kind in ('visit', 'back', 'forward')").select("reader_id", "seq", "ts", "kind", "path").groupBy("reader_id").applyInPandas(fold, schema)
+    """reader_id, n, path, current: entries after all visits and moves; a visit cuts what lies ahead, one without a path does nothing.
+
+    Folded in order; a fold's state is the stack, which is the reader's result.
+    """
+    schema = T.StructType([moves.schema["reader_id"], T.StructField("n", T.IntegerType()), moves.schema["path"], T.StructField("current", T.BooleanType())])
+    rows = moves.filter("kind in ('visit', 'back', 'forward')").select("reader_id", "seq", "ts", "kind", "path", F.lower("path").alias("_p"))
+    return folds.fold_by_key(rows, "reader_id", ["ts", "seq"], _Stack, schema)
 
 
 def latest_status(status: DataFrame, books: DataFrame | None = None) -> DataFrame:

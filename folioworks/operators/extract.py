@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import tables
 from ..functions import text as t
+from . import folds
 
 HEAD = r"(?is)<(h[1-6])\b([^>]*)>(.*?)</\1>"
 STRONG = r"(?is)<(strong|b|dt)\b([^>]*)>(.*?)</\1>"
@@ -72,11 +73,26 @@ def dedupe_terms(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+class _Terms(folds.Fold):
+    def __init__(self, most: int):
+        self.most, self.seen, self.page, self.count = most, set(), None, 0
+
+    def step(self, row):
+        page, label = (row["doc_pos"], row["path"]), row["_l"]
+        if page != self.page:
+            self.page, self.count = page, 0
+        if label not in self.seen and (self.count < self.most or row["pattern_no"] == 0):
+            self.seen.add(label)
+            self.count += 1
+            yield row
+
+
 def cap_terms(candidates: DataFrame, most: int = 40, exact: bool = False) -> DataFrame:
     """At most 40 terms of a page. exact: in page order, a label cut off on one page stays free for a later one.
 
-    The exact form folds a book's candidates in order, one book a task: for books whose pages
-    all stay below the cap both forms agree, so it is run only on books that have a page over it.
+    For books whose pages all stay below the cap both forms agree, so the exact one folds
+    only books that have a page over it. A fold's state is the labels that its book has got:
+    at most 40 for each of the 20,000 pages that a book is indexed by.
     """
     w = Window.partitionBy("book_id", "path", "doc_pos").orderBy("pattern_no", "match_pos")
     fast = dedupe_terms(candidates).withColumn("_n", F.row_number().over(w))
@@ -85,20 +101,7 @@ def cap_terms(candidates: DataFrame, most: int = 40, exact: bool = False) -> Dat
     over = fast.filter(F.col("_n") > most).select("book_id").distinct()
     rest = fast.join(over, "book_id", "left_anti").drop("_n")
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_pos", "path", "pattern_no", "match_pos"], kind="stable")
-        seen: set[str] = set()
-        keep, page, count = [], None, 0
-        for key, label, pattern in zip(zip(frame["doc_pos"], frame["path"], strict=True), frame["label"].str.lower(), frame["pattern_no"], strict=True):
-            page, count = (page, count) if key == page else (key, 0)
-            ok = label not in seen and (count < most or pattern == 0)
-            if ok:
-                seen.add(label)
-                count += 1
-            keep.append(ok)
-        return frame[keep]
-
-    return rest.unionByName(candidates.join(over, "book_id", "left_semi").groupBy("book_id").applyInPandas(fold, candidates.schema))
+    return rest.unionByName(folds.fold_by_key(candidates.join(over, "book_id", "left_semi").withColumn("_l", F.lower("label")), "book_id", ["doc_pos", "path", "pattern_no", "match_pos"], lambda: _Terms(most), candidates.schema))
 
 
 def term_records(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.storage import stored
 
 
 def _query(q) -> Column:
@@ -163,12 +164,18 @@ def _grams(x: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
+#: Pairs of page and query, and their bytes, that are broadcast at most.
+BROADCAST_PAIRS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
 def batch_search(pages: DataFrame, queries: DataFrame, few: int = 64) -> DataFrame:
     """query_id, book_id, path, occurrence_total for a whole table of queries.
 
     Up to `few` queries (counted) are broadcast and tested on every page. More queries go
     by their rarest gram of three characters (or two, if they have no more): pages and
-    queries meet by equality on it, and a test of the text follows.
+    queries meet by equality on it, and a test of the text follows. Grams of pages are taken
+    once and only those that some query has are stored; texts are not shuffled while the
+    pairs to test are few enough to broadcast.
     """
     queries = queries.select("query_id", F.lower(t.trim(F.col("q"))).alias("q")).filter(F.length("q") >= 2)
     low = pages.select("book_id", "path", F.lower("text").alias("low"))
@@ -181,10 +188,13 @@ def batch_search(pages: DataFrame, queries: DataFrame, few: int = 64) -> DataFra
     # only grams of queries are counted and joined: the other grams of a page end at the semi join
     wanted = long.select("query_id", "q", F.explode(_grams(F.col("q"), 3)).alias("gram"))
     page_grams = low.filter(F.length("low") >= 3).select("book_id", "path", F.explode(_grams(F.col("low"), 3)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    page_grams = stored(page_grams)
     weight = page_grams.groupBy("gram").agg(F.count("*").alias("n"))
     rare = wanted.join(weight, "gram", "left").groupBy("query_id", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    pairs = pairs.unionByName(page_grams.join(rare, "gram").select("book_id", "path", "query_id", "q")).distinct()
-    return pairs.join(low, ["book_id", "path"]).filter(F.col("low").contains(F.col("q"))).select(*out)
+    pairs = stored(pairs.unionByName(page_grams.join(rare, "gram").select("book_id", "path", "query_id", "q")).distinct())
+    size = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("q") + F.octet_length("path") + F.octet_length("book_id")), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_PAIRS and size["bytes"] <= BROADCAST_BYTES
+    return low.join(F.broadcast(pairs) if small else pairs, ["book_id", "path"]).filter(F.col("low").contains(F.col("q"))).select(*out)
 
 
 # --- hits ---------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from folioworks.operators import activity, search
+from folioworks.operators import activity, extract, search
 from folioworks.sources import books
 from folioworks.streaming import jobs
 
@@ -60,6 +60,60 @@ def test_history(spark):
     assert activity.history_pushes(moves.filter("kind = 'visit'")).count() == 4
 
 
+def plain_marks(rows, most):
+    marks = []
+    for path in rows:
+        if path.lower() in [m.lower() for m in marks]:
+            marks = [m for m in marks if m.lower() != path.lower()]
+        else:
+            marks = [path, *marks][:most]
+    return marks
+
+
+def plain_stack(rows):
+    stack, at = [], -1
+    for kind, path in rows:
+        if kind == "visit" and path is not None and (at < 0 or stack[at].lower() != path.lower()):
+            stack = [*stack[: at + 1], path]
+            at += 1
+        elif kind in ("back", "forward"):
+            to = at + (1 if kind == "forward" else -1)
+            at = to if 0 <= to < len(stack) else at
+    return [(p, i == at) for i, p in enumerate(stack)]
+
+
+def test_folds_of_many_readers(spark):
+    """Random readers, one of whom is null and one has most rows, against plain folds."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3, 3, 3, 3, 3]), i, i // 3, rng.choice(["toggle", "visit", "visit", "back", "forward"]), rng.choice([None, *[f"/{x}{k}" for k in range(9) for x in "aA"]]), None) for i in range(3000)]
+    data = spark.createDataFrame(rows, "reader_id long, seq long, ts long, kind string, path string, title string").repartition(5)
+    for most in (4, 9, 120):
+        got = activity.bookmarks(data.filter("kind = 'toggle'"), most).orderBy("n").collect()
+        for r in (None, 1, 2, 3):
+            want = plain_marks([x[4] for x in rows if x[0] == r and x[3] == "toggle" and x[4] is not None], most)
+            assert [x.path for x in got if x.reader_id == r] == want
+    got = activity.history_stack(data).orderBy("n").collect()
+    for r in (None, 1, 2, 3):
+        assert [(x.path, x.current) for x in got if x.reader_id == r] == plain_stack([(x[3], x[4]) for x in rows if x[0] == r])
+    assert activity.bookmarks(data.filter("false")).count() == activity.history_stack(data.filter("false")).count() == 0
+
+
+def test_exact_cap_of_terms(spark):
+    """A label cut off on a full page goes to a later page: against a plain loop."""
+    rng = random.Random(6)
+    rows = [(f"b{k}", f"/{p}", p, 1 if m else 0, m, rng.choice("xX") + str(rng.randrange(40)), "", "s") for k in range(3) for p in range(12) for m in range(rng.randrange(12))]
+    data = spark.createDataFrame(rows, "book_id string, path string, doc_pos int, pattern_no int, match_pos int, label string, anchor string, source string").repartition(4)
+    for most in (2, 5, 40):
+        want, seen, count = [], set(), {}
+        for r in rows:
+            key, page = (r[0], r[5].lower()), (r[0], r[2])
+            if key not in seen and (count.get(page, 0) < most or r[3] == 0):
+                seen.add(key)
+                count[page] = count.get(page, 0) + 1
+                want.append(r)
+        assert sorted(map(tuple, extract.cap_terms(data, most, exact=True).select(*data.columns).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("bad", ["[", "{}", "", None, "7"])
 def test_lists_read_as_empty(spark, bad):
     assert activity.lists_from_json(spark.createDataFrame([(bad,)], "json string")).first()["items"] == []
@@ -83,6 +137,11 @@ def test_batch_search_both_ways(spark):
     queries = spark.createDataFrame([(str(i), "".join(rng.choices("abc", k=rng.choice([2, 3, 4, 6])))) for i in range(12)], "query_id string, q string")
     one, two = (sorted(map(tuple, search.batch_search(pages, queries, few=n).collect())) for n in (64, 4))
     assert one == two and one
+    search.BROADCAST_PAIRS, most = 0, search.BROADCAST_PAIRS
+    try:
+        assert sorted(map(tuple, search.batch_search(pages, queries, few=4).collect())) == one
+    finally:
+        search.BROADCAST_PAIRS = most
 
 
 def test_stream_equals_batch(spark, tmp_path):
