@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,6 +166,20 @@ def _grams(x: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
+def _word_grams(x: Column) -> Column:
+    """Distinct runs of eight characters at the start of a word, with the character before it."""
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?s)(?=([^\p{L}\p{N}][\p{L}\p{N}].{6}))"), 1))
+
+
+def _rarest_gram_pairs(low: DataFrame, queries: DataFrame, grams) -> DataFrame:
+    """book_id, path, query_id, q where the page has the query's rarest gram. Grams of pages are taken once; those of no query end at the semi join."""
+    wanted = queries.select("query_id", "q", F.explode(grams(F.col("q"))).alias("gram"))
+    found = stored(low.select("book_id", "path", F.explode(grams(F.col("low"))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    weight = found.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = wanted.join(weight, "gram", "left").groupBy("query_id", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return found.join(rare, "gram").select("book_id", "path", "query_id", "q")
+
+
 #: Pairs of page and query, and their bytes, that are broadcast at most.
 BROADCAST_PAIRS, BROADCAST_BYTES = 200_000, 32 << 20
 
@@ -172,26 +188,23 @@ def batch_search(pages: DataFrame, queries: DataFrame, few: int = 64) -> DataFra
     """query_id, book_id, path, occurrence_total for a whole table of queries.
 
     Up to `few` queries (counted) are broadcast and tested on every page. More queries go
-    by their rarest gram of three characters (or two, if they have no more): pages and
-    queries meet by equality on it, and a test of the text follows. Grams of pages are taken
-    once and only those that some query has are stored; texts are not shuffled while the
-    pairs to test are few enough to broadcast.
+    by their rarest gram: pages and queries meet by equality on it, and a test of the text
+    follows. Where a query has a word's start inside, its grams are eight characters from
+    there, of which a page has few; else three characters (or two, if it has no more).
+    Texts are not shuffled while the pairs to test are few enough to broadcast.
     """
     queries = queries.select("query_id", F.lower(t.trim(F.col("q"))).alias("q")).filter(F.length("q") >= 2)
     low = pages.select("book_id", "path", F.lower("text").alias("low"))
     out = ["query_id", "book_id", "path", occurrence_count("low", F.col("q")).alias("occurrence_total")]
     if queries.limit(few + 1).count() <= few:
         return low.join(F.broadcast(queries), F.col("low").contains(F.col("q"))).select(*out)
-    short, long = queries.filter(F.length("q") == 2), queries.filter(F.length("q") > 2)
+    kind = F.when(F.size(_word_grams(F.col("q"))) > 0, "words").when(F.length("q") > 2, "three").otherwise("two")
+    queries = stored(queries.withColumn("kind", kind))
+    kinds = {r["kind"] for r in queries.select("kind").distinct().collect()}
     # a query of two characters is a gram itself
-    pairs = low.filter(F.length("low") >= 2).select("book_id", "path", F.explode(_grams(F.col("low"), 2)).alias("q")).join(short, "q").select("book_id", "path", "query_id", "q")
-    # only grams of queries are counted and joined: the other grams of a page end at the semi join
-    wanted = long.select("query_id", "q", F.explode(_grams(F.col("q"), 3)).alias("gram"))
-    page_grams = low.filter(F.length("low") >= 3).select("book_id", "path", F.explode(_grams(F.col("low"), 3)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    page_grams = stored(page_grams)
-    weight = page_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rare = wanted.join(weight, "gram", "left").groupBy("query_id", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    pairs = stored(pairs.unionByName(page_grams.join(rare, "gram").select("book_id", "path", "query_id", "q")).distinct())
+    grams = {"words": _word_grams, "three": lambda x: _grams(x, 3), "two": lambda x: _grams(x, 2)}
+    found = [_rarest_gram_pairs(low, queries.filter(F.col("kind") == k), grams[k]) for k in sorted(kinds)]
+    pairs = stored(functools.reduce(DataFrame.unionByName, found).distinct())
     size = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("q") + F.octet_length("path") + F.octet_length("book_id")), F.lit(0)).alias("bytes")).first()
     small = size["n"] <= BROADCAST_PAIRS and size["bytes"] <= BROADCAST_BYTES
     return low.join(F.broadcast(pairs) if small else pairs, ["book_id", "path"]).filter(F.col("low").contains(F.col("q"))).select(*out)

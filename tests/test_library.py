@@ -134,7 +134,10 @@ def test_positions_agree_with_find(spark):
 def test_batch_search_both_ways(spark):
     rng = random.Random(2)
     pages = spark.createDataFrame([("b", f"/{i}", "".join(rng.choices("abc ", k=200))) for i in range(30)], "book_id string, path string, text string")
-    queries = spark.createDataFrame([(str(i), "".join(rng.choices("abc", k=rng.choice([2, 3, 4, 6])))) for i in range(12)], "query_id string, q string")
+    rows = [(str(i), "".join(rng.choices("abc", k=rng.choice([2, 3, 4, 6])))) for i in range(12)]
+    texts = [r.text for r in pages.collect()]
+    rows += [(f"w{i}", texts[i][20 + i : 45 + 2 * i].upper()) for i in range(30)]  # with starts of words inside
+    queries = spark.createDataFrame(rows, "query_id string, q string")
     one, two = (sorted(map(tuple, search.batch_search(pages, queries, few=n).collect())) for n in (64, 4))
     assert one == two and one
     search.BROADCAST_PAIRS, most = 0, search.BROADCAST_PAIRS
