@@ -559,9 +559,17 @@ def stream_recent_pages(s, d):
     return jobs.recent_pages(e.select(F.col("user_id").alias("reader_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), path.alias("path"), F.lit(None).cast("string").alias("title")))
 
 
-@query(f"with {PAGES}, k as (select *, row_number() over (partition by book_id, path order by doc_pos desc) n from pg) select book_id, path, doc_pos, length(text) n_chars from k where n = 1")
-def stream_index(s, d):
+def _page_stream(s, d):
     host = F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)
     path = F.concat(F.regexp_replace(F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1), "/$", ""), r"\.html$", ""), F.lit(".html"))
-    raw = jobs.table_stream(s, d, "pages").select(host.alias("book_id"), path.alias("path"), F.col("page_id").alias("doc_pos"), "html")
-    return jobs.incremental_index(raw)[0].select("book_id", "path", "doc_pos", F.length("text").alias("n_chars"))
+    return jobs.table_stream(s, d, "pages").select(host.alias("book_id"), path.alias("path"), F.col("page_id").alias("doc_pos"), "html")
+
+
+@query(f"with {PAGES}, k as (select *, row_number() over (partition by book_id, path order by doc_pos desc) n from pg) select book_id, path, doc_pos, length(text) n_chars from k where n = 1")
+def stream_index(s, d):
+    return jobs.incremental_index(_page_stream(s, d))[0].select("book_id", "path", "doc_pos", F.length("text").alias("n_chars"))
+
+
+@query(f"with {PAGES}, last as (select * from (select *, row_number() over (partition by book_id, path order by doc_pos desc) m from pg) where m = 1), c as (select book_id, path, doc_pos, 0 pattern_no, trim(regexp_replace(title, '\\s+', ' ', 'g')) label, '页面标题' source from last union all select book_id, path, doc_pos, 1, trim(regexp_replace({STRIP.format('h')}, '\\s+', ' ', 'g')), '正文术语' from (select book_id, path, doc_pos, unnest(regexp_extract_all({BODY.format('html')}, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)) h from last)), k as (select *, row_number() over (partition by book_id, lower(label) order by doc_pos, pattern_no, path) n from c where length(label) between 2 and 70 and len(regexp_extract_all(label, '[。！？!?；;]')) <= 1) select book_id, path, label, source from k where n = 1")
+def stream_index_terms(s, d):
+    return jobs.incremental_index(_page_stream(s, d))[1].select("book_id", "path", "label", "source")

@@ -1,23 +1,17 @@
-"""Structured Streaming jobs: the batch operators kept up to date."""
+"""Structured Streaming jobs: the batch operators kept up to date.
 
-from __future__ import annotations
+A job keeps its offsets and tables in a folder. Given the same folder again, it goes on
+where it stopped: new files are taken, a micro-batch that had not ended runs again and
+writes the same rows to the same place. Without a folder a job has a new one.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activity, extract
-from ..sources import books
-
-
-def work_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.storage import work_folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 4) -> DataFrame:
@@ -26,55 +20,73 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-class Versions:
-    """A table that each micro-batch replaces: a version for each batch, so a batch that runs again writes the same one."""
+class Changes:
+    """A keyed table as a stream leaves it: each micro-batch appends its rows under its own number, and the last row of a key counts.
 
-    def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.path, self.current = spark, f"{root}/{name}", None
+    So a batch writes its own rows only, and writes them anew if it runs again. Reading
+    takes an aggregate over all that was put, so its cost grows with the changes.
+    """
 
-    def read(self) -> DataFrame | None:
-        return None if self.current is None else self.spark.read.parquet(f"{self.path}/{self.current}")
+    def __init__(self, rows: DataFrame, path: str, keys: list[str], order: list[str]):
+        self.spark, self.path, self.keys, self.order = rows.sparkSession, path, keys, order
+        # an empty version first: a stream without rows leaves an empty table
+        self.spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(f"{path}/version=-1")
 
-    def upsert(self, batch: DataFrame, batch_id: int, keys: list[str], order: list[str]) -> None:
-        old = None if self.current is None or self.current >= batch_id else self.read()
-        new = books.last_by(batch, keys, order) if old is None else books.upsert(old, batch, keys, order)
-        new.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        self.current = batch_id
+    def put(self, batch: DataFrame, batch_id: int) -> None:
+        self._last(batch.withColumn("version", F.lit(batch_id)), batch.columns).write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+
+    def _last(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        value = [x for x in rows.columns if x not in self.keys]
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*value), F.struct("version", *self.order)).alias("_x"))
+        return last.select(*[x if x in self.keys else F.col(f"_x.{x}").alias(x) for x in columns])
+
+    def read(self) -> DataFrame:
+        """The rows and the version that each is from."""
+        rows = self.spark.read.parquet(self.path)
+        return self._last(rows, rows.columns)
 
 
 def _run(stream: DataFrame, each, root: str, mode: str = "append") -> None:
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
 
 
-def _kept(stream: DataFrame, keys: list, value, root: str) -> DataFrame:
+def _kept(stream: DataFrame, keys: dict, value, folder: str | None) -> DataFrame:
     """The greatest value of each key, as the stream leaves it."""
-    table = Versions(stream.sparkSession, root, "kept")
-    state = stream.groupBy(*keys).agg(F.max(value).alias("x"))
-    _run(state, lambda batch, i: table.upsert(batch.withColumn("_at", F.col("x.seq")), i, [c for c in batch.columns if c != "x"], ["_at"]), root, "update")
-    return table.read().drop("_at")
+    root = folder or work_folder(stream.sparkSession, "stream")
+    state = stream.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.max(value).alias("x"))
+    table = Changes(state, f"{root}/kept", list(keys), ["x"])
+    _run(state, table.put, root, "update")
+    return table.read().drop("version")
 
 
-def latest_status(status: DataFrame) -> DataFrame:
+def latest_status(status: DataFrame, folder: str | None = None) -> DataFrame:
     """The same as activity.latest_status, from a stream of status messages; its state is one row for each book."""
-    kept = _kept(status, ["book_id"], F.struct("seq", "type", "done", "total"), work_folder(status.sparkSession))
+    kept = _kept(status, {"book_id": F.col("book_id")}, F.struct("seq", "type", "done", "total"), folder)
     return activity.latest_status(kept.select("book_id", "x.*"))
 
 
-def recent_pages(visits: DataFrame, most: int = 40) -> DataFrame:
+def recent_pages(visits: DataFrame, most: int = 40, folder: str | None = None) -> DataFrame:
     """The same as activity.recent_pages, from a stream of visits; its state is one row for each reader and page."""
-    kept = _kept(visits, ["reader_id", F.lower("path").alias("_p")], F.struct("ts", "seq", "path", "title"), work_folder(visits.sparkSession))
+    kept = _kept(visits, {"reader_id": F.col("reader_id"), "_p": F.lower("path")}, F.struct("ts", "seq", "path", "title"), folder)
     return activity.recent_pages(kept.select("reader_id", "x.*"), most)
 
 
-def incremental_index(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages, terms) from a stream of raw pages, put by key in each micro-batch. Terms are deduplicated per batch and key."""
-    spark, root = raw.sparkSession, work_folder(raw.sparkSession)
-    pages, terms = Versions(spark, root, "pages"), Versions(spark, root, "terms")
+def incremental_index(raw: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, terms) from a stream of raw pages; a page that comes again replaces itself and its terms.
+
+    What a page offers as terms is kept beside it; a label goes to one page of its book
+    when the terms are read, over all batches, so they are those of one batch with all pages.
+    """
+    root = folder or work_folder(raw.sparkSession, "stream")
+    pages = Changes(extract.extract_pages(raw).drop("body"), f"{root}/pages", ["book_id", "path"], ["doc_pos"])
+    offers = Changes(extract.term_candidates(extract.extract_pages(raw)), f"{root}/offers", ["book_id", "path", "doc_pos", "pattern_no", "match_pos"], [])
 
     def each(batch: DataFrame, i: int) -> None:
         found = extract.extract_pages(batch)
-        pages.upsert(found.drop("body"), i, ["book_id", "path"], ["doc_pos"])
-        terms.upsert(extract.extract_terms(found), i, ["book_id", "term_id"], ["path"])
+        pages.put(found.drop("body"), i)
+        offers.put(extract.term_candidates(found), i)
 
     _run(raw, each, root)
-    return pages.read(), terms.read()
+    now = pages.read()
+    own = offers.read().join(now.select("book_id", "path", "doc_pos", "version"), ["book_id", "path", "doc_pos", "version"], "left_semi").drop("version")
+    return now.drop("version"), extract.term_records(extract.cap_terms(own, exact=True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioworks.operators import activity, extract, search
+from folioworks.plans import library
 from folioworks.sources import books
 from folioworks.streaming import jobs
 
@@ -155,3 +156,31 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "s.parquet"))
     stream = jobs.table_stream(spark, str(tmp_path), "s", 1)
     assert sorted(map(tuple, jobs.latest_status(stream).collect())) == sorted(map(tuple, activity.latest_status(batch).collect()))
+
+
+def test_stream_goes_on_in_its_folder(spark, tmp_path):
+    """Stopped and run again with more files, and a batch put twice: as if all had come at once."""
+    rng = random.Random(4)
+    home, src = str(tmp_path / "job"), str(tmp_path / "p.parquet")
+    page = lambda i: f"<html><title>Page {rng.randrange(9)}</title><body>" + "".join(f"<h2>Term {rng.randrange(60)}</h2>" for _ in range(50)) + f"text {i}</body></html>"
+    add = lambda rows: spark.createDataFrame(rows, "book_id string, path string, doc_pos long, html string").coalesce(1).write.mode("append").parquet(src)
+    rows = {}
+    for turn in range(2):
+        for k in range(3):
+            new = [(f"b{i % 2}", f"/{i}", i, page(i)) for i in range(10 * turn + k, 10 * turn + 12, 2)]
+            add(new)
+            rows |= {(r[0], r[1]): r for r in new}
+        pages, terms = jobs.incremental_index(jobs.table_stream(spark, str(tmp_path), "p", 2), home)
+        want_pages, want_terms = library.build_index(spark.createDataFrame(list(rows.values()), "book_id string, path string, doc_pos long, html string"), exact=True)
+        assert sorted(map(tuple, pages.select(*want_pages.columns).collect())) == sorted(map(tuple, want_pages.collect()))
+        flat = lambda x: sorted(map(str, x.select(*want_terms.columns).collect()))
+        assert flat(terms) == flat(want_terms) and terms.count() == terms.select("book_id", F.lower("label")).distinct().count()
+    table = jobs.Changes(pages, f"{home}/pages", ["book_id", "path"], ["doc_pos"])
+    table.put(pages, 99)
+    table.put(pages, 99)
+    assert table.read().drop("version").exceptAll(pages).isEmpty() and table.read().count() == pages.count()
+
+
+def test_stream_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "book_id long, seq long, type string, done long, total long").write.parquet(str(tmp_path / "s.parquet"))
+    assert jobs.latest_status(jobs.table_stream(spark, str(tmp_path), "s"), str(tmp_path / "job")).count() == 0
