@@ -8,7 +8,9 @@ the bytes of the words.
 
 Scale: documents stay where they are read (no shuffle). Benchmark items come to the
 driver in blocks of at most `block_bytes` of text, each a broadcast of bounded size; a
-larger benchmark means more passes over the documents, each adding to their spans.
+larger benchmark means more passes over the documents, each adding to their spans. After
+every `CHAIN` passes the rows are stored and the blocks let go, so that neither a task
+nor the driver holds more tables than that, however large the benchmark.
 
 Defined results: null or empty texts and items have no words; repeated rows each give a
 row; an item without an id marks words but is not listed; an empty benchmark marks none.
@@ -28,6 +30,8 @@ from . import _common as c
 
 #: Positions that one lane of a scan covers.
 LANE = 256
+#: Passes of one plan.
+CHAIN = 4
 #: Candidate pairs that are compared in one step.
 STEP = 200_000
 
@@ -64,7 +68,7 @@ class Patterns:
             order = np.argsort(suffix, kind="stable")
             first, item, suffix = first[order], item[order], suffix[order]
             bits = max(12, int(np.ceil(np.log2(len(first) * m * 8))))
-            shift = np.full(1 << bits, m - width + 1, np.int32)
+            shift = np.full(1 << bits, m - width + 1, np.min_scalar_type(m))
             for at in range(width - 1, m):
                 np.minimum.at(shift, (_pair(h, first + at, width) & np.uint64((1 << bits) - 1)).astype(np.int64), m - 1 - at)
             self.groups.append((m, width, np.uint64((1 << bits) - 1), shift, suffix, _pair(h, first + width - 1, width), first, item))
@@ -138,10 +142,16 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     """doc_id, n_words, spans (disjoint word ranges inside occurrences), items (ids as strings, sorted)."""
     spark = docs.sparkSession
     rows = c.id_and_text(docs, doc_id, text).withColumns({"_n": F.lit(0).cast("long"), "_spans": F.array().cast(SPANS), "_items": F.array().cast("array<string>")})
-    passes = 0
+    passes, held = 0, []
     for block in benchmark_blocks(benchmark, item_id, item_text, window, block_bytes):
         if block:
-            rows, passes = _scan(rows, spark.sparkContext.broadcast(block)), passes + 1
+            if len(held) == CHAIN:
+                rows = c.materialize(rows)
+                for old in held:
+                    old.destroy()
+                held = []
+            held.append(spark.sparkContext.broadcast(block))
+            rows, passes = _scan(rows, held[-1]), passes + 1
     if not passes:
         rows = _scan(rows, spark.sparkContext.broadcast(Patterns([], [], window)))
     return rows.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
