@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, html_extract, kneser_ney, near_dedup, substring_dedup, token_counts, toxicity, warc
+from . import ann, bpe, decontaminate, html_extract, kneser_ney, near_dedup, simhash, substring_dedup, token_counts, toxicity, warc
 from ._common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -52,7 +52,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op4_toxicity, op5_quality, op6_warc, op7_token_counts, op8_html_extraction, op9_nearest_neighbours, op10_substring_dedup)}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op4_toxicity, op5_quality, op6_warc, op7_token_counts, op8_html_extraction, op9_nearest_neighbours, op10_substring_dedup, op13_simhash)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BENCH_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
