@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, html_extract, kneser_ney, near_dedup, simhash, substring_dedup, token_counts, toxicity, warc
+from . import ann, bpe, decontaminate, html_extract, kneser_ney, lexical, near_dedup, simhash, substring_dedup, token_counts, toxicity, warc
 from ._common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -52,11 +52,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op4_toxicity, op5_quality, op6_warc, op7_token_counts, op8_html_extraction, op9_nearest_neighbours, op10_substring_dedup, op13_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op4_toxicity, op5_quality, op6_warc, op7_token_counts, op8_html_extraction, op9_nearest_neighbours, op10_substring_dedup, op12_lexical_search, op13_simhash)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BENCH_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
@@ -86,4 +90,13 @@ gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from late),
 word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as j from d),
 kept as (select doc_id, string_agg(x, ' ' order by j) as t, count(*) as n from word anti join gone using (doc_id, j) group by doc_id)
 select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
+    "op12_lexical_search": f"""
+with d as (select doc_id, {_BENCH_WORDS} as w from documents),
+i as (select distinct item_id, unnest({_BENCH_WORDS}) as t from benchmark),
+s as (select count(*) filter (len(w) > 0) as n_docs, sum(len(w))::bigint as n_terms from d),
+f as (select doc_id, n, t, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as t from d) where t in (select t from i) group by all),
+k as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w from (select t, count(*) as df from f group by t), s),
+x as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))))::bigint as score from f join k using (t) join i using (t), s group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from x where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10""",
 }
