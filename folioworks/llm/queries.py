@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, html_extract, kneser_ney, lexical, near_dedup, simhash, substring_dedup, token_counts, toxicity, warc
+from . import ann, bpe, collocations, decontaminate, html_extract, kneser_ney, lexical, near_dedup, simhash, substring_dedup, token_counts, toxicity, warc
 from ._common import table
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -52,6 +52,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,7 +64,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op4_toxicity, op5_quality, op6_warc, op7_token_counts, op8_html_extraction, op9_nearest_neighbours, op10_substring_dedup, op12_lexical_search, op13_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_near_dedup, op4_toxicity, op5_quality, op6_warc, op7_token_counts, op8_html_extraction, op9_nearest_neighbours, op10_substring_dedup, op11_collocations, op12_lexical_search, op13_simhash)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BENCH_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
@@ -90,6 +94,18 @@ gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from late),
 word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as j from d),
 kept as (select doc_id, string_agg(x, ' ' order by j) as t, count(*) as n from word anti join gone using (doc_id, j) group by doc_id)
 select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
+    "op11_collocations": f"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents),
+p as (select lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') as w from (select lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) as p from d)),
+g as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as g, count(*) as f from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from p, (values (1), (2), (3)) s(m) where len(w) >= m) group by all),
+c as (select *, string_split(g, ' ') as w from g where m > 1 and f >= 10),
+k as (select lang, m, g, w, f, unnest(range(1, m)) as k from c),
+s as (select k.lang, k.m, k.g, k.w, k.f as a, k.k, x.f as l, y.f as r, (1000000::hugeint * k.f * k.f) // (x.f::hugeint * y.f) as score from k join g x on x.lang = k.lang and x.g = array_to_string(w[1 : k.k], ' ') join g y on y.lang = k.lang and y.g = array_to_string(w[k.k + 1 : k.m], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, g order by score, k) = 1),
+o as (select lang, array_to_string(w[i : i + 1], ' ') as g, max(f) as longer from (select lang, w, f, unnest([1, 2]) as i from c where m = 3) group by all),
+v as (select b.*, row_number() over (partition by lang order by score desc, a desc, g) as rank from b left join o using (lang, g) where longer is null or m = 3 or 100 * longer < 50 * a),
+n as (select lang, sum(f)::bigint as n from g where m = 1 group by lang)
+select lang, rank, g as phrase, a, l, r, n, score::bigint as score from v join n using (lang) where rank <= 2000""",
     "op12_lexical_search": f"""
 with d as (select doc_id, {_BENCH_WORDS} as w from documents),
 i as (select distinct item_id, unnest({_BENCH_WORDS}) as t from benchmark),
