@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import tables
 from ..functions import text as t
+from ..sources.storage import stored
 from . import folds
 
 HEAD = r"(?is)<(h[1-6])\b([^>]*)>(.*?)</\1>"
@@ -91,16 +92,19 @@ def cap_terms(candidates: DataFrame, most: int = 40, exact: bool = False) -> Dat
     """At most 40 terms of a page. exact: in page order, a label cut off on one page stays free for a later one.
 
     For books whose pages all stay below the cap both forms agree, so the exact one folds
-    only books that have a page over it. A fold's state is the labels that its book has got:
-    at most 40 for each of the 20,000 pages that a book is indexed by.
+    only books that have a page over it, and stores the candidates, which it reads three times.
+    A fold's state is the labels that its book has got: at most 40 for each of the 20,000
+    pages that a book is indexed by.
     """
+    candidates = stored(candidates) if exact else candidates
     w = Window.partitionBy("book_id", "path", "doc_pos").orderBy("pattern_no", "match_pos")
     fast = dedupe_terms(candidates).withColumn("_n", F.row_number().over(w))
     if not exact:
         return fast.filter(F.col("_n") <= most).drop("_n")
-    over = fast.filter(F.col("_n") > most).select("book_id").distinct()
+    over = stored(fast.filter(F.col("_n") > most).select("book_id").distinct())
+    if over.isEmpty():
+        return fast.drop("_n")
     rest = fast.join(over, "book_id", "left_anti").drop("_n")
-
     return rest.unionByName(folds.fold_by_key(candidates.join(over, "book_id", "left_semi").withColumn("_l", F.lower("label")), "book_id", ["doc_pos", "path", "pattern_no", "match_pos"], lambda: _Terms(most), candidates.schema))
 
 

@@ -26,7 +26,12 @@ class Fold:
 
 def fold_by_key(rows: DataFrame, key: str, order: list[str], start: Callable[[], Fold], schema: T.StructType) -> DataFrame:
     """Result rows of a fold of each key. Keys are dealt and sorted by Spark, which spills, and stream through the task:
-    its memory holds a batch and one state, never a key's rows. A null key is a key."""
+    its memory holds a batch and one state, never a key's rows. A null key is a key.
+
+    Rows are dealt by a column made here. An exchange by the key itself may be left out where
+    the rows seem to be dealt by it already (a join, an aggregate, a union of such), and what
+    seemed so may change when the plan is adapted; by a column that nothing below knows of it can't.
+    """
     wanted = to_arrow_schema(schema)
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -51,5 +56,8 @@ def fold_by_key(rows: DataFrame, key: str, order: list[str], start: Callable[[],
         if chunk:
             yield pa.RecordBatch.from_pylist(chunk, wanted)
 
-    dealt = rows.repartition(F.col(key)).sortWithinPartitions(key, *order)
-    return dealt.mapInArrow(run, schema)
+    name = "_dealt"
+    while name in rows.columns:
+        name = f"_{name}"
+    dealt = rows.withColumn(name, F.xxhash64(F.lit("fold"), F.col(key))).repartition(F.col(name))
+    return dealt.sortWithinPartitions(key, *order).drop(name).mapInArrow(run, schema)
