@@ -9,8 +9,9 @@ or of their lower half. So each of them throws the small Hamming ball of radius
 both halves (66 keys) into the tables, and any such two meet at a key between them. What meets
 is verified on all 64 bits:
 
-- keys with few fingerprints compare them with each other;
-- a crowded key never does. Its members continue the ball in the other half, so that together
+- a key with up to FEW fingerprints compares them in one row and hands on one link for
+  each, to the smallest of those that chains of near ones inside the key reach;
+- a crowded key compares nothing. Its members continue the ball in the other half, so that together
   they hold all points that lie within 2 bits of the fingerprint and have this key. Two that
   share a point differ in at most 4 bits, and two that differ in at most 4 bits share one, so
   linking each point's members with its smallest one links what should be linked and nothing
@@ -41,8 +42,8 @@ from . import _common as c
 from .near_dedup import components
 
 SHINGLE, SEED, BITS = 4, 42, 4
-#: Keys with up to so many fingerprints compare them directly.
-FEW = 16
+#: Keys with up to so many fingerprints compare them directly: fewer comparisons a member than it has points.
+FEW = 256
 #: Shingles that one step of the hashing holds.
 BLOCK = 1 << 17
 
@@ -116,11 +117,33 @@ def _literal(numbers: list[int]) -> Column:
     return F.array(*[F.lit(x).cast("long") for x in numbers])
 
 
-def links(distinct: DataFrame, few: int = FEW) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) whose components are those of all pairs within 4 bits.
+def _near_in_lists(lists: DataFrame) -> DataFrame:
+    """a, b: of each list of fingerprints (s), what chains of near ones link with a smaller one, and the smallest such."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for one in batch.column("s"):
+                x = np.sort(one.values.to_numpy(zero_copy_only=False))
+                bits = x.view(np.uint64)
+                near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= BITS
+                root = np.argmax(near, axis=1)  # the first near one, then the first that any near one knows
+                while True:
+                    least = np.where(near, root[None, :], len(x)).min(axis=1)
+                    least = least[least]
+                    if (least == root).all():
+                        break
+                    root = least
+                own = np.flatnonzero(root != np.arange(len(x)))
+                a.append(x[root[own]])
+                b.append(x[own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z) if z else np.zeros(0, np.int64)) for z in (a, b)], names=["a", "b"])
+
+    return lists.select("s").mapInArrow(run, "a long, b long")
 
-    Every link joins two fingerprints within 4 bits; not each such pair is a link of its own.
-    """
+
+def links(distinct: DataFrame, few: int = FEW) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) whose components are those of all pairs within 4 bits."""
     upper, lower = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(_LOW))
     ball = _literal(_masks(1))
     keys = F.concat(F.transform(ball, lambda m: upper.bitwiseXOR(m)), F.transform(ball, lambda m: lower.bitwiseXOR(m).bitwiseOR(F.lit(_LOWER_KEY))))
@@ -129,11 +152,12 @@ def links(distinct: DataFrame, few: int = FEW) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
     two = stats.filter("n = 2").select("a", "b").filter(near)
 
-    small = entries.join(stats.filter((F.col("n") > 2) & (F.col("n") <= few)).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("s"))
-    inside = f"flatten(transform(s, x -> transform(filter(s, y -> y > x and bit_count(x ^ y) <= {BITS}), y -> struct(x as a, y as b))))"
-    some = small.select(F.explode(F.expr(inside)).alias("p")).select("p.a", "p.b")
+    def of(keys: DataFrame) -> DataFrame:
+        keys = keys.select("key")
+        return entries.join(F.broadcast(keys) if c.is_small(keys) else keys, "key")
 
-    crowd = entries.join(stats.filter(F.col("n") > few).select("key"), "key")
+    some = _near_in_lists(of(stats.filter((F.col("n") > 2) & (F.col("n") <= few))).groupBy("key").agg(F.collect_list("fp").alias("s")))
+    crowd = of(stats.filter(F.col("n") > few))
     is_low = F.col("key") >= _LOWER_KEY
     own, other = F.when(is_low, lower.bitwiseOR(F.lit(_LOWER_KEY))).otherwise(upper), F.when(is_low, upper).otherwise(lower)
     masks = F.when(own == F.col("key"), _literal(_masks(2))).otherwise(ball)
