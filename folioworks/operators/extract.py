@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 
@@ -17,7 +16,9 @@ from ..functions import tables
 from ..functions import text as t
 from ..sources.storage import stored
 from . import folds
+from .page_tree import fragment_preview, fragment_target, page_nodes, profile_tables  # noqa: F401  extraction too
 
+anchor_blocks = page_nodes
 HEAD = r"(?is)<(h[1-6])\b([^>]*)>(.*?)</\1>"
 STRONG = r"(?is)<(strong|b|dt)\b([^>]*)>(.*?)</\1>"
 
@@ -252,139 +253,5 @@ def sanitize_svg(svg: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else clean_svg(s) for s in svg], dtype=object)
 
 
-class _Cells(HTMLParser):
-    """Cells of the top tables: (table, row, cell, colspan, text); cells of inner tables have row -1."""
-
-    def __init__(self):
-        super().__init__()
-        self.depth, self.table, self.row, self.cell = 0, -1, -1, -1
-        self.open: list[list] = []
-        self.out: list[list] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            if not self.depth:
-                self.table, self.row = self.table + 1, -1
-            self.depth += 1
-        elif not self.depth:
-            return
-        elif tag == "tr" and self.depth == 1:
-            self.row, self.cell = self.row + 1, -1
-        elif tag in ("td", "th"):
-            span = re.match(r"\s*([+-]?\d+)", dict(attrs).get("colspan") or "")
-            if self.depth == 1:
-                self.cell += 1
-            self.open.append([self.table, self.row if self.depth == 1 else -1, self.cell, max(1, int(span[1]) if span else 1), ""])
-            self.out.append(self.open[-1])
-
-    def handle_endtag(self, tag):
-        if tag == "table" and self.depth:
-            self.depth -= 1
-            if not self.depth:
-                self.open = []
-        elif tag in ("td", "th") and self.open:
-            self.open.pop()
-
-    def handle_data(self, data):
-        for c in self.open:
-            c[4] += data
-
-
-def table_cells(pages: DataFrame) -> DataFrame:
-    schema = f"book_id string, path string, doc_pos {pages.schema['doc_pos'].dataType.simpleString()}, table_no int, row_no int, cell_no int, colspan int, text string"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for b, p, d, h in zip(frame["book_id"], frame["path"], frame["doc_pos"], frame["html"], strict=True):
-                if h and "<table" in h.lower():
-                    x = _Cells()
-                    x.feed(h)
-                    rows += [[b, p, d, *c] for c in x.out]
-            yield pd.DataFrame(rows, columns=["book_id", "path", "doc_pos", "table_no", "row_no", "cell_no", "colspan", "text"])
-
-    return pages.select("book_id", "path", "doc_pos", "html").mapInPandas(run, schema)
-
-
-def profile_tables(pages: DataFrame) -> DataFrame:
-    """Per top table: columns, long_cells, very_long, xlong, wide, labels."""
-    cells = table_cells(pages).withColumn("weight", t.text_weight("text"))
-    keys = ["book_id", "path", "doc_pos", "table_no"]
-    span = F.sum(F.when(F.col("row_no").between(0, 11), F.col("colspan")))
-    rows = cells.groupBy(*keys, "row_no").agg(span.alias("span"), *[F.sum((F.col("weight") > w).cast("int")).alias(n) for w, n in ((9, "long_cells"), (12, "very_long"), (24, "xlong"))])
-    x = rows.groupBy(*keys).agg(F.coalesce(F.max("span"), F.lit(0)).alias("columns"), *[F.sum(n).alias(n) for n in ("long_cells", "very_long", "xlong")])
-    wide = (F.col("columns") >= 5) | ((F.col("columns") >= 4) & (F.col("long_cells") >= 2))
-    return x.withColumn("wide", wide).withColumn("labels", F.col("columns").between(2, 3) & ~F.col("wide"))
-
-
-class _Blocks(HTMLParser):
-    """Elements in page order: (number, parent, level of heading, ids and names, text)."""
-
-    def __init__(self):
-        super().__init__()
-        self.stack: list[list] = []
-        self.out: list[list] = []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        e = [len(self.out), self.stack[-1][0] if self.stack else -1, int(tag[1]) if re.fullmatch("h[1-6]", tag) else 0, [x for x in (a.get("id"), a.get("name")) if x], "", tag]
-        self.out.append(e)
-        if tag not in _VOID:
-            self.stack.append(e)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][5] == tag:
-                del self.stack[i:]
-                return
-
-    def handle_data(self, data):
-        for e in self.stack:
-            e[4] += data
-
-
-def anchor_blocks(pages: DataFrame) -> DataFrame:
-    """book_id, path, number, parent, level, anchors, text of the elements of pages."""
-    schema = "book_id string, path string, number int, parent int, level int, anchors array<string>, text string"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for b, p, h in zip(frame["book_id"], frame["path"], frame["html"], strict=True):
-                x = _Blocks()
-                x.feed(h or "")
-                rows += [[b, p, *e[:5]] for e in x.out]
-            yield pd.DataFrame(rows, columns=["book_id", "path", "number", "parent", "level", "anchors", "text"])
-
-    return pages.select("book_id", "path", "html").mapInPandas(run, schema)
-
-
-def fragment_target(blocks: DataFrame, asked: DataFrame) -> DataFrame:
-    """For (book_id, path, fragment, label) the element with this anchor that fits the label best; first of equals."""
-    each = blocks.withColumn("fragment", F.explode("anchors")).join(asked, ["book_id", "path", "fragment"])
-    own, want = t.compact_compare("text"), t.compact_compare(F.coalesce("label", F.lit("")))
-    same = F.aggregate(F.zip_with(F.split("_own", ""), F.split("_want", ""), lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
-    score = F.when((F.col("_want") == "") | (F.col("_own") == ""), 0).when(F.col("_want").contains(F.col("_own")), 10_000 + F.length("_own")).when(F.col("_own").contains(F.col("_want")), 9_000 + F.length("_want")).otherwise(same)
-    w = Window.partitionBy("book_id", "path", "fragment", "label").orderBy(F.col("score").desc(), "number")
-    return each.withColumns({"_own": own, "_want": want}).withColumn("score", score).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_own", "_want", "anchors")
-
-
-def fragment_preview(blocks: DataFrame, asked: DataFrame, most: int = 1800) -> DataFrame:
-    """book_id, path, fragment, title, text: the heading at an anchor and what follows it, to the next of its rank."""
-    hit = fragment_target(blocks, asked)
-    # an anchor inside a heading means the heading
-    up = blocks.filter("level > 0").select("book_id", "path", F.col("number").alias("parent"), F.col("level").alias("up_level"), F.col("parent").alias("up_parent"), F.col("text").alias("up_text"))
-    hit = hit.join(up, ["book_id", "path", "parent"], "left")
-    at = hit.select("book_id", "path", "fragment", "label", F.when(F.col("up_level").isNotNull(), F.col("parent")).otherwise(F.col("number")).alias("start"), F.when(F.col("up_level").isNotNull(), F.col("up_parent")).otherwise(F.col("parent")).alias("holder"), F.coalesce("up_level", "level").alias("rank"), t.clean_text(F.coalesce("up_text", "text")).alias("focus"))
-    after = at.join(blocks.select("book_id", "path", F.col("parent").alias("holder"), "number", F.col("level").alias("block_level"), t.clean_text("text").alias("block")), ["book_id", "path", "holder"], "left").filter("number is null or number >= start")
-    w = Window.partitionBy("book_id", "path", "fragment", "label").orderBy("number")
-    ends = F.sum(((F.col("number") > F.col("start")) & (F.col("block_level") > 0) & (F.col("rank") > 0) & (F.col("block_level") <= F.col("rank"))).cast("int")).over(w)
-    size = F.when(F.col("number") > F.col("start"), F.length("block")).otherwise(0)
-    x = after.withColumns({"past": ends, "before": F.sum(size).over(w) - size})
-    keep = (F.col("past") == 0) & (F.col("number") > F.col("start")) & (F.col("before") < most) & (F.col("block") != "")
-    parts = F.array_sort(F.collect_list(F.when(keep, F.struct("number", "block"))))
-    return x.groupBy("book_id", "path", "fragment", "label", "focus").agg(F.substring(F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n"), 1, most).alias("text")).select("book_id", "path", "fragment", t._first(F.col("focus"), t.clean_text("label"), F.lit("规则预览")).alias("title"), "text")
-
-
 def page_preview(pages: DataFrame, most: int = 1600) -> DataFrame:
     return pages.select("book_id", "path", "title", t._first(F.substring(t.clean_text("text"), 1, most), F.lit("此页没有可预览的正文。")).alias("preview"))
