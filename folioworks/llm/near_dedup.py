@@ -15,8 +15,10 @@ All members of a bucket are compared with a centre, a node with many copies that
 buckets with, exactly, by their shingles. Two that both reach the threshold with the centre are of one
 group already. One that does not can only reach it with a node that shares over half of
 the elements by which this node differs from the centre; such pairs meet by equality on
-these few elements, and are compared exactly too. So a bucket loses no pair that could
-unite two groups, and its work follows its members, not their pairs.
+these few elements, the rarest first, and are compared exactly too. Where an element has many nodes
+on both sides they are not compared; one of them becomes the centre of the others, and so on.
+So a bucket loses no pair that could unite two groups, and a node is compared with at most FEW
+others for an element of its difference, never with all of its bucket.
 
 Scale: one row per (text, band) is shuffled; shingles travel only for nodes of buckets with
 several nodes. Hot buckets are counted by partial aggregates and joined by equality.
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 5: two texts of similarity 0.8 share none of them once in 300,000 cases.
 BANDS, ROWS = 32, 5
+#: Partners that one element of a difference gives a node at most.
+FEW = 32
 #: Ids of texts to compare are broadcast up to this number.
 BROADCAST_IDS = 1_000_000
 
@@ -181,10 +185,10 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _differences(pairs: DataFrame, threshold: float) -> DataFrame:
-    """centre, node, n, linked, diff (elements by which node differs from centre, its own first), prefix (how many a partner must meet)."""
+    """crowd, centre, node, n, linked, diff (elements by which node differs from centre, its own first), prefix (how many a partner must meet)."""
     rate = (1 - threshold) / (1 + threshold)
     fields = [T.StructField("n", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("diff", _LONGS), T.StructField("prefix", T.IntegerType())]
-    schema = T.StructType([T.StructField("centre", pairs.schema["a"].dataType), T.StructField("node", pairs.schema["b"].dataType), *fields])
+    schema = T.StructType([T.StructField("crowd", T.LongType()), T.StructField("centre", pairs.schema["a"].dataType), T.StructField("node", pairs.schema["b"].dataType), *fields])
 
     def run(batches):
         for batch in batches:
@@ -201,9 +205,9 @@ def _differences(pairs: DataFrame, threshold: float) -> DataFrame:
                 prefix.append(max(0, d - max(1, need) + 1))
                 parts.append(np.concatenate([own, lost]))
             flat = pa.array(np.concatenate(parts)) if parts else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), c.list_array(flat, np.array([len(x) for x in parts], np.int64)), pa.array(prefix, pa.int32())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("crowd"), batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), c.list_array(flat, np.array([len(x) for x in parts], np.int64)), pa.array(prefix, pa.int32())], names=schema.names)
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
+    return pairs.select("crowd", "a", "b", "set_a", "set_b").mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,9 +261,9 @@ def _united(members: DataFrame, sets_: DataFrame, threshold: float) -> DataFrame
     around what they were copied from, and all their buckets then have the same centre.
     Two nodes near the centre are of one group. For a node far from it, a partner must
     share over half of the partner's difference from the centre: so partners meet by
-    equality on one of the first elements of that difference.
+    equality on one of the first elements of that difference (_far_pairs), around new
+    centres where too many would meet.
     """
-    rate = (1 - threshold) / (1 + threshold)
     best = F.min(F.struct((-F.col("copies")).alias("c"), "node")).alias("hub")
     many = members.groupBy("key").agg(best, F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y"))
     many = c.materialize(many)
@@ -269,19 +273,54 @@ def _united(members: DataFrame, sets_: DataFrame, threshold: float) -> DataFrame
     centres = large.join(hubs, "node").groupBy("key").agg(F.min("own_hub").alias("h")).select("key", F.col("h.node").alias("centre"))
     pair = large.join(centres, "key").filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(two).distinct()
     a, b = (sets_.select(F.col("_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    found = c.materialize(_differences(pair.join(a, "a").join(b, "b"), threshold))
-    crowds = found.groupBy("centre").agg(F.count("*").alias("many"), F.min("linked").alias("all_near")).filter("many > 1 and not all_near").select("centre")
-    rows = found.join(crowds, "centre").withColumn("d", F.size("diff"))
-    far = rows.filter("not linked").select("centre", F.col("node").alias("far"), F.col("n").alias("far_n"), F.col("d").alias("far_d"), F.explode("diff").alias("e"))
-    near = rows.select("centre", "node", "n", "d", "linked", F.posexplode(F.slice("diff", 1, F.greatest("prefix", F.lit(0)))).alias("pos", "e"))
+    found = c.materialize(_differences(pair.withColumn("crowd", F.xxhash64("a")).join(a, "a").join(b, "b"), threshold))
+    links = [found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))]
+    while True:
+        met, stars = _far_pairs(found, threshold)
+        links.append(c.materialize(_similar(met.join(a, "a").join(b, "b"), threshold)))
+        stars = c.materialize(stars)
+        if stars.isEmpty():
+            break
+        found = c.materialize(_differences(stars.join(a, "a").join(b, "b"), threshold))
+        links.append(found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    return components(every)
+
+
+def _far_pairs(found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) to compare: each node that is far from its crowd's centre, with partners that share enough of its difference; and stars (crowd, a, b).
+
+    Partners meet on elements of differences, those of the fewest far nodes first. Where an element has more than
+    FEW on both sides, nothing is compared: its far node with the smallest difference becomes the centre of all (a star), and they meet again by
+    their differences from that one, in which what they all share is gone. So a node has at most FEW partners for an element.
+    A star is a crowd of its own, known by its centre and members: it has fewer members than what it came from, so stars end.
+    """
+    rate = (1 - threshold) / (1 + threshold)
+    crowds = found.groupBy("crowd").agg(F.count("*").alias("many"), F.min("linked").alias("all_near")).filter("many > 1 and not all_near").select("crowd")
+    rows = found.join(crowds, "crowd").withColumn("d", F.size("diff"))
+    each = rows.select("crowd", "node", "n", "d", "linked", "prefix", F.explode("diff").alias("e"))
+    often = each.groupBy("crowd", "e").agg(F.count("*").alias("all"), F.count(F.when(~F.col("linked"), 1)).alias("fars"))
+    order = Window.partitionBy("crowd", "node").orderBy("fars", "e")
+    own = (~F.col("linked")).cast("int")
+    # elements that no other far node has lead nowhere; they only take their places
+    placed = each.join(often, ["crowd", "e"]).withColumn("pos", F.row_number().over(order) - 1).filter((F.col("fars") > own) | (~F.col("linked") & (F.col("all") > 1)))
+    placed = c.materialize(placed.select("crowd", "e", "node", "n", "d", "linked", "pos", ((F.col("pos") < F.col("prefix")) & (F.col("fars") > own)).alias("meets")))
+    groups = placed.groupBy("crowd", "e").agg(F.count(F.when(F.col("meets"), 1)).alias("k"), F.count(F.when(~F.col("linked"), 1)).alias("f"), F.min(F.when(~F.col("linked"), F.struct("d", "node"))).alias("second"), F.bit_xor(F.when(F.col("meets") | ~F.col("linked"), F.xxhash64("node"))).alias("members"))
+    crowded = (F.col("k") > FEW) & (F.col("f") > FEW)
+    groups = c.materialize(groups.filter("k > 0 and f > 0").select("crowd", "e", F.when(crowded, F.col("second.node")).alias("second"), F.when(crowded, F.xxhash64("second.node", "members")).alias("star")))
+    some = placed.join(groups, ["crowd", "e"])
+    few = some.filter("second is null")
+    far = few.filter("not linked").select("crowd", "e", F.col("node").alias("far"), F.col("n").alias("far_n"), F.col("d").alias("far_d"))
     # of two far nodes the one with the smaller difference is the partner; one of its elements before this place is shared
     small = F.col("linked") | (F.struct("d", "node") < F.struct("far_d", "far"))
     allowed = (F.col("n") + F.col("far_n")) * rate
     place = F.col("pos") <= F.col("d") - F.ceil((F.col("far_d") + F.col("d") - allowed) / 2 - 1e-6)
     fits = (F.col("node") != F.col("far")) & small & place & (F.abs(F.col("d") - F.col("far_d")) <= allowed + 1e-6) & F.col("n").between(F.col("far_n") * threshold - 1e-6, F.col("far_n") / threshold + 1e-6)
-    more = far.join(near, ["centre", "e"]).filter(fits).select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b")).distinct()
-    more = _similar(more.join(a, "a").join(b, "b"), threshold)
-    return components(found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(more))
+    met = far.join(few.filter("meets"), ["crowd", "e"]).filter(fits).select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b")).distinct()
+    stars = some.filter("second is not null and node != second and (meets or not linked)").select(F.col("star").alias("crowd"), F.col("second").alias("a"), F.col("node").alias("b")).distinct()
+    return met, stars
 
 
 def _only(docs: DataFrame, nodes: DataFrame, doc_id: str, how: str = "left_semi") -> DataFrame:
