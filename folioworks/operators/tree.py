@@ -2,92 +2,75 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from urllib.parse import unquote
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import helpers
 from ..functions import text as t
+from ..sources.storage import stored
 
-NODES = "book_id string, node_id int, parent_id int, pos int, depth int, name string, local string, locals array<string>, ancestors array<int>"
-
-_TAG = re.compile(r"""<\s*(/?)\s*([a-z][a-z0-9]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.I)
-_ATTR = re.compile(r"""([a-z_][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_SPACE = "".join(map(chr, [*range(9, 14), 32, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
-
-
-def path_of(base: str, given: str) -> str | None:
-    """The same as text.normalize_path, for the parser below."""
-    v = given.strip(_SPACE).replace("\\", "/")
-    if not v or re.search(r"[\x00-\x1f\x7f]", v):
-        return None
-    if m := re.match(r"(?:ms-its:|mk:@msitstore:|its:)?[^:]*?\.chm::(.*)$", v, re.I):
-        v = m[1]
-    v = v.split("#", 1)[0].split("?", 1)[0]
-    if not re.search(r"%(?![0-9a-fA-F]{2})", v):
-        try:
-            v = unquote(v, errors="strict")
-        except UnicodeDecodeError:
-            pass
-    if not v or re.match(r"(?:https?:|mailto:|tel:|ftp:|javascript:|data:|about:|file:|blob:)", v, re.I):
-        return None
-    out: list[str] = []
-    for part in (v if v.startswith("/") else base[: base.rfind("/") + 1] + v).split("/"):
-        if part == "..":
-            out = out[:-1]
-        elif part not in ("", "."):
-            out.append(part)
-    return "/" + "/".join(out)
-
-
-def sitemap_nodes(text: str, base: str) -> list[dict]:
-    """Nodes of one sitemap file in preorder: lists nest, an object with params is a node."""
-    nodes: list[dict] = []
-    open_: list[int | None] = [None]  # the parents of the lists that are open
-    last: int | None = None
-    params: list[tuple[str, str]] | None = None
-    for closing, tag, body in _TAG.findall(text):
-        tag = tag.lower()
-        if tag in ("ul", "menu", "dir"):
-            if not closing:
-                open_.append(open_[-1] if last is None else last)
-                last = None
-            elif len(open_) > 1:
-                last = open_.pop()
-            continue
-        attrs = {}
-        if not closing and tag in ("object", "param"):
-            attrs = {k.lower(): helpers.decode_once(a or b or c) for k, a, b, c in _ATTR.findall(body)}
-        if tag == "param" and params is not None and attrs.get("name"):
-            params.append((attrs["name"].lower(), attrs.get("value", "")))
-        elif tag == "object" and not closing:
-            params = [] if "text/sitemap" in attrs.get("type", "").lower() else None
-        elif tag == "object" and params is not None:
-            name = next((v for k, v in params if k == "name" and v), "")
-            found = [v for k, v in params if k == "local"]
-            first = next((v for v in found if v), "")
-            if name or first:
-                parent = open_[-1]
-                above = [] if parent is None else [*nodes[parent]["ancestors"], parent]
-                last = len(nodes)
-                nodes.append({"node_id": last, "parent_id": parent, "pos": last, "depth": len(above), "name": (name or first).strip(_SPACE), "local": path_of(base, first), "locals": [p for v in found if (p := path_of(base, v))], "ancestors": above})
-            params = None
-    return nodes
+#: A tag: what closes, its name, its attributes.
+TAG = rf"<{t.WS}*(/?){t.WS}*([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>"
+LISTS = ["ul", "menu", "dir"]
 
 
-def parse_sitemap(files: DataFrame) -> DataFrame:
-    """Nodes of sitemap files (book_id, base, text); a file is one row, files are parallel."""
+def _tag_rows(files: DataFrame) -> DataFrame:
+    """file, book_id, base, n, tag, opens, attrs: the tags of contents files that matter, in order."""
+    groups = [F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TAG), i).alias(x) for i, x in ((1, "slash"), (2, "tag"), (3, "body"))]
+    key = F.xxhash64("book_id", "base", "text").alias("file")
+    each = files.select(key, "book_id", F.coalesce("base", F.lit("/")).alias("base"), F.posexplode(F.arrays_zip(*groups)).alias("n", "m"))
+    rows = each.select("file", "book_id", "base", "n", F.lower("m.tag").alias("tag"), (F.col("m.slash") == "").alias("opens"), F.col("m.body").alias("body")).filter(F.col("tag").isin(*LISTS, "object", "param"))
+    return rows.withColumn("attrs", F.when(F.col("opens") & F.col("tag").isin("object", "param"), t.attrs_map("body"))).drop("body")
+
+
+def _topics(tags: DataFrame) -> DataFrame:
+    """file, book_id, base, n, name, local, locals: one row for each object that names a topic, at the tag that ends it."""
+    w = Window.partitionBy("file").orderBy("n")
+    start = F.last(F.when((F.col("tag") == "object") & F.col("opens"), F.struct("n", F.lower(F.coalesce(F.col("attrs")["type"], F.lit(""))).contains("text/sitemap").alias("topic"))), ignorenulls=True).over(w)
+    inside = tags.filter(~F.col("tag").isin(*LISTS)).withColumn("_o", start).filter("_o.topic")
+    ends = F.min(F.when((F.col("tag") == "object") & ~F.col("opens"), F.col("n"))).over(Window.partitionBy("file", "_o.n"))
+    own = inside.withColumn("_end", ends).filter("_end is not null and (tag = 'param' and opens and n < _end or n = _end)")
+    kind, value = F.lower(F.col("attrs")["name"]), F.coalesce(F.col("attrs")["value"], F.lit(""))
+    named = own.withColumns({"_k": kind, "_v": value}).withColumn("_path", F.when(F.col("_k") == "local", t.normalize_path("base", "_v")))
+    first = lambda k: F.min_by(F.when(F.col("_v") != "", F.col("_v")), F.when((F.col("_k") == k) & (F.col("_v") != ""), F.col("n")))
+    x = named.groupBy("file", "book_id", "base", F.col("_end").alias("n")).agg(first("name").alias("_name"), first("local").alias("_local"), F.array_sort(F.collect_list(F.when(F.col("_path").isNotNull(), F.struct("n", "_path")))).alias("_l"))
+    x = x.filter("_name is not null or _local is not null")
+    return x.select("file", "book_id", "n", t.trim(F.coalesce("_name", "_local")).alias("name"), t.normalize_path("base", "_local").alias("local"), F.transform("_l", lambda y: y["_path"]).alias("locals"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"book_id": b} | n for b, base, text in zip(frame["book_id"], frame["base"], frame["text"], strict=True) for n in sitemap_nodes(text or "", base or "/")]
-            yield pd.DataFrame(rows, columns=["book_id", "node_id", "parent_id", "pos", "depth", "name", "local", "locals", "ancestors"]).astype({"parent_id": "Int32"})
 
-    return files.select("book_id", "base", "text").mapInPandas(run, NODES)
+def parse_sitemap(files: DataFrame) -> DataFrame:
+    """Nodes of contents files (book_id, base, text), one row each: lists nest, an object that names a topic is a node.
+
+    Tags become rows, and nesting is bracket matching by windows. How many lists are open is a sum
+    of what opens and closes so far, less the lowest it fell (what closes too much closes
+    nothing). The list that a row lies in began at the last row that raised the sum to its level. A list
+    belongs to the last node before it in the list around it; one without such a node nests nothing. Counting
+    only lists with an owner in the same way gives each node its depth, and the owner at each level its ancestors.
+    """
+    tags = stored(_tag_rows(files))
+    numbered = stored(_topics(tags).withColumn("node_id", F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1))
+    w = Window.partitionBy("file").orderBy("n")
+    both = tags.filter(F.col("tag").isin(*LISTS)).select("file", "n", F.when(F.col("opens"), 1).otherwise(-1).alias("step"), F.lit(None).cast("int").alias("node_id")).unionByName(numbered.select("file", "n", F.lit(0).alias("step"), "node_id"))
+    total = both.withColumn("_sum", F.sum("step").over(w))
+    level = total.withColumn("level", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
+    level = level.withColumn("_before", F.lag("level", 1, 0).over(w)).filter("step >= 0 or _before > 0")
+    # each row at the level it lies in, and each list also where it begins, one level further in
+    at = level.select("file", "n", "step", "node_id", F.when(F.col("step") == 1, F.col("_before")).otherwise(F.greatest("level", "_before")).alias("level"), F.lit(False).alias("begins"))
+    begins = level.filter("step = 1").select("file", "n", "step", "node_id", "level", F.lit(True).alias("begins"))
+    same = Window.partitionBy("file", "level").orderBy("n", F.col("begins").desc())
+    lists = at.unionByName(begins).withColumn("list", F.last(F.when(F.col("begins"), F.col("n")), ignorenulls=True).over(same))
+    last = F.last("node_id", ignorenulls=True).over(Window.partitionBy("file", "level", "list").orderBy("n"))
+    inside = lists.filter("not begins").withColumn("_owner", last)
+    owners = stored(inside.filter("step = 1 and _owner is not null").select("file", F.col("n").alias("list"), F.col("_owner").alias("owner")))
+    # what opens such lists, what closes them, and the nodes
+    opened = owners.select("file", F.col("list").alias("n"), F.lit(1).alias("step"), "owner", F.lit(None).cast("int").alias("node_id"))
+    closed = inside.filter("step = -1").join(owners, ["file", "list"], "left_semi").select("file", "n", "step", F.lit(None).cast("int").alias("owner"), "node_id")
+    nodes = numbered.select("file", "n", F.lit(0).alias("step"), F.lit(None).cast("int").alias("owner"), "node_id")
+    depths = stored(opened.unionByName(closed).unionByName(nodes).withColumn("depth", F.sum("step").over(w).cast("int")))
+    levels = depths.filter("node_id is not null and depth > 0").select("file", "n", "node_id", "owner", F.explode(F.sequence(F.lit(1), "depth")).alias("level")).unionByName(depths.filter("step = 1").select("file", "n", "node_id", "owner", F.col("depth").alias("level")))
+    above = levels.withColumn("_a", F.last("owner", ignorenulls=True).over(Window.partitionBy("file", "level").orderBy("n"))).filter("node_id is not null")
+    ancestors = above.groupBy("file", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "_a"))), lambda x: x["_a"]).alias("ancestors"))
+    whole = numbered.join(ancestors, ["file", "node_id"], "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<int>")))
+    return whole.select("book_id", "node_id", F.try_element_at("ancestors", F.lit(-1)).alias("parent_id"), F.col("node_id").alias("pos"), F.size("ancestors").alias("depth"), "name", "local", "locals", "ancestors")
 
 
 def by_book(*order) -> Window:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import extract, page_tree
+from .operators import extract, page_tree, tree
 from .registry import query
 from .sources import books as b
 
@@ -84,3 +84,26 @@ def fragment_targets(s, d):
     asked = p.select(L("parts").alias("book_id"), page.alias("path"), L("a%20b").alias("fragment"), F.upper(own).alias("label"))
     got = page_tree.fragment_target(page_tree.page_nodes(raw), asked)
     return got.select("path", F.lower("label").alias("label"), "anchor", "score")
+
+
+@query(
+    """with c as (select r_name, n_nationkey n, n_name, c_custkey c, c_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+x as (select distinct r_name, -1 n, -1 c, r_name as name, null::varchar p, 0 depth, '' above from c union all select distinct r_name, n, -1, n_name, r_name, 1, r_name from c union all select r_name, n, c, c_name, n_name, 2, r_name || '>' || n_name from c)
+select r_name as book_id, (row_number() over (partition by r_name order by n, c) - 1)::int as node_id, name, p as parent, depth, above, case depth when 0 then '/toc/index.htm' when 1 then '/n/' || n || '.htm' else '/toc/c/' || c || '.htm' end as "local" from x"""
+)
+def parsed_contents_tree(s, d):
+    """Contents files of three levels, one for each region, parsed: order, parents, ancestors and targets."""
+    c, n, r = (b.table(s, d, x) for x in ("customer", "nation", "region"))
+    topic = lambda name, page: F.concat(L('<li><object type="text/sitemap"><param name="Name" value="'), name, L('"><param name="Local" value="'), page, L('"></object>'))
+    lists = lambda rows, by, key: rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "html"))), lambda x: x["html"]), "\n").alias("inner"))
+    named = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    low = lists(named.select("r_name", "n_nationkey", "n_name", "c_custkey", topic(F.col("c_name"), F.concat(L("c/"), F.col("c_custkey").cast("string"), L(".htm#top"))).alias("html")), ["r_name", "n_nationkey", "n_name"], "c_custkey")
+    page = F.concat(L("../n/"), F.col("n_nationkey").cast("string"), L(".htm"))
+    mid = lists(low.select("r_name", "n_nationkey", F.concat(topic(F.col("n_name"), page), L("<ul>"), "inner", L("</ul>")).alias("html")), ["r_name"], "n_nationkey")
+    files = mid.select(F.col("r_name").alias("book_id"), L("/toc/a.hhc").alias("base"), F.concat(L("<html><body><ul>"), topic(F.col("r_name"), L("index.htm")), L("<ul>"), "inner", L("</ul></ul></body></html>")).alias("text"))
+    nodes = tree.parse_sitemap(files)
+    names = nodes.select("book_id", F.col("node_id").alias("_a"), F.col("name").alias("_name"))
+    up = nodes.select("book_id", "node_id", F.posexplode("ancestors").alias("_i", "_a")).join(names, ["book_id", "_a"]).groupBy("book_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_name"))).alias("_l"))
+    above = F.coalesce(F.array_join(F.transform("_l", lambda x: x["_name"]), ">"), L(""))
+    own = nodes.join(names.withColumnRenamed("_a", "parent_id"), ["book_id", "parent_id"], "left")
+    return own.join(up, ["book_id", "node_id"], "left").select("book_id", "node_id", "name", F.col("_name").alias("parent"), "depth", above.alias("above"), "local")
