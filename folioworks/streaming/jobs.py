@@ -7,8 +7,10 @@ writes the same rows to the same place. Without a folder a job has a new one.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import activity, extract
 from ..sources.storage import work_folder
@@ -23,26 +25,45 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
 class Changes:
     """A keyed table as a stream leaves it: each micro-batch appends its rows under its own number, and the last row of a key counts.
 
-    So a batch writes its own rows only, and writes them anew if it runs again. Reading
-    takes an aggregate over all that was put, so its cost grows with the changes.
+    So a batch writes its own rows only, and writes them anew if it runs again. Every COMPACT
+    versions the last row of each key is written as a base, and once it is whole a row of `bases`
+    says so; a base that was not finished is never read. Reading takes an aggregate over the newest base and what
+    came after it: at most COMPACT versions, however many there have been.
     """
 
+    COMPACT = 8
+
     def __init__(self, rows: DataFrame, path: str, keys: list[str], order: list[str]):
         self.spark, self.path, self.keys, self.order = rows.sparkSession, path, keys, order
         # an empty version first: a stream without rows leaves an empty table
-        self.spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(f"{path}/version=-1")
+        self.spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(f"{path}/changes/version=-1")
+        self.spark.range(-1, 0).coalesce(1).write.mode("ignore").parquet(f"{path}/bases/made=-1")
 
     def put(self, batch: DataFrame, batch_id: int) -> None:
-        self._last(batch.withColumn("version", F.lit(batch_id)), batch.columns).write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        self._last(batch.withColumn("version", F.lit(batch_id)), batch.columns).write.mode("overwrite").parquet(f"{self.path}/changes/version={batch_id}")
+        if batch_id % self.COMPACT == self.COMPACT - 1:
+            self._rows(batch_id - 1).unionByName(self._changes().filter(F.col("version") == batch_id)).transform(lambda x: self._last(x, x.columns)).write.mode("overwrite").parquet(f"{self.path}/base={batch_id}")
+            self.spark.range(batch_id, batch_id + 1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/bases/made={batch_id}")
 
     def _last(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         value = [x for x in rows.columns if x not in self.keys]
         last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*value), F.struct("version", *self.order)).alias("_x"))
         return last.select(*[x if x in self.keys else F.col(f"_x.{x}").alias(x) for x in columns])
 
+    def _changes(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/changes")
+
+    def _rows(self, upto: int | None = None) -> DataFrame:
+        """All rows that may count, to a version: those of the newest base and later ones."""
+        bases = self.spark.read.parquet(f"{self.path}/bases").select("id")
+        base = (bases if upto is None else bases.filter(F.col("id") <= upto)).agg(F.max("id")).first()[0]
+        rows = self._changes().filter(F.col("version") > base)
+        rows = rows if upto is None else rows.filter(F.col("version") <= upto)
+        return rows if base is None or base < 0 else rows.unionByName(self.spark.read.parquet(f"{self.path}/base={base}"))
+
     def read(self) -> DataFrame:
         """The rows and the version that each is from."""
-        rows = self.spark.read.parquet(self.path)
+        rows = self._rows()
         return self._last(rows, rows.columns)
 
 
@@ -90,3 +111,131 @@ def incremental_index(raw: DataFrame, folder: str | None = None) -> tuple[DataFr
     now = pages.read()
     own = offers.read().join(now.select("book_id", "path", "doc_pos", "version"), ["book_id", "path", "doc_pos", "version"], "left_semi").drop("version")
     return now.drop("version"), extract.term_records(extract.cap_terms(own, exact=True))
+
+
+# --- keyed state --------------------------------------------------------------------
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _run_with_state(stream: DataFrame, each, root: str, mode: str) -> None:
+    """A stream whose operator keeps its own state: that needs Spark's RocksDB store, which the query takes over when it starts."""
+    spark, before = stream.sparkSession, stream.sparkSession.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    query.awaitTermination()
+
+
+class _Newest(StatefulProcessor):
+    """Rows of a session that are not older than the newest generation it has had; a quiet session's state goes."""
+
+    def __init__(self, generation: str, time: str | None, quiet_ms: int):
+        self.generation, self.time, self.quiet = generation, time, quiet_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "generation long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        last = None
+        for frame in rows:
+            if self.time:
+                now = frame[self.time].max()
+                last = now if last is None or now > last else last
+            top = frame[self.generation].max()
+            if pd.isna(top):
+                continue
+            newest = int(top) if newest is None else max(newest, int(top))
+            kept = frame[frame[self.generation] >= newest]
+            if len(kept):
+                yield kept
+        if newest is not None:
+            self.newest.update((newest,))
+        if last is not None and not pd.isna(last):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(last.timestamp() * 1000) + self.quiet)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.newest.clear()
+        return iter(())
+
+    def close(self):
+        pass
+
+
+def drop_stale(responses: DataFrame, session: str, generation: str, row: str, folder: str | None = None, time: str | None = None, quiet: str = "1 hour", quiet_ms: int = 3_600_000) -> DataFrame:
+    """The same as activity.drop_stale, from a stream of responses (each known by `row`): late answers go as they come.
+
+    The state is one number for each session. Given the column of their time, a session's state is let go `quiet_ms` after
+    its last response, as the watermark (`quiet` behind the latest) passes; answers behind the watermark go too. What a newer
+    generation has overtaken since is left out when the table is read. Rows without a session or generation go.
+    """
+    root = folder or work_folder(responses.sparkSession, "stream")
+    columns = ", ".join(f"`{x}` {kind}" for x, kind in responses.dtypes)
+    rows = responses.filter(F.col(session).isNotNull())
+    rows = rows if time is None else rows.withWatermark(time, quiet)
+    kept = rows.groupBy(session).transformWithStateInPandas(_Newest(generation, time, quiet_ms), columns, "Append", "None" if time is None else "EventTime")
+    table = Changes(kept, f"{root}/kept", [session, row], [generation])
+    _run_with_state(kept, table.put, root, "append")
+    return activity.drop_stale(table.read().drop("version"), session, generation)
+
+
+class _Stack(StatefulProcessor):
+    """A reader's entries by number, and where the reader is; a move touches one entry, whatever the length of the stack."""
+
+    def init(self, handle):
+        self.entries = handle.getMapState("entries", "n int", "path string, low string")
+        self.place = handle.getValueState("place", "at int, size int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        moves = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        at, size = self.place.get() if self.place.exists() else (-1, 0)
+        low = self.entries.getValue((at,))[1] if at >= 0 else None
+        changed = {}
+        for kind, path in zip(moves["kind"], moves["path"], strict=True):
+            if kind == "visit":
+                if path is None or path == path and at >= 0 and path.lower() == low or path != path:
+                    continue
+                at += 1
+                size, low = at + 1, path.lower()
+                changed[at] = (path, low)
+            else:
+                to = at + (1 if kind == "forward" else -1)
+                if 0 <= to < size:
+                    at = to
+                    low = changed[at][1] if at in changed else self.entries.getValue((at,))[1]
+        for n, value in changed.items():
+            self.entries.updateValue((n,), value)
+        self.place.update((at, size))
+        out = [(n + 1, value[0], None, None) for n, value in changed.items() if n < size] + [(0, None, at, size)]
+        frame = pd.DataFrame(out, columns=["n", "path", "at", "size"]).astype({"at": "Int32", "size": "Int32"})
+        frame.insert(0, "reader_id", pd.array([moves["reader_id"].iloc[0]] * len(frame), dtype=moves["reader_id"].dtype))
+        yield frame
+
+    def close(self):
+        pass
+
+
+def history_stack(moves: DataFrame, folder: str | None = None) -> DataFrame:
+    """The same as activity.history_stack, from a stream of visits and moves that come in order of time.
+
+    Rows of one micro-batch are put in order; a later micro-batch counts as later. A micro-batch
+    writes the entries that it changed and where each reader is.
+    """
+    root = folder or work_folder(moves.sparkSession, "stream")
+    kinds = dict(moves.dtypes)
+    rows = moves.filter("kind in ('visit', 'back', 'forward')").select(F.to_json(F.struct("reader_id")).alias("_key"), "reader_id", "seq", "ts", "kind", "path")
+    # by a text that is never null: rows of a null key need not come in one piece
+    changes = rows.groupBy("_key").transformWithStateInPandas(_Stack(), f"reader_id {kinds['reader_id']}, n int, path string, at int, size int", "Update", "None")
+    table = Changes(changes, f"{root}/stack", ["reader_id", "n"], [])
+    _run_with_state(changes, table.put, root, "update")
+    now = table.read().drop("version")
+    place = now.filter("n = 0").select(F.col("reader_id").alias("_r"), F.col("at").alias("_at"), F.col("size").alias("_size"))
+    both = now.filter("n > 0").drop("at", "size").join(place, F.col("reader_id").eqNullSafe(F.col("_r"))).filter("n <= _size")
+    return both.select("reader_id", "n", "path", (F.col("n") == F.col("_at") + 1).alias("current"))
