@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import extract, page_tree, tree
-from .registry import query
+from .registry import ACTS, ORACLE_SQL, query
 from .sources import books as b
+from .streaming import jobs
 
 L = F.lit
 
@@ -107,3 +108,26 @@ def parsed_contents_tree(s, d):
     above = F.coalesce(F.array_join(F.transform("_l", lambda x: x["_name"]), ">"), L(""))
     own = nodes.join(names.withColumnRenamed("_a", "parent_id"), ["book_id", "parent_id"], "left")
     return own.join(up, ["book_id", "node_id"], "left").select("book_id", "node_id", "name", F.col("_name").alias("parent"), "depth", above.alias("above"), "local")
+
+
+#: Moves of each reader one after another: the entries so far and the place among them.
+ORACLE_SQL["history_stack"] = f"""with recursive {ACTS}, m as (select reader_id, kind, path, row_number() over (partition by reader_id order by ts, seq) n from acts where kind in ('visit', 'back', 'forward')),
+r as (select distinct reader_id, 0::bigint n, []::varchar[] st, 0 cur from m
+union all select r.reader_id, m.n, case when kind = 'visit' and path is not null and (cur = 0 or lower(st[cur]) <> lower(path)) then list_append(st[1:cur], path) else st end,
+case when kind = 'visit' and path is not null and (cur = 0 or lower(st[cur]) <> lower(path)) then cur + 1 when kind = 'forward' and cur < len(st) then cur + 1 when kind = 'back' and cur > 1 then cur - 1 else cur end
+from r join m on m.reader_id = r.reader_id and m.n = r.n + 1),
+e as (select reader_id, arg_max(st, n) st, arg_max(cur, n) cur from r group by reader_id)
+select reader_id, i::int as n, st[i] as path, i = cur as current from (select *, unnest(range(1, len(st) + 1)) i from e)"""
+
+
+@query(ORACLE_SQL["history_stack"])
+def stream_history_stack(s, d):
+    """Reading history from a stream of events, the stack as keyed state."""
+    return jobs.history_stack(b.activity_of(jobs.table_stream(s, d, "events")))
+
+
+@query(ORACLE_SQL["drop_stale"])
+def stream_drop_stale(s, d):
+    """Answers of each user's newest generation, from a stream of events."""
+    rows = jobs.table_stream(s, d, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 100).alias("generation"))
+    return jobs.drop_stale(rows, "user_id", "generation", "event_id").select("user_id", "event_id")

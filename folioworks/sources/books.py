@@ -144,7 +144,11 @@ def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reader_id, seq, ts (ms), kind (visit, toggle, back, forward), path, title of the table events."""
-    e = table(spark, sf_dir, "events")
+    return activity_of(table(spark, sf_dir, "events"))
+
+
+def activity_of(e: DataFrame) -> DataFrame:
+    """The same of rows of events, a table's or a stream's."""
     kind = F.when(F.col("event_type") == "view", "visit").when(F.col("event_type") == "click", "toggle").when(F.col("event_type") == "purchase", "back").when(F.col("event_type") == "signup", "forward")
     path = F.concat(F.lit("/k/"), F.get_json_object("props", "$.k"), F.lit(".html"))
     return e.select(F.col("user_id").alias("reader_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), kind.alias("kind"), path.alias("path"), F.lit(None).cast("string").alias("title"))
