@@ -91,11 +91,16 @@ def lcid_charset(lcid, table: dict = tables.LOCALES) -> Column:
 # --- encodings ----------------------------------------------------------------------
 
 
+def charset_label(content) -> Column:
+    """The charset that the first 8,192 bytes name, '' for none."""
+    head = F.decode(F.substring(_c(content), 1, 8192), "ISO-8859-1")
+    return F.regexp_extract(head, r"(?i)charset\s*=\s*[\"']?\s*([\w.:-]+)", 1)
+
+
 def detect_encoding(content, lcid=None) -> Column:
     b = _c(content)
     lcid = F.lit(0) if lcid is None else _c(lcid)
-    head = F.decode(F.substring(b, 1, 8192), "ISO-8859-1")
-    named = charset_alias(F.regexp_extract(head, r"(?i)charset\s*=\s*[\"']?\s*([\w.:-]+)", 1))
+    named = charset_alias(charset_label(b))
     bom = F.hex(F.substring(b, 1, 3)) == "EFBBBF"
     utf8 = F.is_valid_utf8(F.substring(b, 1, 65536)) & (F.octet_length(b) > F.length(F.decode(b, "UTF-8")))
     return F.when(bom, "utf-8").otherwise(F.coalesce(named, F.when(utf8, F.lit("utf-8")), lcid_charset(lcid), F.lit("windows-1252")))

@@ -47,6 +47,29 @@ def quarantine(raw: DataFrame) -> DataFrame:
     return raw.filter("html is null").select("book_id", "path", F.lit("no text").alias("reason"))
 
 
+#: Pages of more bytes are not indexed.
+LARGEST = 16 << 20
+
+
+def checked_pages(raw: DataFrame, size: int = LARGEST) -> tuple[DataFrame, DataFrame]:
+    """(pages, failed) of raw pages (book_id, path, doc_pos, content[, length, lcid]), decoded and split in one stored pass.
+
+    pages has book_id, path, doc_pos, encoding, title, text, body. failed has book_id, path, doc_pos, indexed and
+    reason: `no content` and `too long` are not indexed; `unknown label` (a charset that no table has; another
+    encoding was taken) and `replacement characters` (bytes that are none in the encoding) are, and are in both.
+    """
+    length = F.coalesce("length", F.octet_length("content")) if "length" in raw.columns else F.octet_length("content")
+    label = t.charset_label("content")
+    lost = F.when(F.col("content").isNull(), "no content").when(length > size, "too long")
+    kept = ["book_id", "path", "doc_pos", *[x for x in ("lcid",) if x in raw.columns]]
+    # what is not indexed is not decoded either
+    some = raw.select(*kept, lost.alias("_lost"), F.when(lost.isNull(), F.col("content")).alias("content")).withColumn("_unknown", (label != "") & t.charset_alias(label).isNull())
+    html = decoded(some)
+    reason = F.coalesce("_lost", F.when(F.col("_unknown"), "unknown label"), F.when(F.col("html").contains("\ufffd"), "replacement characters"))
+    whole = stored(html.select("book_id", "path", "doc_pos", "encoding", t.page_title("html", "path").alias("title"), t.page_text("html").alias("text"), t.page_body("html").alias("body"), F.col("_lost").isNull().alias("indexed"), reason.alias("reason")))
+    return whole.filter("indexed").drop("indexed", "reason"), whole.filter("reason is not null").select("book_id", "path", "doc_pos", "indexed", "reason")
+
+
 def _anchor(attrs: Column, inner: Column) -> Column:
     first = F.regexp_extract(inner, r"(?i)<a\b([^>]*)>", 1)
     return t._first(t.attr_value(attrs, "id"), t.attr_value(attrs, "name"), t.attr_value(first, "id"), t.attr_value(first, "name"))

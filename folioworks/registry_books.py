@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators import extract, page_tree, tree
 from .registry import ACTS, ORACLE_SQL, query
@@ -131,3 +133,28 @@ def stream_drop_stale(s, d):
     """Answers of each user's newest generation, from a stream of events."""
     rows = jobs.table_stream(s, d, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 100).alias("generation"))
     return jobs.drop_stale(rows, "user_id", "generation", "event_id").select("user_id", "event_id")
+
+
+@F.pandas_udf(T.BinaryType())
+def _encoded(text: pd.Series, codec: pd.Series) -> pd.Series:
+    return pd.Series([x.encode(c).replace(b"\x01", b"\xff") for x, c in zip(text, codec, strict=True)])
+
+
+#: Pages by the last digit of their number: codec, the label that they state, a text of that script.
+FOREIGN = [("gbk", "gb2312", "规则 "), ("shift_jis", "Shift_JIS", "ルール "), ("big5", "big5", "規則 "), ("utf-8", "", "règle "), ("gbk", "gbk", "broken \x01 "), ("ascii", "x-none", "plain "), ("euc-kr", "cp949", "규칙 "), ("cp1251", "windows-1251", "Правило ")]
+
+
+@query(
+    f"""with f(i, label, enc, txt, reason) as (values {", ".join(f"({i}, '{n}', '{e}', '{x}', {r})" for i, (n, e, x, r) in enumerate([("gb2312", "gbk", "规则 ", "null"), ("Shift_JIS", "shift_jis", "ルール ", "null"), ("big5", "big5", "規則 ", "null"), ("", "utf-8", "règle ", "null"), ("gbk", "gbk", "broken � ", "'replacement characters'"), ("x-none", "windows-1252", "plain ", "'unknown label'"), ("cp949", "euc-kr", "규칙 ", "null"), ("windows-1251", "windows-1251", "Правило ", "null"), ("", "", "", "'no content'"), ("", "", "", "'too long'")]))})
+select p_partkey as doc_pos, case when i < 8 then enc end as encoding, case when i < 8 then txt || p_name end as title, case when i < 8 then txt || p_type || chr(10) || txt || p_brand end as text, i < 8 as indexed, reason from part join f on p_partkey % 10 = i"""
+)
+def checked_pages(s, d):
+    """Pages in eight encodings, some with bytes that are none or labels that nobody knows, some without content or too long: what is indexed, and what is reported."""
+    p, i = _part(s, d), F.col("p_partkey") % 10
+    pick = lambda k: F.get(F.array(*[L(x[k]) for x in FOREIGN]), i.cast("int"))
+    label = F.when(pick(1) != "", F.concat(L("<meta charset='"), pick(1), L("'>"))).otherwise("")
+    html = F.concat(label, L("<title>"), pick(2), "p_name", L("</title><body><p>"), pick(2), "p_type", L("</p>"), pick(2), "p_brand", L("</body>"))
+    content = F.when(i < 8, _encoded(F.when(i < 8, html).otherwise(""), F.when(i < 8, pick(0)).otherwise("ascii"))).when(i == 9, F.encode("p_name", "UTF-8"))
+    raw = p.select(F.col("p_brand").alias("book_id"), F.concat(L("/"), "k", L(".htm")).alias("path"), F.col("p_partkey").alias("doc_pos"), content.alias("content"), F.when(i == 9, extract.LARGEST + 1).cast("long").alias("length"))
+    pages, failed = extract.checked_pages(raw)
+    return pages.select("doc_pos", "encoding", "title", "text", L(True).alias("_in")).join(failed, "doc_pos", "full").select("doc_pos", "encoding", "title", "text", F.coalesce("_in", "indexed").alias("indexed"), "reason")
