@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import extract, page_tree, tree
-from .registry import ACTS, ORACLE_SQL, query
+from .operators import activity, extract, page_tree, tree
+from .registry import ACTS, ORACLE_SQL, QUERIES, query
 from .sources import books as b
 from .streaming import jobs
 
@@ -158,3 +158,21 @@ def checked_pages(s, d):
     raw = p.select(F.col("p_brand").alias("book_id"), F.concat(L("/"), "k", L(".htm")).alias("path"), F.col("p_partkey").alias("doc_pos"), content.alias("content"), F.when(i == 9, extract.LARGEST + 1).cast("long").alias("length"))
     pages, failed = extract.checked_pages(raw)
     return pages.select("doc_pos", "encoding", "title", "text", L(True).alias("_in")).join(failed, "doc_pos", "full").select("doc_pos", "encoding", "title", "text", F.coalesce("_in", "indexed").alias("indexed"), "reason")
+
+
+@query(
+    """with recursive t as (select l_suppkey s, '/part/' || l_partkey p, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) i from lineitem),
+r as (select distinct s, 0::bigint i, []::varchar[] l from t union all select r.s, t.i, case when list_contains(r.l, t.p) then list_filter(r.l, lambda x: x <> t.p) else list_prepend(t.p, r.l)[1:120] end from r join t on t.s = r.s and t.i = r.i + 1),
+e as (select s, arg_max(l, i) l from r group by s)
+select s as reader_id, n::int as n, l[n] as path from (select *, unnest(range(1, len(l) + 1)) n from e)"""
+)
+def bookmarks_over_cap(s, d):
+    """Bookmarks of readers who marked far more pages than a list holds: what a full list drops can be added again."""
+    rows = b.table(s, d, "lineitem").select(F.col("l_suppkey").alias("reader_id"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_orderkey").cast("long").alias("ts"), F.concat(L("/part/"), F.col("l_partkey").cast("string")).alias("path"))
+    return activity.bookmarks(rows).select("reader_id", "n", "path")
+
+
+#: Forms cut to small limits or subsets, and one that finds nothing: each has a whole form registered beside it (indexable_all,
+#: keyword_listing_all, running_cap_all, search_scopes_all, quick_search_in_node, upsert_all, score_terms_found).
+for _name in ("indexable", "keyword_listing", "running_cap", "search_scopes", "quick_search_in_scope", "upsert", "score_terms"):
+    QUERIES.pop(_name), ORACLE_SQL.pop(_name)
