@@ -161,14 +161,14 @@ def checked_pages(s, d):
 
 
 @query(
-    """with recursive t as (select l_suppkey s, '/part/' || l_partkey p, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) i from lineitem),
+    """with recursive t as (select l_suppkey s, '/part/' || l_partkey p, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) i from lineitem),
 r as (select distinct s, 0::bigint i, []::varchar[] l from t union all select r.s, t.i, case when list_contains(r.l, t.p) then list_filter(r.l, lambda x: x <> t.p) else list_prepend(t.p, r.l)[1:120] end from r join t on t.s = r.s and t.i = r.i + 1),
 e as (select s, arg_max(l, i) l from r group by s)
 select s as reader_id, n::int as n, l[n] as path from (select *, unnest(range(1, len(l) + 1)) n from e)"""
 )
 def bookmarks_over_cap(s, d):
     """Bookmarks of readers who marked far more pages than a list holds: what a full list drops can be added again."""
-    rows = b.table(s, d, "lineitem").select(F.col("l_suppkey").alias("reader_id"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_orderkey").cast("long").alias("ts"), F.concat(L("/part/"), F.col("l_partkey").cast("string")).alias("path"))
+    rows = b.table(s, d, "lineitem").select(F.col("l_suppkey").alias("reader_id"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("seq"), F.col("l_orderkey").cast("long").alias("ts"), F.concat(L("/part/"), F.col("l_partkey").cast("string")).alias("path"))
     return activity.bookmarks(rows).select("reader_id", "n", "path")
 
 
