@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import extract, search, tree
 from ..sources import books as b
+from ..sources.page_store import PageStore
+from ..sources.storage import stored
 
 
 def build_index(raw: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -16,6 +18,23 @@ def build_index(raw: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFra
     return pages.drop("body"), extract.extract_terms(pages.select("book_id", "path", "doc_pos", "title", "body"), exact=exact)
 
 
+def reindex(raw: DataFrame, shelf: DataFrame, store: PageStore) -> DataFrame:
+    """Rebuilds the pages of books that need an index, and gives the shelf with its states after that.
+
+    raw has pages (book_id, path, doc_pos, html). A book is ready when all its pages that can be indexed are in
+    the store, else its state is error; index_done and index_total say how many. Ready books are not touched.
+    """
+    todo = stored(search.needs_index(shelf).select(F.col("id").alias("book_id")))
+    own = extract.indexable(raw.join(todo, "book_id", "left_semi").withColumn("length", F.octet_length("html").cast("long"))).drop("length")
+    store.rebuild(extract.extract_pages(own).drop("body"), todo)
+    total = own.groupBy("book_id").agg(F.count("*").alias("_total"))
+    done = store.read().join(todo, "book_id", "left_semi").groupBy("book_id").agg(F.count("*").alias("_done"))
+    counts = todo.join(total, "book_id", "left").join(done, "book_id", "left").select(F.col("book_id").alias("id"), F.coalesce("_total", F.lit(0)).alias("_total"), F.coalesce("_done", F.lit(0)).alias("_done"))
+    both = shelf.drop("index_done", "index_total").join(counts, "id", "left")
+    state = F.when(F.col("_total").isNull(), F.col("index_state")).when(F.col("_done") == F.col("_total"), "ready").otherwise("error")
+    return both.withColumn("index_state", state).withColumnsRenamed({"_done": "index_done", "_total": "index_total"})
+
+
 def shelf_order(shelf: DataFrame) -> DataFrame:
     """Books with their place on the shelf."""
     return shelf.withColumn("shelf_pos", F.row_number().over(Window.orderBy(b.shelf_time().desc(), "id")))

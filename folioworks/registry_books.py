@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import activity, extract, page_tree, tree
-from .registry import ACTS, ORACLE_SQL, QUERIES, query
+from .plans import library
+from .registry import ACTS, ORACLE_SQL, PAGES, QUERIES, RAW, query
 from .sources import books as b
+from .sources.page_store import PageStore
+from .sources.storage import work_folder
 from .streaming import jobs
 
 L = F.lit
@@ -172,6 +175,29 @@ def bookmarks_over_cap(s, d):
     return activity.bookmarks(rows).select("reader_id", "n", "path")
 
 
+def _reindexed(s: SparkSession, d: str) -> tuple[DataFrame, PageStore]:
+    """The shelf after a job over all hosts, a third of them ready before, and the store."""
+    raw = b.raw_pages(s, d)
+    store = PageStore(s, work_folder(s, "pages"))
+    old = raw.select("book_id", "path", "doc_pos", L("old").alias("title"), L("before").alias("text"))
+    store.rebuild(old)
+    state = F.get(F.array(L("ready"), L("building"), L("error")), F.length("book_id") % 3)
+    shelf = raw.select("book_id").distinct().select(F.col("book_id").alias("id"), state.alias("index_state"))
+    return library.reindex(raw, shelf, store), store
+
+
+@query(f"with {PAGES} select book_id, path, doc_pos, case when length(book_id) % 3 = 0 then 'old' else coalesce(nullif(title, ''), path) end as title, case when length(book_id) % 3 = 0 then 6 else length(text) end::int as n_chars from pg")
+def reindexed_pages(s, d):
+    """Pages in the store after books that needed it were rebuilt as wholes; ready books keep what they had."""
+    return _reindexed(s, d)[1].read().select("book_id", "path", "doc_pos", "title", F.length("text").alias("n_chars"))
+
+
+@query(f"with {RAW} select book_id as id, 'ready' as index_state, case when length(book_id) % 3 > 0 then count(*) end as index_done, case when length(book_id) % 3 > 0 then count(*) end as index_total from raw group by book_id")
+def reindexed_shelf(s, d):
+    """States and counts of the shelf after the job."""
+    return _reindexed(s, d)[0].select("id", "index_state", "index_done", "index_total")
+
+
 #: Forms cut to small limits or subsets, and one that finds nothing: each has a whole form registered beside it (indexable_all,
 #: keyword_listing_all, running_cap_all, search_scopes_all, quick_search_in_node, upsert_all, score_terms_found).
 for _name in ("indexable", "keyword_listing", "running_cap", "search_scopes", "quick_search_in_scope", "upsert", "score_terms"):
