@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import activity, extract, page_tree, tree
+from .functions import text as t
+from .operators import activity, extract, page_tree, search, tree
 from .plans import library
 from .registry import ACTS, ORACLE_SQL, PAGES, QUERIES, RAW, query
 from .sources import books as b
@@ -198,6 +199,37 @@ def reindexed_shelf(s, d):
     return _reindexed(s, d)[0].select("id", "index_state", "index_done", "index_total")
 
 
+#: Labels whose rules add keys, with their initials and the keys.
+ALIASED = [("借机攻击", "jjgj", "opportunityattack,opportunity,oa"), ("倒地", "dd", "prone"), ("受擒", "sq", "grapple,grappled"), ("震慑", "zs", "stunned,stun"), ("昏迷", "hm", "unconscious"), ("失能", "sn", "incapacitated"), ("束缚", "sf", "restrained"), ("隐形", "yx", "invisible"), ("魅惑", "mh", "charmed"), ("恐慌", "kh", "frightened"), ("中毒", "zd", "poisoned"), ("无名", "wm", "")]
+
+
+@query(
+    f"""with f(i, label, first, more) as (values {", ".join(f"({i}, '{x}', '{y}', '{z}')" for i, (x, y, z) in enumerate(ALIASED))}), p as (select p_partkey, lower(replace(p_name, ' ', '')) n from part)
+select p_partkey, concat_ws(',', label || n, first || n, n, nullif(more, '')) as keys from p join f on p_partkey % {len(ALIASED)} = i"""
+)
+def alias_keys(s, d):
+    """All search keys of labels with an alias: the label, its initials, its English words, and what the rule adds."""
+    label = F.concat(F.get(F.array(*[L(x[0]) for x in ALIASED]), (F.col("p_partkey") % len(ALIASED)).cast("int")), L(" "), "p_name")
+    return _part(s, d).select("p_partkey", F.array_join(t.make_search_keys(label), ",").alias("keys"))
+
+
+@query("""select p_partkey, case p_partkey % 3 when 2 then '' else '<svg><title>' || p_name || '</title><g><a href="#p' || p_partkey || '">' || p_type || '</a><image /></g></svg>' end as svg from part""")
+def cleaned_svg(s, d):
+    """Drawings without scripts, handlers and outer references; what cannot be parsed is empty."""
+    body = F.concat(L("<svg onload='x()'><title>"), "p_name", L("</title><script>bad</script><g><a href='#p"), "k", L("' onclick='y'>"), "p_type", L("</a><image href='http://h/"), "k", L(".png'/><foreignObject><p>z</p></foreignObject></g></svg>"))
+    return _part(s, d).select("p_partkey", extract.sanitize_svg(F.when(F.col("p_partkey") % 3 == 2, F.concat(L("<svg>"), "p_name")).otherwise(body)).alias("svg"))
+
+
+@query(
+    """with x as (select doc_id, string_split(lower(text), 'er') w, doc_id % 7 n from documents), y as (select doc_id, w, least(n, len(w) - 2) k from x where len(w) > 1)
+select doc_id, (list_sum(list_transform(w[1 : k + 1], lambda p: length(p))) + 2 * k)::int as span_start, (list_sum(list_transform(w[1 : k + 1], lambda p: length(p))) + 2 * k + 2)::int as span_end from y"""
+)
+def nth_spans(s, d):
+    """Where the first to seventh hit of a word part lies in each document, the last one where there are fewer."""
+    x = search.nth_occurrence_span("text", "ER", (F.col("doc_id") % 7).cast("int"))
+    return b.table(s, d, "documents").select("doc_id", x.alias("x")).filter("x is not null").select("doc_id", F.col("x.start").alias("span_start"), F.col("x.end").alias("span_end"))
+
+
 #: Forms cut to small limits or subsets, and one that finds nothing: each has a whole form registered beside it (indexable_all,
 #: keyword_listing_all, running_cap_all, search_scopes_all, quick_search_in_node, upsert_all, score_terms_found).
 for _name in ("indexable", "keyword_listing", "running_cap", "search_scopes", "quick_search_in_scope", "upsert", "score_terms"):
