@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .functions import text as t
 from .operators import activity, extract, page_tree, search, tree
 from .plans import library
-from .registry import ACTS, ORACLE_SQL, PAGES, QUERIES, RAW, query
+from .registry import ACTS, COUNT, ORACLE_SQL, PAGES, QUERIES, RAW, TEXTS, query
 from .sources import books as b
 from .sources.page_store import PageStore
 from .sources.storage import work_folder
@@ -230,7 +230,23 @@ def nth_spans(s, d):
     return b.table(s, d, "documents").select("doc_id", x.alias("x")).filter("x is not null").select("doc_id", F.col("x.start").alias("span_start"), F.col("x.end").alias("span_end"))
 
 
+@query(
+    f"""with {TEXTS}, h as (select doc_pos, path, title, least(60, {COUNT.format("lower(text)", "'tion'")}) n from texts where contains(lower(text), 'tion') order by doc_pos limit 100),
+m as (select doc_pos, path, title, unnest(range(n)) o from h), f as (select * from m order by doc_pos, path, o limit 180),
+i as (select path, title, length(title) % 50 score from texts where contains(lower(title), 'an') and lower(path) not in (select lower(path) from h) order by score desc, title, path limit 60)
+select 'instant' as section, path, title, null::int as occurrence_index from i union all select 'full', path, title, o::int from f"""
+)
+def merged_rows(s, d):
+    """Quick hits on first lines, some of them twice, without pages that texts hit, then the texts' matches: all rows."""
+    pages = b.text_pages(s, d)
+    one = pages.filter(F.lower("title").contains("an")).select("path", "title", (F.length("title") % 50).alias("score"), L(None).cast("string").alias("anchor"))
+    local = one.unionByName(one.withColumns({"path": F.upper("path"), "score": F.col("score") - 100}))
+    found = pages.filter(F.lower("text").contains("tion")).orderBy("doc_pos").limit(100).withColumn("found", search.match_positions(F.lower("text"), "tion"))
+    full = found.select("doc_pos", "path", "title", search.snippets_live("text", "found", "tion").alias("matches"))
+    return search.merged_results(local, full).select("section", "path", "title", "occurrence_index")
+
+
 #: Forms cut to small limits or subsets, and one that finds nothing: each has a whole form registered beside it (indexable_all,
-#: keyword_listing_all, running_cap_all, search_scopes_all, quick_search_in_node, upsert_all, score_terms_found).
-for _name in ("indexable", "keyword_listing", "running_cap", "search_scopes", "quick_search_in_scope", "upsert", "score_terms"):
+#: keyword_listing_all, running_cap_all, search_scopes_all, quick_search_in_node, upsert_all, score_terms_found, merged_rows).
+for _name in ("indexable", "keyword_listing", "running_cap", "search_scopes", "quick_search_in_scope", "upsert", "score_terms", "merged_results"):
     QUERIES.pop(_name), ORACLE_SQL.pop(_name)
