@@ -109,11 +109,11 @@ def fallback_spine(spine: DataFrame, docs: DataFrame) -> DataFrame:
 LANDING = ["/index.html", "/index.htm", "/default.html", "/default.htm", "/welcome.html", "/welcome.htm"]
 
 
-def landing_page(docs: DataFrame, spine: DataFrame | None = None, defaults: DataFrame | None = None) -> DataFrame:
-    """book_id, path: the named default, else the first page of the contents, else a usual name, else the first page."""
+def landing_page(docs: DataFrame, spine: DataFrame | None = None, defaults: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """book_id, path: the named default, else the first page of the contents, else a usual name, else the first page (of `pages`, if given)."""
     entries = docs.select("book_id", F.lower("path").alias("_k"), "path", "doc_pos")
     usual = F.array_position(F.array(*map(F.lit, LANDING)), F.col("_k"))
-    found = [entries.filter(usual > 0).select("book_id", "path", F.lit(2).alias("prio"), usual.cast("long").alias("place")), entries.select("book_id", "path", F.lit(3).alias("prio"), F.col("doc_pos").cast("long").alias("place"))]
+    found = [entries.filter(usual > 0).select("book_id", "path", F.lit(2).alias("prio"), usual.cast("long").alias("place")), (entries if pages is None else pages).select("book_id", "path", F.lit(3).alias("prio"), F.col("doc_pos").cast("long").alias("place"))]
     if spine is not None:
         found.append(spine.select("book_id", F.lower("local").alias("_k"), F.col("local").alias("path"), F.lit(1).alias("prio"), F.col("pos").cast("long").alias("place")).join(entries.select("book_id", "_k"), ["book_id", "_k"], "left_semi").drop("_k"))
     if defaults is not None:

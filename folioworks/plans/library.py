@@ -53,10 +53,14 @@ def search_book(raw: DataFrame, spine: DataFrame, index: DataFrame, terms: DataF
     return search.merged_results(search.quick_search_book(spine, index, terms, q, scope), search.full_text_search(raw, q, 100, scope))
 
 
-def book_summary(raw: DataFrame, spine: DataFrame) -> DataFrame:
-    """book_id, entry_count, docs, size, spine_length, landing."""
+def book_summary(raw: DataFrame, spine: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """book_id, entry_count, docs, size, spine_length, landing. defaults (book_id, path): pages that books name as their first.
+
+    A book without contents reads its content pages in order; a book that has neither has no spine.
+    """
     size = F.octet_length("html")
     docs = raw.groupBy("book_id").agg(F.count("*").alias("entry_count"), F.sum(t.is_content_page("path", size).cast("int")).alias("docs"), F.sum(size.cast("long")).alias("size"))
-    full = tree.fallback_spine(spine, raw)
+    content = raw.filter(t.is_content_page("path", size))
+    full = tree.fallback_spine(spine, content)
     length = full.groupBy("book_id").agg(F.count("*").alias("spine_length"))
-    return docs.join(length, "book_id", "left").join(tree.landing_page(raw, full).withColumnRenamed("path", "landing"), "book_id", "left").withColumn("spine_length", F.coalesce("spine_length", F.lit(0)))
+    return docs.join(length, "book_id", "left").join(tree.landing_page(raw, full, defaults, content).withColumnRenamed("path", "landing"), "book_id", "left").withColumn("spine_length", F.coalesce("spine_length", F.lit(0)))
