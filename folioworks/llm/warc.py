@@ -13,10 +13,18 @@ Defined results: a null payload is empty; a null id is kept as null and never re
 a null address has no header; control characters in addresses are percent-encoded; rows
 that share the smallest id of a payload are all responses. A record that breaks a rule of
 the format stops the reading with an error naming the archive and place.
+
+Archives that others wrote are read as well: frames without a content size, skippable
+frames between records, record types beside response and revisit (left out, or listed on
+request), responses that are not HTTP, digests by other algorithms (checked where they are
+MD5 or SHA), HTTP bodies with a transfer encoding or cut off on purpose (their length and
+digest are not those of the response's own headers, so they are not held against them).
+Their record ids are no page ids: page_id is null, record_id is as written.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -31,7 +39,8 @@ from pyspark.sql import types as T
 
 from . import _common as c
 
-SKIPPABLE_DICTIONARY = 0x184D2A5D
+#: The first numbers of frames to skip, that of a dictionary among them, and of a frame with data.
+SKIPPABLE, SKIPPABLE_DICTIONARY, FRAME = range(0x184D2A50, 0x184D2A60), 0x184D2A5D, 0xFD2FB528
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this size are never revisits.
 LEAST_REVISIT = 100
@@ -48,8 +57,10 @@ def record_id(page: int | None) -> str:
 
 
 def page_of(record: str) -> int | None:
-    n = uuid.UUID(record.strip("<>")[len("urn:uuid:") :]).int
-    return None if n == _NO_ID else n - (1 << 64) if n >= 1 << 63 else n
+    """The page id of a record id made by `record_id`; null for the null page's and for ids that others made."""
+    own = re.fullmatch(r"<urn:uuid:(00000000-0000-0000-[0-9a-f]{4}-[0-9a-f]{12})>", record)
+    n = uuid.UUID(own[1]).int if own else None
+    return n if n is None or n < 1 << 63 else n - (1 << 64)
 
 
 def build_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -100,23 +111,42 @@ def frame_end(raw: memoryview, at: int) -> int:
             return place + 4 * zstandard.get_frame_parameters(head).has_checksum
 
 
+def _frame(press: zstandard.ZstdDecompressor, raw: memoryview) -> bytes:
+    """What a frame holds, whether or not it says how much that is."""
+    stream = press.decompressobj()
+    out = stream.decompress(raw)
+    if not stream.eof:
+        raise ValueError("a frame is cut off")
+    return out
+
+
 def unpack(content: bytes):
-    """The records of an archive, one for each frame."""
-    raw, at, dictionary = memoryview(content), 0, None
-    if len(raw) >= 8 and (start := struct.unpack("<II", raw[:8]))[0] == SKIPPABLE_DICTIONARY:
-        at = 8 + start[1]
-        if at > len(raw):
-            raise ValueError("the dictionary is cut off")
-        own = bytes(raw[8:at])
-        if own[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary may be a frame itself
-            own = zstandard.ZstdDecompressor().decompress(own)
-        dictionary = zstandard.ZstdCompressionDict(own)
-    press = zstandard.ZstdDecompressor(dict_data=dictionary)
+    """The records of an archive, one for each frame; errors say at which byte the frame starts."""
+    raw, at = memoryview(content), 0
+    press = zstandard.ZstdDecompressor()
     while at < len(raw):
-        end = frame_end(raw, at)
-        if end > len(raw):
-            raise ValueError("a frame is cut off")
-        yield press.decompress(raw[at:end])
+        try:
+            if len(raw) - at < 8:
+                raise ValueError("a frame is cut off")
+            kind, size = struct.unpack("<II", raw[at : at + 8])
+            if kind in SKIPPABLE:
+                end = at + 8 + size
+                if end > len(raw):
+                    raise ValueError("a skippable frame is cut off")
+                if kind == SKIPPABLE_DICTIONARY and at == 0:
+                    own = bytes(raw[8:end])
+                    if own[:4] == FRAME.to_bytes(4, "little"):  # the dictionary may be a frame itself
+                        own = _frame(press, memoryview(own))
+                    press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own))
+                at = end
+                continue
+            end = frame_end(raw, at)
+            if end > len(raw):
+                raise ValueError("a frame is cut off")
+            record = _frame(press, raw[at:end])
+        except (ValueError, zstandard.ZstdError) as e:
+            raise ValueError(f"byte {at}: {e}") from e
+        yield record
         at = end
 
 
@@ -130,8 +160,31 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
+def _http_headers(raw: bytes) -> dict[str, str]:
+    """Headers of a response as servers write them: any bytes, lines that go on, the first of a name counts."""
+    out: dict[str, str] = {}
+    for line in re.sub(r"\r?\n[ \t]+", " ", raw.decode("latin-1")).splitlines():
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def digest_fits(label: str, payload: bytes) -> bool:
+    """Whether algorithm:value is the payload's digest, in hexadecimal or base 32; unknown algorithms fit."""
+    algorithm, _, value = label.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return True
+    own = hashlib.new(algorithm, payload)
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
 def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """Headers of the record and of its response, and the payload, after checks of form, lengths and digest."""
+    """Headers of the record and of its response, and the payload, after checks of form, lengths and digest.
+
+    The payload of a record that is not HTTP is its whole block.
+    """
     head, gap, rest = record.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
     if not gap or version not in (b"WARC/1.0", b"WARC/1.1"):
@@ -140,21 +193,26 @@ def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in h:
             raise ValueError(f"no {name}")
+    if not h["content-length"].isdecimal():
+        raise ValueError("Content-Length is no number")
     size = int(h["content-length"])
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not fit the record")
-    status, gap, payload = rest[:size].partition(b"\r\n\r\n")
+    block, kind = rest[:size], h["warc-type"]
+    if kind == "revisit" and "warc-profile" not in h:
+        raise ValueError("a revisit without a profile")
+    if kind not in ("response", "revisit") or not h.get("content-type", "").lower().startswith("application/http") or kind == "revisit" and not block:
+        return h, {}, block
+    status, gap, payload = block.partition(b"\r\n\r\n")
     first, _, lines = status.partition(b"\r\n")
-    if not gap or not first.startswith(b"HTTP/"):
+    if not first.startswith(b"HTTP/") or not gap and kind == "response":
         raise ValueError("no HTTP response")
-    inner = _headers(lines)
-    if h["warc-type"] == "response":
-        if int(inner["content-length"]) != len(payload):
+    inner = _http_headers(lines)
+    if kind == "response" and "warc-truncated" not in h and "transfer-encoding" not in inner:
+        if inner.get("content-length", str(len(payload))) != str(len(payload)):
             raise ValueError("the payload has another length than its response says")
-        if h["warc-payload-digest"] != f"sha256:{hashlib.sha256(payload).hexdigest()}":
+        if "warc-payload-digest" in h and not digest_fits(h["warc-payload-digest"], payload):
             raise ValueError("the payload has another digest than its record says")
-    elif h["warc-type"] != "revisit" or payload or "warc-refers-to" not in h:
-        raise ValueError(f"a record of type {h['warc-type']} is not expected here")
     return h, inner, payload
 
 
@@ -192,11 +250,25 @@ def write_archives(marked: DataFrame, date: str = "2024-01-01T00:00:00Z", archiv
     return marked.select("_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
-def read_archives(archives: DataFrame, content: str = "content", name: str = "archive", payloads: bool = True) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload; null for revisits)."""
-    fields = [("page_id", T.LongType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType())]
+def _row(h: dict[str, str], inner: dict[str, str], payload: bytes) -> tuple:
+    """A record's columns. A revisit's length and digest are those of the full payload, null where its headers don't say."""
+    revisit, label = h["warc-type"] == "revisit", h.get("warc-payload-digest", "").lower()
+    own = label.removeprefix("sha256:") if re.fullmatch("sha256:[0-9a-f]{64}", label) else None
+    whole = inner.get("content-length", "")
+    size = len(payload) if not revisit else int(whole) if whole.isdecimal() else None
+    checked = own and "warc-truncated" not in h and "transfer-encoding" not in inner and inner
+    digest = own if revisit or checked else hashlib.sha256(payload).hexdigest()
+    return page_of(h["warc-record-id"]), h.get("warc-target-uri"), size, digest, h["warc-type"], page_of(h.get("warc-refers-to", "")) if revisit else None, h["warc-record-id"]
+
+
+def read_archives(archives: DataFrame, content: str = "content", name: str = "archive", payloads: bool = True, types: tuple[str, ...] | None = ("response", "revisit")) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id (and payload; null for revisits).
+
+    Records of other types than these are checked and left out; None lists all.
+    """
+    fields = [("page_id", T.LongType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("record_id", T.StringType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields + [("payload", T.BinaryType())] * payloads])
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches):
         def out(rows):
@@ -204,19 +276,19 @@ def read_archives(archives: DataFrame, content: str = "content", name: str = "ar
 
         for batch in batches:
             for where, raw in zip(batch.column(0), batch.column(1), strict=True):
-                rows, size = [], 0
-                for k, record in enumerate(unpack(raw.as_py() or b"")):
-                    try:
+                rows, size, k = [], 0, 0
+                try:
+                    for k, record in enumerate(unpack(raw.as_py() or b"")):
                         h, inner, payload = parse_record(record)
-                    except ValueError as e:
-                        raise ValueError(f"{where.as_py()}, record {k}: {e}") from e
-                    revisit = h["warc-type"] == "revisit"
-                    row = (page_of(h["warc-record-id"]), h.get("warc-target-uri"), int(inner["content-length"]), h["warc-payload-digest"].removeprefix("sha256:"), h["warc-type"], page_of(h["warc-refers-to"]) if revisit else None)
-                    rows.append(row + ((None if revisit else payload,) if payloads else ()))
-                    size += len(payload) if payloads else 100
-                    if size > 4 << 20:
-                        yield out(rows)
-                        rows, size = [], 0
+                        if types is not None and h["warc-type"] not in types:
+                            continue
+                        rows.append(_row(h, inner, payload) + ((None if h["warc-type"] == "revisit" else payload,) if payloads else ()))
+                        size += len(payload) if payloads else 100
+                        if size > 4 << 20:
+                            yield out(rows)
+                            rows, size = [], 0
+                except ValueError as e:
+                    raise ValueError(f"{where.as_py()}, record {k} or the next: {e}") from e
                 if rows:
                     yield out(rows)
 
