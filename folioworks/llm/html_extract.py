@@ -13,7 +13,9 @@ element are the author's own and never template. Every other block is kept, in p
 order, wherever it lies, if it is not in an element made for something else: one such by
 its element (nav, footer, script and so on), or outside articles by a class, id or role
 of which every word says so. Such a name is a hint only: it does not count where it
-encloses the page's own article, main element or first heading.
+encloses the page's own article, main element or first heading. A form is made for something
+else too, unless it holds all articles, main elements and first headings of the page, or
+over half of its text and more than its fields need: some sites wrap whole pages in one.
 
 A host of fewer pages than `LEAST_PAGES` shows no template: there a page gives its own
 main element, else the innermost element that holds all its articles and what its first
@@ -61,12 +63,17 @@ UNNAMED = frozenset("html body main article p h1 h2 h3 h4 h5 h6 pre blockquote".
 OWN_TEXT = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Pages of a host from which a template can be told.
 LEAST_PAGES = 3
+#: Characters of labels and hints that a field of a form may have.
+FIELD_TEXT = 60
 HEADER_NAMES = frozenset("header site-header page-header main-header top-header".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("body main article section div td".split())
 #: Values of aside: not inside an element made for something else, or in one that never holds main text. Others: the node whose name is a hint.
 NOT, NEVER = -1, -2
+#: Elements that are fields of a form.
+FIELDS = frozenset("input select button".split())
+_HIDDEN = re.compile(r"""(?:^|[\s"'])type\s*=\s*["']?hidden""", re.I)
 
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -104,7 +111,8 @@ class Page:
         self.page = page
         self.parent, self.key, self.article, self.own = [-1], [""], [False], [False]
         self.children: dict[tuple[int, str], int] = {}
-        self.heads: list[tuple[str, int, int]] = []
+        self.heads: list[tuple[str, int, int, int]] = []
+        self.fields = [0]  # of each form, in page order from 1; 0 is no form
         self.blocks = self._blocks()
 
     def child(self, node: int, tag: str, names: list[str]) -> int:
@@ -150,37 +158,42 @@ class Page:
         yield text, len(page), None, False, ""
 
     def events(self):
-        """(node, aside, started, text) of each start of an element and each text, in page order.
+        """(node, aside, form, started, text) of each start of an element and each text, in page order.
 
         started: the element that starts here; text: the raw text here, or None at a start or end.
         """
-        stack: list[tuple[str, int, int, int, dict[str, int]]] = []  # element, node, aside, open p, open items of lists
+        stack: list[tuple[str, int, int, int, dict[str, int], int]] = []  # element, node, aside, open p, open items of lists, form
         count: Counter[str] = Counter()
-        top = ("", 0, NOT, -1, {})
+        top = ("", 0, NOT, -1, {}, 0)
 
         def cut(k: int) -> tuple:
             for x in stack[k:]:
                 count[x[0]] -= 1
             del stack[k:]
-            return stack[-1] if stack else ("", 0, NOT, -1, {})
+            return stack[-1] if stack else ("", 0, NOT, -1, {}, 0)
 
         for a, b, tag, close, attrs in self.marks():
-            _, node, aside, p, items = top
+            _, node, aside, p, items, form = top
             if b > a:
-                yield node, aside, None, self.page[a:b]
+                yield node, aside, form, None, self.page[a:b]
             if tag is None:
                 continue
             if close:
                 if count[tag]:
                     top = cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
                 if tag not in INLINE:
-                    yield top[1], top[2], None, None
+                    yield top[1], top[2], top[5], None, None
                 continue
             if tag in _P_ENDS and p >= 0:
                 top = cut(p)
             elif tag in _SIBLINGS and (k := max(items.get(x, -1) for x in _SIBLINGS[tag])) >= 0:
                 top = cut(k)
-            _, node, aside, p, items = top
+            _, node, aside, p, items, form = top
+            if tag == "form" and not form:
+                form = len(self.fields)
+                self.fields.append(0)
+            elif tag in FIELDS and not _HIDDEN.search(attrs):
+                self.fields[form] += 1
             names = sorted({x for y in _NAMES.findall(attrs) for x in "".join(y[1:]).split()}) if attrs else []
             own = node if tag in INLINE else self.child(node, tag, names)
             inner = aside
@@ -188,42 +201,54 @@ class Page:
                 article = self.article[node]
                 if tag in ASIDE_ELEMENTS or tag == "header" and not article:
                     inner = NEVER
-                elif aside == NOT and (tag == "form" or not article and tag not in UNNAMED and tag not in INLINE and any(map(aside_name, names))):
+                elif aside == NOT and (not article and tag not in UNNAMED and tag not in INLINE and any(map(aside_name, names))):
                     inner = own
             if tag not in VOID:
                 k = len(stack)
-                top = (tag, own, inner, k if tag == "p" else -1 if tag in CONTAINERS else p, {} if tag in _LISTS else {**items, tag: k} if tag in _SIBLINGS else items)
+                top = (tag, own, inner, k if tag == "p" else -1 if tag in CONTAINERS else p, {} if tag in _LISTS else {**items, tag: k} if tag in _SIBLINGS else items, form)
                 stack.append(top)
                 count[tag] += 1
             if tag not in INLINE:
-                yield own, inner, tag, None
+                yield own, inner, form, tag, None
 
     def _blocks(self) -> list[tuple[int, bool, str]]:
         """(node, whether aside, text) of each block with text that is not in a NEVER element: references decoded, white space one blank.
 
         A name that is a hint is forgotten where it encloses what the page is about.
         """
-        out: list[tuple[int, int, str]] = []
+        out: list[tuple[int, int, int, str]] = []
         parts: list[str] = []
-        where = (0, NOT)
+        where = (0, NOT, 0)
 
         def done() -> None:
             if parts and where[1] != NEVER and (text := " ".join(entities.unescape("".join(parts)).split())):
                 out.append((*where, text))
 
-        for node, aside, tag, text in self.events():
+        for node, aside, form, tag, text in self.events():
             if tag in ("article", "main", "h1") and aside != NEVER:
-                self.heads.append((tag, self.parent[node] if tag == "h1" else node, aside))
-            if text is None or (node, aside) != where:
+                self.heads.append((tag, self.parent[node] if tag == "h1" else node, aside, form))
+            if text is None or (node, aside, form) != where:
                 done()
-                parts, where = [], (node, aside)
+                parts, where = [], (node, aside, form)
             if text is not None:
                 parts.append(text)
         done()
-        if all(aside != NOT for _, aside, _ in out):
-            return [(node, False, text) for node, _, text in out]
+        gone = self._forms(out)
+        self.heads = [(tag, node, aside) for tag, node, aside, form in self.heads if form not in gone]
+        if all(aside != NOT or form in gone for _, aside, form, _ in out):
+            return [(node, False, text) for node, _, _, text in out]
         own = self.heads[0][2] if self.heads and all(x[2] != NOT for x in self.heads) else NOT
-        return [(node, aside not in (NOT, own), text) for node, aside, text in out]
+        return [(node, form in gone or aside not in (NOT, own), text) for node, aside, form, text in out]
+
+    def _forms(self, blocks: list[tuple[int, int, int, str]]) -> set[int]:
+        """The forms that are made for something else."""
+        size: Counter[int] = Counter()
+        for _, aside, form, text in blocks:
+            if aside == NOT:
+                size[form] += len(text)
+        heads = {form for _, _, aside, form in self.heads if aside == NOT}
+        enough = sum(size.values()) / 2
+        return {form for form, fields in enumerate(self.fields) if form and heads != {form} and size[form] <= max(enough, FIELD_TEXT * fields)}
 
     def words(self):
         """(block, tokens of its words) of blocks that are not aside and not the author's own text."""
@@ -266,13 +291,19 @@ def tokens(page: Page) -> Counter[str]:
     return out
 
 
+def _rows(batch: pa.RecordBatch, *names: str):
+    """The rows of some columns, as Python values a slice at a time."""
+    for rows, _, _ in c.text_slices([batch]):
+        yield from zip(*(rows.column(x).to_pylist() for x in names), strict=True)
+
+
 def token_statistics(pages: DataFrame) -> DataFrame:
     """host, token, vector (sum of hashed pages times occurrences), pages. Rows are (_host, _text)."""
 
     def run(batches):
         for batch in batches:
             sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
-            for host, text in zip(batch.column("_host").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            for host, text in _rows(batch, "_host", "_text"):
                 page = _hash(text)
                 for token, often in tokens(Page(text)).items():
                     s = sums[host, token]
@@ -318,7 +349,7 @@ def places(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             found: dict[tuple[str, str, str], list[int]] = {}
-            for host, text, lines in zip(*(batch.column(x).to_pylist() for x in ("_host", "_text", "template")), strict=True):
+            for host, text, lines in _rows(batch, "_host", "_text", "template"):
                 known = _template(lines)
                 seen: Counter[str] = Counter()
                 for _, words in Page(text).words() if known else ():
@@ -380,8 +411,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     schema = T.StructType([T.StructField(page_id, p.schema["_id"].dataType), T.StructField(url, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        for batch in batches:
-            out = [main_text(t, s) for t, s in zip(batch.column("_text").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+        for batch, _, _ in c.text_slices(batches):
+            out = [main_text(*row) for row in _rows(batch, "_text", "template")]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
