@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import extract, search, tree
 from .plans import library
-from .registry import BASE36, COUNT, HASH, ORACLE_SQL, PAGES, QUICK, TERMS, TEXTS, query
+from .registry import BASE36, BODY, COUNT, HASH, ORACLE_SQL, PAGES, QUICK, RAW, SEARCH, TERMS, TEXTS, query
 from .sources import books as b
 
 L = F.lit
@@ -128,3 +128,14 @@ def search_library_parts(s, d):
 #: What each page gives to the index: its text, and the terms that no earlier page of the book has.
 ORACLE_SQL["build_index"] = f"""with {PAGES}, t as ({ORACLE_SQL["extract_terms"]}), n as (select book_id, path, count(*) terms from t group by 1, 2), c as (select book_id, path, count(*) pages, sum(length(text))::bigint n_chars from pg group by 1, 2)
 select book_id, path, pages, n_chars, coalesce(terms, 0) terms from c left join n using (book_id, path)"""
+
+#: Hits of a book: index names and terms (no contents name of the tables has the word), the best of each page, then the texts' matches.
+ORACLE_SQL["search_book_all"] = f"""with {RAW}, {TERMS}, x as (select book_id, path, doc_pos, lower({SEARCH.format(BODY.format("html"))}) low from raw where strlen(html) <= 16777216),
+h as (select doc_pos, book_id, path, least(60, {COUNT.format("low", "'an'")}) n from x where contains(low, 'an') order by doc_pos, book_id, path limit 100),
+m as (select doc_pos, path, unnest(range(n)) o from h), k as (select *, row_number() over (partition by lower(path), o order by doc_pos, path) r from m), f as (select path, o from k where r = 1 order by doc_pos, path, o limit 180),
+s as (select path, label title, {QUICK.format("an")} + 8 score, 2 source_no, doc_pos from terms where {QUICK.format("an")} > 0
+  union all select path, kind, case when lower(kind) = 'an' then 110 when starts_with(lower(kind), 'an') then 90 else 68 end, 1, doc_pos from terms where contains(lower(kind), 'an')),
+b as (select *, row_number() over (partition by lower(path) order by score desc, source_no, doc_pos) r from s),
+q as (select * from b where r = 1 order by score desc, title, source_no, doc_pos limit 80),
+i as (select path from q where lower(path) not in (select lower(path) from h) order by score desc, title, path limit 60)
+select 'instant' as section, path, null::int as occurrence_index from i union all select 'full', path, o::int from f"""
