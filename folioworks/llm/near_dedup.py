@@ -13,10 +13,12 @@ Two texts agree in a coordinate with a probability of their (weighted) Jaccard s
 Signatures are joined by bands of rows. Texts with the same set of shingles are one node.
 All members of a bucket are compared with a centre, a node with many copies that they share
 buckets with, exactly, by their shingles. Two that both reach the threshold with the centre are of one
-group already. One that does not can only reach it with a node that shares over half of
-the elements by which this node differs from the centre; such pairs meet by equality on
-these few elements, the rarest first, and are compared exactly too. Where an element has many nodes
-on both sides they are not compared; one of them becomes the centre of the others, and so on.
+group already. One that does not can only reach it with a node that shares enough of the
+elements by which both differ from the centre; such pairs meet by equality on these few
+elements, the rarest first, and are compared exactly too. In a crowd, elements that most have
+are turned round first (who lacks one has it, and the other way), which changes no distance.
+Where an element then has many nodes on both sides they are not compared but become a crowd of
+their own, of half the members at most, with what comes after that element; there it starts anew.
 So a bucket loses no pair that could unite two groups, and a node is compared with at most FEW
 others for an element of its difference, never with all of its bucket.
 
@@ -185,27 +187,23 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _differences(pairs: DataFrame, threshold: float) -> DataFrame:
-    """crowd, centre, node, n, linked, diff (elements by which node differs from centre, its own first), prefix (how many a partner must meet)."""
-    rate = (1 - threshold) / (1 + threshold)
-    fields = [T.StructField("n", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("diff", _LONGS), T.StructField("prefix", T.IntegerType())]
-    schema = T.StructType([T.StructField("crowd", T.LongType()), T.StructField("centre", pairs.schema["a"].dataType), T.StructField("node", pairs.schema["b"].dataType), *fields])
+    """crowd, centre, m, node, n (how many elements both have), linked, diff (elements that one of the two lacks)."""
+    fields = [T.StructField("n", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("diff", _LONGS)]
+    schema = T.StructType([T.StructField("crowd", T.LongType()), T.StructField("centre", pairs.schema["a"].dataType), T.StructField("m", T.LongType()), T.StructField("node", pairs.schema["b"].dataType), *fields])
 
     def run(batches):
         for batch in batches:
-            n, linked, prefix, parts = [], [], [], []
+            m, n, linked, parts = [], [], [], []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = (z.values.to_numpy(zero_copy_only=False) for z in (x, y))
-                own, lost = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-                both, d = len(y) - len(own), len(own) + len(lost)
+                diff = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(diff)) // 2
+                m.append(len(x))
                 n.append(len(y))
                 linked.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-                # a partner that is far from the centre shares over half of the difference
-                more = max(0, len(y) - len(x))
-                need = int(np.floor((d - more * rate) / 2 - (1e-9 if more else 0))) + 1
-                prefix.append(max(0, d - max(1, need) + 1))
-                parts.append(np.concatenate([own, lost]))
+                parts.append(diff)
             flat = pa.array(np.concatenate(parts)) if parts else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("crowd"), batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), c.list_array(flat, np.array([len(x) for x in parts], np.int64)), pa.array(prefix, pa.int32())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("crowd"), batch.column("a"), pa.array(m, pa.int64()), batch.column("b"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), c.list_array(flat, np.array([len(x) for x in parts], np.int64))], names=schema.names)
 
     return pairs.select("crowd", "a", "b", "set_a", "set_b").mapInArrow(run, schema)
 
@@ -259,10 +257,9 @@ def _united(members: DataFrame, sets_: DataFrame, threshold: float) -> DataFrame
     need not be of the bucket: of the nodes that its members share buckets with, the one
     that stands for most documents, or the smallest of such. Copies with edits scatter
     around what they were copied from, and all their buckets then have the same centre.
-    Two nodes near the centre are of one group. For a node far from it, a partner must
-    share over half of the partner's difference from the centre: so partners meet by
-    equality on one of the first elements of that difference (_far_pairs), around new
-    centres where too many would meet.
+    Two nodes near the centre are of one group. A node far from it must share some of its
+    difference from the centre with a partner: so partners meet by equality on one of the
+    first elements of that difference (_far_pairs), in smaller crowds where too many would meet.
     """
     best = F.min(F.struct((-F.col("copies")).alias("c"), "node")).alias("hub")
     many = members.groupBy("key").agg(best, F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y"))
@@ -273,54 +270,89 @@ def _united(members: DataFrame, sets_: DataFrame, threshold: float) -> DataFrame
     centres = large.join(hubs, "node").groupBy("key").agg(F.min("own_hub").alias("h")).select("key", F.col("h.node").alias("centre"))
     pair = large.join(centres, "key").filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(two).distinct()
     a, b = (sets_.select(F.col("_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    found = c.materialize(_differences(pair.withColumn("crowd", F.xxhash64("a")).join(a, "a").join(b, "b"), threshold))
-    links = [found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))]
+    found = c.materialize(_differences(pair.join(a, "a").join(b, "b").withColumn("crowd", F.xxhash64("a", "set_a")), threshold))
+    links = found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    # rows of one id may have several texts: v tells them apart
+    nodes = found.select("crowd", "node", F.xxhash64("diff").alias("v"), "n", F.lit(0).alias("apart"), "diff", F.when(F.col("linked"), F.col("centre")).otherwise(F.col("node")).alias("root"))
+    centre = found.select("crowd", F.col("centre").alias("node"), F.col("m").alias("n")).distinct()
+    centre = centre.select("crowd", "node", F.lit(0).cast("long").alias("v"), "n", F.lit(0).alias("apart"), F.array().cast(_LONGS).alias("diff"), F.col("node").alias("root"))
+    found = nodes.unionByName(centre)
     while True:
-        met, stars = _far_pairs(found, threshold)
-        links.append(c.materialize(_similar(met.join(a, "a").join(b, "b"), threshold)))
-        stars = c.materialize(stars)
-        if stars.isEmpty():
-            break
-        found = c.materialize(_differences(stars.join(a, "a").join(b, "b"), threshold))
-        links.append(found.filter("linked").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return components(every)
+        met, smaller = _far_pairs(found, threshold)
+        links = links.unionByName(c.materialize(_similar(met.join(a, "a").join(b, "b"), threshold)))
+        smaller = c.materialize(smaller)
+        if smaller.isEmpty():
+            return components(links)
+        found = c.materialize(smaller.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
 
-def _far_pairs(found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b) to compare: each node that is far from its crowd's centre, with partners that share enough of its difference; and stars (crowd, a, b).
+def _of_crowds(rows: DataFrame, crowds: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of their crowd; the crowds are broadcast up to a checked number, so that a large one is not dealt to one task."""
+    return rows.join(F.broadcast(crowds) if c.is_small(crowds) else crowds, "crowd", how)
+
 
-    Partners meet on elements of differences, those of the fewest far nodes first. Where an element has more than
-    FEW on both sides, nothing is compared: its far node with the smallest difference becomes the centre of all (a star), and they meet again by
-    their differences from that one, in which what they all share is gone. So a node has at most FEW partners for an element.
-    A star is a crowd of its own, known by its centre and members: it has fewer members than what it came from, so stars end.
+def _far_pairs(found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of crowds (crowd, node, v, n, apart, diff, root): pairs (a, b) to compare, and smaller crowds without root.
+
+    A node is a set known by its difference from something that its crowd has in common: the elements diff, and so many
+    apart that no other shares. Two nodes are similar if their differences differ in at most rate * (n + n') elements. Nodes of
+    one root are of one group already.
+
+    In a crowd of more than FEW, elements that over half of the members have in diff are turned round for all. Then the slack of a node is
+    rate * n less its difference. Two nodes whose slacks make zero or more are similar whatever they share, and
+    so are both with the node of the largest slack, which is compared with them. Other pairs have a far node, one whose slack and the largest are below zero;
+    they share at least half of what is missing. So they meet on one of the first elements of their differences, in an order for the whole
+    crowd, those of the fewest far nodes first; elements that the same nodes have meet once.
+    Where an element has more than FEW on both sides nothing is compared: they are a crowd of their own. Pairs that share an earlier
+    element have met there, so it keeps only what comes from this element on, and has half the members at most.
     """
-    rate = (1 - threshold) / (1 + threshold)
-    crowds = found.groupBy("crowd").agg(F.count("*").alias("many"), F.min("linked").alias("all_near")).filter("many > 1 and not all_near").select("crowd")
-    rows = found.join(crowds, "crowd").withColumn("d", F.size("diff"))
-    each = rows.select("crowd", "node", "n", "d", "linked", "prefix", F.explode("diff").alias("e"))
-    often = each.groupBy("crowd", "e").agg(F.count("*").alias("all"), F.count(F.when(~F.col("linked"), 1)).alias("fars"))
-    order = Window.partitionBy("crowd", "node").orderBy("fars", "e")
-    own = (~F.col("linked")).cast("int")
+    rate, span = (1 - threshold) / (1 + threshold), (1 - threshold) / threshold
+    crowds = c.materialize(found.groupBy("crowd").agg(F.count("*").alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("many > 2 and lo != hi").select("crowd", "many"))
+    rows = _of_crowds(found, crowds)
+    usual = rows.filter(F.col("many") > FEW).select("crowd", "many", F.explode("diff").alias("e")).groupBy("crowd", "e").agg(F.count("*").alias("all"), F.first("many").alias("many"))
+    usual = c.materialize(usual.filter(F.col("all") * 2 > F.col("many")).groupBy("crowd").agg(F.collect_list("e").alias("usual")))
+    turned = F.concat(F.array_except("diff", "usual"), F.array_except("usual", "diff"))
+    rows = _of_crowds(rows, usual, "left").withColumn("diff", F.when(F.col("usual").isNull(), F.col("diff")).otherwise(turned)).drop("usual")
+    rows = rows.withColumn("size", F.size("diff")).withColumn("d", F.col("apart") + F.col("size"))
+    rows = c.materialize(rows.withColumn("slack", F.col("n") * rate - F.col("d")))
+    most = c.materialize(rows.groupBy("crowd").agg(F.max(F.struct("slack", "node", "root", "n")).alias("most")))
+    rows = _of_crowds(rows, most).withColumn("far", F.col("slack") + F.col("most.slack") < -1e-6)
+    near = F.col("n").between(F.col("most.n") * threshold - 1e-6, F.col("most.n") / threshold + 1e-6)
+    first = rows.filter(near & (~F.col("far") | (F.col("many") > FEW)) & (F.col("node") != F.col("most.node")) & (F.col("root") != F.col("most.root"))).select(F.least("node", "most.node").alias("a"), F.greatest("node", "most.node").alias("b"))
+
+    def at_least(x):
+        return F.greatest(F.lit(1), F.ceil(x - 1e-6))
+
+    # how many elements a node shares with a far one that has no smaller difference, if it is far itself; and a far one with any
+    partner = at_least(F.greatest((F.abs("most.slack") - F.col("slack")) / 2, F.when(F.col("far"), F.col("d") - F.col("n") * (span / 2)).otherwise(0.0)))
+    any_ = at_least(F.greatest(-(F.col("most.slack") + F.col("slack")) / 2, F.col("d") - F.col("n") * span))
+    each = rows.select("crowd", "node", "v", "root", "n", "d", "size", "far", (F.col("size") - partner).alias("to_meet"), (F.col("size") - any_).alias("to_reach"), F.explode("diff").alias("e"))
+    often = each.groupBy("crowd", "e").agg(F.count("*").alias("all"), F.count(F.when(F.col("far"), 1)).alias("fars"), F.bit_xor(F.xxhash64("node", "v")).alias("who"))
+    order = Window.partitionBy("crowd", "node", "v").orderBy("fars", "who", "e")
+    own = F.col("far").cast("int")
     # elements that no other far node has lead nowhere; they only take their places
-    placed = each.join(often, ["crowd", "e"]).withColumn("pos", F.row_number().over(order) - 1).filter((F.col("fars") > own) | (~F.col("linked") & (F.col("all") > 1)))
-    placed = c.materialize(placed.select("crowd", "e", "node", "n", "d", "linked", "pos", ((F.col("pos") < F.col("prefix")) & (F.col("fars") > own)).alias("meets")))
-    groups = placed.groupBy("crowd", "e").agg(F.count(F.when(F.col("meets"), 1)).alias("k"), F.count(F.when(~F.col("linked"), 1)).alias("f"), F.min(F.when(~F.col("linked"), F.struct("d", "node"))).alias("second"), F.bit_xor(F.when(F.col("meets") | ~F.col("linked"), F.xxhash64("node"))).alias("members"))
-    crowded = (F.col("k") > FEW) & (F.col("f") > FEW)
-    groups = c.materialize(groups.filter("k > 0 and f > 0").select("crowd", "e", F.when(crowded, F.col("second.node")).alias("second"), F.when(crowded, F.xxhash64("second.node", "members")).alias("star")))
-    some = placed.join(groups, ["crowd", "e"])
-    few = some.filter("second is null")
-    far = few.filter("not linked").select("crowd", "e", F.col("node").alias("far"), F.col("n").alias("far_n"), F.col("d").alias("far_d"))
-    # of two far nodes the one with the smaller difference is the partner; one of its elements before this place is shared
-    small = F.col("linked") | (F.struct("d", "node") < F.struct("far_d", "far"))
+    placed = each.join(often, ["crowd", "e"]).withColumn("pos", F.row_number().over(order) - 1).withColumn("lead", ~F.col("who").eqNullSafe(F.lag("who").over(order)))
+    placed = placed.filter((F.col("fars") > own) | (F.col("far") & (F.col("all") > 1)))
+    placed = placed.withColumn("meets", F.col("lead") & (F.col("pos") <= F.col("to_meet")) & (F.col("fars") > own)).withColumn("reaches", F.col("lead") & F.col("far") & (F.col("pos") <= F.col("to_reach")))
+    placed = c.materialize(placed.select("crowd", "e", "node", "v", "root", "n", "d", "size", "far", "pos", "meets", "reaches"))
+    here = placed.filter("meets or reaches")
+    groups = here.groupBy("crowd", "e").agg(F.count(F.when(F.col("meets"), 1)).alias("k"), F.count(F.when(F.col("reaches"), 1)).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    groups = c.materialize(groups.filter("k > 0 and f > 0 and lo != hi").select("crowd", "e", ((F.col("k") > FEW) & (F.col("f") > FEW)).alias("crowded")))
+    some = here.join(groups, ["crowd", "e"])
+    few = some.filter("not crowded")
+    far = few.filter("reaches").select("crowd", "e", *[F.col(x).alias(f"far_{x}") for x in ("node", "root", "n", "d", "size", "pos")])
+    # of two far nodes the one with the smaller difference is the partner
+    small = ~F.col("far") | (F.struct("d", "node") < F.struct("far_d", "far_node"))
     allowed = (F.col("n") + F.col("far_n")) * rate
-    place = F.col("pos") <= F.col("d") - F.ceil((F.col("far_d") + F.col("d") - allowed) / 2 - 1e-6)
-    fits = (F.col("node") != F.col("far")) & small & place & (F.abs(F.col("d") - F.col("far_d")) <= allowed + 1e-6) & F.col("n").between(F.col("far_n") * threshold - 1e-6, F.col("far_n") / threshold + 1e-6)
-    met = far.join(few.filter("meets"), ["crowd", "e"]).filter(fits).select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b")).distinct()
-    stars = some.filter("second is not null and node != second and (meets or not linked)").select(F.col("star").alias("crowd"), F.col("second").alias("a"), F.col("node").alias("b")).distinct()
-    return met, stars
+    share = at_least((F.col("far_d") + F.col("d") - allowed) / 2)
+    place = (F.col("pos") <= F.col("size") - share) & (F.col("far_pos") <= F.col("far_size") - share)
+    fits = (F.col("root") != F.col("far_root")) & small & place & (F.abs(F.col("d") - F.col("far_d")) <= allowed + 1e-6) & F.col("n").between(F.col("far_n") * threshold - 1e-6, F.col("far_n") / threshold + 1e-6)
+    met = far.join(few.filter("meets"), ["crowd", "e"]).filter(fits).select(F.least("node", "far_node").alias("a"), F.greatest("node", "far_node").alias("b"))
+    start = some.filter("crowded").select("crowd", "node", "v", F.xxhash64("crowd", "e").alias("next"), F.col("pos").alias("start"))
+    after = placed.select("crowd", "node", "v", "n", "d", "pos", "e").join(start, ["crowd", "node", "v"]).filter("pos >= start")
+    smaller = after.groupBy("next", "node", "v").agg(F.first("n").alias("n"), F.first("d").alias("d"), F.collect_list("e").alias("diff"))
+    smaller = smaller.select(F.col("next").alias("crowd"), "node", "v", "n", (F.col("d") - F.size("diff")).alias("apart"), "diff")
+    return met.unionByName(first).distinct(), smaller
 
 
 def _only(docs: DataFrame, nodes: DataFrame, doc_id: str, how: str = "left_semi") -> DataFrame:

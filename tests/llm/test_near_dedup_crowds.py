@@ -72,3 +72,18 @@ def test_small_limits_lose_nothing(spark, monkeypatch, few):
         texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes(texts)
+
+
+def test_elements_follow_members(spark, monkeypatch):
+    """Smaller crowds do not take their members' differences over and over."""
+    held = []
+
+    def counted(found, threshold, own=near_dedup._far_pairs):
+        held.append(found.selectExpr("coalesce(sum(size(diff)), 0)").first()[0])
+        return own(found, threshold)
+
+    monkeypatch.setattr(near_dedup, "_far_pairs", counted)
+    texts = crowd(300, 0, 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes(texts)
+    assert sum(held) < 1.5 * held[0], held
