@@ -87,3 +87,20 @@ def test_elements_follow_members(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes(texts)
     assert sum(held) < 1.5 * held[0], held
+
+
+def test_pipeline_stage_follows_members(spark, monkeypatch):
+    import corpus_pipeline
+
+    held = []
+
+    def counted(found, threshold, own=near_dedup._far_pairs):
+        held.append(found.selectExpr("coalesce(sum(size(diff)), 0)").first()[0])
+        return own(found, threshold)
+
+    monkeypatch.setattr(near_dedup, "_far_pairs", counted)
+    texts = crowd(300, 0, 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.remove_near_duplicates(spark, df, "").collect()
+    assert {r.doc_id for r in kept} == set(classes(texts).values())
+    assert sum(held) < 1.5 * held[0], held
