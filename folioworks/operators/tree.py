@@ -15,10 +15,13 @@ LISTS = ["ul", "menu", "dir"]
 
 def _tag_rows(files: DataFrame) -> DataFrame:
     """file, book_id, base, n, tag, opens, attrs: the tags of contents files that matter, in order."""
-    groups = [F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TAG), i).alias(x) for i, x in ((1, "slash"), (2, "tag"), (3, "body"))]
+    # what a file has one of is computed before its tags are dealt out: beside them it would be computed, and the text carried, for each tag
     key = F.xxhash64("book_id", "base", "text").alias("file")
-    each = files.select(key, "book_id", F.coalesce("base", F.lit("/")).alias("base"), F.posexplode(F.arrays_zip(*groups)).alias("n", "m"))
-    rows = each.select("file", "book_id", "base", "n", F.lower("m.tag").alias("tag"), (F.col("m.slash") == "").alias("opens"), F.col("m.body").alias("body")).filter(F.col("tag").isin(*LISTS, "object", "param"))
+    found = files.select(key, "book_id", F.coalesce("base", F.lit("/")).alias("base"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TAG), 0).alias("_tags"))
+    # few files are few tasks, so the tags are dealt anew before their attributes are read
+    each = found.select("file", "book_id", "base", F.posexplode("_tags").alias("n", "_m")).repartition("file", "n")
+    part = lambda i: F.regexp_extract("_m", TAG, i)
+    rows = each.select("file", "book_id", "base", "n", F.lower(part(2)).alias("tag"), (part(1) == "").alias("opens"), part(3).alias("body")).filter(F.col("tag").isin(*LISTS, "object", "param"))
     return rows.withColumn("attrs", F.when(F.col("opens") & F.col("tag").isin("object", "param"), t.attrs_map("body"))).drop("body")
 
 

@@ -65,3 +65,20 @@ def test_odd_lists(spark):
 def test_no_files(spark):
     files = spark.createDataFrame([("b", None, None)], "book_id string, base string, text string")
     assert tree.parse_sitemap(files).count() == tree.parse_sitemap(files.filter("false")).count() == 0
+
+
+def test_a_file_is_read_once(spark):
+    """The text of a file ends below the step that deals out its tags: above it, it would be hashed again for each of them."""
+    files = spark.createDataFrame([("b", "/d/toc.hhc", topic("a"))], "book_id string, base string, text string").repartition(2)
+    plan = tree._tag_rows(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and 0 <= plan.index("Generate ") < plan.index("xxhash64(")
+    assert "text#" not in plan[: plan.index("Generate ")] and "text#" in plan
+    assert plan.index("RepartitionByExpression") < plan.index("Generate ")
+
+
+def test_odd_tags(spark):
+    """Tags with brackets in quotes; one that nothing ends is none."""
+    a = "<object type='text/sitemap'><param title='x>y' name=\"Name\" value='<ul> &amp;lt; \">\"'></object >"
+    cases = {a + '< UL class="a>b">' + topic("c") + "< / ul>" + topic("d"): "<ul> &lt; \">\"0 c1 d0", "<ul \"" + topic("a") + "</ul>": "a0", topic("b") + "<ul '>'" + topic("a"): "b0 a1"}
+    got = parsed(spark, list(cases))
+    assert [" ".join(f"{r[4]}{r[3]}" for r in x) for x in got] == list(cases.values())
