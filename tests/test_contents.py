@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from folioworks.operators import tree
 
 
@@ -82,3 +84,15 @@ def test_odd_tags(spark):
     cases = {a + '< UL class="a>b">' + topic("c") + "< / ul>" + topic("d"): "<ul> &lt; \">\"0 c1 d0", "<ul \"" + topic("a") + "</ul>": "a0", topic("b") + "<ul '>'" + topic("a"): "b0 a1"}
     got = parsed(spark, list(cases))
     assert [" ".join(f"{r[4]}{r[3]}" for r in x) for x in got] == list(cases.values())
+
+
+def test_tags_of_one_file_are_dealt(spark):
+    """The rows of a large file, one task's to search, are not one task's to read attributes from."""
+    files = spark.createDataFrame([("b", "/d/toc.hhc", "<ul>" + "".join(topic(f"n{i}", f"p{i}.htm") for i in range(300)) + "</ul>")], "book_id string, base string, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = tree._tag_rows(files).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(rows) == 4 and sum(r["count"] for r in rows) == 2 + 300 * 4
