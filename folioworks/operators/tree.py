@@ -11,15 +11,20 @@ from ..sources.storage import stored
 #: A tag: what closes, its name, its attributes.
 TAG = rf"<{t.WS}*(/?){t.WS}*([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>"
 LISTS = ["ul", "menu", "dir"]
+#: So many pieces of a text, from left to right: a tag, a text up to the next bracket, or a bracket that begins no tag.
+PIECES = 256
+BLOCK = rf"(?:[^<]++|{TAG}|<){{1,{PIECES}}}+"
 
 
 def _tag_rows(files: DataFrame) -> DataFrame:
     """file, book_id, base, n, tag, opens, attrs: the tags of contents files that matter, in order."""
-    # what a file has one of is computed before its tags are dealt out: beside them it would be computed, and the text carried, for each tag
+    # what a file has one of is computed before its parts are dealt out: beside them it would be computed, and the text carried, for each of them
     key = F.xxhash64("book_id", "base", "text").alias("file")
-    found = files.select(key, "book_id", F.coalesce("base", F.lit("/")).alias("base"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TAG), 0).alias("_tags"))
-    # few files are few tasks, so the tags are dealt anew before their attributes are read
-    each = found.select("file", "book_id", "base", F.posexplode("_tags").alias("n", "_m")).repartition("file", "n")
+    found = files.select(key, "book_id", F.coalesce("base", F.lit("/")).alias("base"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(BLOCK), 0).alias("_blocks"))
+    # a block begins and ends between pieces, so it has its tags whole, and the same as the text; few files are few tasks, so blocks are dealt anew
+    blocks = found.select("file", "book_id", "base", F.posexplode("_blocks").alias("_b", "_block")).repartition("file", "_b")
+    tags = blocks.select("file", "book_id", "base", "_b", F.posexplode(F.regexp_extract_all("_block", F.lit(TAG), 0)).alias("_i", "_m"))
+    each = tags.select("file", "book_id", "base", (F.col("_b") * PIECES + F.col("_i")).alias("n"), "_m")
     part = lambda i: F.regexp_extract("_m", TAG, i)
     rows = each.select("file", "book_id", "base", "n", F.lower(part(2)).alias("tag"), (part(1) == "").alias("opens"), part(3).alias("body")).filter(F.col("tag").isin(*LISTS, "object", "param"))
     return rows.withColumn("attrs", F.when(F.col("opens") & F.col("tag").isin("object", "param"), t.attrs_map("body"))).drop("body")

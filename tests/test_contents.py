@@ -73,9 +73,9 @@ def test_a_file_is_read_once(spark):
     """The text of a file ends below the step that deals out its tags: above it, it would be hashed again for each of them."""
     files = spark.createDataFrame([("b", "/d/toc.hhc", topic("a"))], "book_id string, base string, text string").repartition(2)
     plan = tree._tag_rows(files)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Generate ") == 1 and 0 <= plan.index("Generate ") < plan.index("xxhash64(")
-    assert "text#" not in plan[: plan.index("Generate ")] and "text#" in plan
-    assert plan.index("RepartitionByExpression") < plan.index("Generate ")
+    # from the top: tags of a block, blocks dealt anew, blocks of a file, and only below them its text
+    places = [plan.index("Generate "), plan.index("RepartitionByExpression"), plan.rindex("Generate "), plan.index("xxhash64("), plan.index("text#")]
+    assert plan.count("Generate ") == 2 and places[:3] == sorted(places[:3]) and min(places[3:]) > places[2]
 
 
 def test_odd_tags(spark):
@@ -88,11 +88,21 @@ def test_odd_tags(spark):
 
 def test_tags_of_one_file_are_dealt(spark):
     """The rows of a large file, one task's to search, are not one task's to read attributes from."""
-    files = spark.createDataFrame([("b", "/d/toc.hhc", "<ul>" + "".join(topic(f"n{i}", f"p{i}.htm") for i in range(300)) + "</ul>")], "book_id string, base string, text string").coalesce(1)
+    files = spark.createDataFrame([("b", "/d/toc.hhc", "<ul>" + "".join(topic(f"n{i}", f"p{i}.htm") for i in range(3000)) + "</ul>")], "book_id string, base string, text string").coalesce(1)
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         rows = tree._tag_rows(files).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
-    assert len(rows) == 4 and sum(r["count"] for r in rows) == 2 + 300 * 4
+    assert len(rows) == 4 and sum(r["count"] for r in rows) == 2 + 3000 * 4
+
+
+def test_blocks_have_the_tags_of_the_text(spark):
+    """Texts of brackets, quotes and tags in any order: their blocks join to them, and have the same tags in the same order."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["<", ">", "<ul>", "</ul>", "<ul ", "<object type=", '"', "'", "x", "<b a='>'>", "\n"]) for _ in range(rng.choice([3, 300, 3000]))) for _ in range(60)]
+    files = spark.createDataFrame([(f"b{i}", x) for i, x in enumerate(texts)], "book_id string, text string").withColumn("l", F.regexp_extract_all("text", F.lit(tree.BLOCK), 0))
+    tags = lambda x: F.regexp_extract_all(x, F.lit(tree.TAG), 0)
+    got = files.select(F.array_join("l", "") == F.col("text"), F.flatten(F.transform("l", tags)) == tags("text"), F.size("l")).collect()
+    assert all(r[0] and r[1] for r in got) and max(r[2] for r in got) > 4
